@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality
+from . import chat, decontaminate, mixing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +16,22 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "v1")
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.verdict(quality.BASE)).alias("base_failed"), "kept")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op6_quality_rules, op9_mixing)}
-SQL = {"op2_chat_formatting": chat.SQL, "op6_quality_rules": quality.SQL, "op9_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op5_warc, op6_quality_rules, op8_decontamination, op9_mixing)}
+SQL = {"op2_chat_formatting": chat.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
