@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, warc
+from . import chat, decontaminate, jaccard, mixing, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,5 +41,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op5_warc, op6_quality_rules, op8_decontamination, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_chat_formatting, op3_suffix_dedup, op5_warc, op6_quality_rules, op8_decontamination, op9_mixing)}
 SQL = {"op2_chat_formatting": chat.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
