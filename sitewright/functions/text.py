@@ -91,13 +91,13 @@ def is_html_type(content_type: Column) -> Column:
 
 
 def is_compressed(encoding: Column) -> Column:
-    tokens = F.transform(F.split(F.lower(F.coalesce(encoding, F.lit(""))), ","), F.trim)
+    tokens = F.transform(F.split(F.lower(F.coalesce(encoding, F.lit(""))), ","), lambda p: F.trim(p))
     return F.arrays_overlap(tokens, F.array(*map(F.lit, ("gzip", "br", "deflate", "zstd"))))
 
 
 def cache_problem(value: Column) -> Column:
     """Why a Cache-Control value falls short; null where it is fine. `expires` stands for an Expires header alone."""
-    parts = F.transform(F.split(F.lower(value), ","), F.trim)
+    parts = F.transform(F.split(F.lower(value), ","), lambda p: F.trim(p))
     ages = F.filter(F.transform(parts, lambda p: F.regexp_extract(p, r'^max-age\s*=\s*"?(\d+)"?$', 1)), lambda a: a != "")
     age = F.get(ages, F.lit(0)).cast("double")
     return (

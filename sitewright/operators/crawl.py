@@ -7,14 +7,12 @@ Order is that of one worker: links in page order, so caps fall the same way each
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_html_type
 from ..functions.urls import excluded, origin, path_with_query, same_origin
+from ..sources.tables import kept
 from . import robots
 
 MAX_HOPS = 10
@@ -22,12 +20,7 @@ REDIRECTS = (301, 302, 303, 307, 308)
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Written to the folder that the cluster shares, and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-sitewright-")
-    path = f"{base.rstrip('/')}/sitewright/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, "crawl")
 
 
 def depths(links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
@@ -66,6 +59,16 @@ def redirected(urls: DataFrame, web: DataFrame) -> DataFrame:
     return at.withColumn("failure", failure).withColumn("status", F.when(failure.isNull(), F.col("_status"))).withColumn("headers", F.coalesce("_headers", F.create_map().cast("map<string,string>"))).withColumn("html", F.col("_html")).drop("_u", "_status", "_headers", "_failure", "_html", "_stop")
 
 
+def _split(got: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """A redirected URL keeps its hops and no document; where it led is a page of its own, unless that is known already."""
+    own = got.withColumn("doc", F.when(F.size("hops") == 0, F.col("doc")))
+    led = got.where((F.size("hops") > 0) & F.col("failure").isNull()).withColumn("url", F.col("final_url")).withColumn("hops", F.slice("hops", 1, 0)).withColumn("ord", F.col("ord") + 0.5)
+    new = led.where(same_origin(F.col("url"), F.col("site_origin"))).join(got.select("site_id", "url"), ["site_id", "url"], "left_anti")
+    new = new if seen is None else new.join(seen, ["site_id", "url"], "left_anti")
+    first = new.groupBy("site_id", "url").agg(F.min("ord").alias("ord"))
+    return own.unionByName(new.join(first, ["site_id", "url", "ord"]).dropDuplicates(["site_id", "url"]))
+
+
 def crawled(sites: DataFrame, web: DataFrame, rules: DataFrame, sitemap_urls: DataFrame, extract, token: str = "sitewright", max_pages: int = 50, max_depth: int = 3, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(pages, blocked): pages of each site as the audit wants them, and URLs (site_id, url) that robots.txt forbids.
 
@@ -88,9 +91,9 @@ def crawled(sites: DataFrame, web: DataFrame, rules: DataFrame, sitemap_urls: Da
         ranked = ranked if have is None else ranked.join(have, "site_id", "left")
         taken = ranked.where(F.col("_rank") <= room).drop("_rank", "_have")
         got = extract(redirected(taken, web).withColumn("is_html", is_html_type(F.try_element_at("headers", F.lit("content-type")))))
-        got = _kept(got)
+        got = _kept(_split(got, seen))
         pages = got if pages is None else _kept(pages.unionByName(got))
-        now = decided.select("site_id", "url")
+        now = decided.select("site_id", "url").unionByName(got.select("site_id", "url")).distinct()
         seen = now if seen is None else _kept(seen.unionByName(now).distinct())
         level += 1
         links = got.where("not from_sitemap").select("site_id", F.col("ord").alias("_ord"), F.posexplode("doc.links").alias("_pos", "_link")).where("_link.url is not null")

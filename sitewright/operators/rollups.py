@@ -90,7 +90,7 @@ def page_counts(pages: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def status_counts(outcome: DataFrame) -> DataFrame:
-    return outcome.groupBy("site_id").agg(F.count_if("status != 'not-applicable'").alias("run"), F.count_if("status = 'pass'").alias("passed"), F.count_if("status = 'fail'").alias("failed"), F.count_if("status = 'not-applicable'").alias("not_applicable"))
+    return outcome.groupBy("site_id").agg(F.count_if(F.expr("status != 'not-applicable'")).alias("run"), F.count_if(F.expr("status = 'pass'")).alias("passed"), F.count_if(F.expr("status = 'fail'")).alias("failed"), F.count_if(F.expr("status = 'not-applicable'")).alias("not_applicable"))
 
 
 def shown(findings: DataFrame, most: int = 10) -> DataFrame:

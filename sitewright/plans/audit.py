@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from ..operators import graph, rollups
 from ..operators import rules as R
 from ..operators import views as V
+from ..sources.tables import kept
 
 
 @dataclass(frozen=True)
@@ -55,11 +56,12 @@ def audit(pages: DataFrame, sites: DataFrame, assets: DataFrame | None = None, f
     orphan = lambda df, cols: V.complete(df, cols) if df is not None else V.empty(pages, cols)
     assets, files = orphan(assets, V.ASSET_COLUMNS), orphan(files, V.FILE_COLUMNS)
     sitemap_urls, external = orphan(sitemap_urls, V.SITEMAP_URL_COLUMNS), orphan(external, V.EXTERNAL_COLUMNS)
-    linked = pages if "inlinks" in pages.columns else graph.with_inlinks(V.complete(pages, {"ord": "double"}))
-    viewed = V.with_views(linked, given)
+    linked = pages if "inlinks" in pages.columns else graph.with_inlinks(kept(V.complete(pages, {"ord": "double"}), "pages"))
+    # extraction runs in Python, and its facts are read by many branches: once is enough
+    viewed = kept(V.with_views(linked, given), "pages")
     facts = rollups.site_facts(viewed, given, assets, files, sitemap_urls)
     found = [R.packed(df, name, groups) for name, df in (("pages", viewed), ("sites", facts), ("assets", assets), ("files", files), ("external", external))]
     related = [f.where(f["group"].isin(*groups)) for f in graph.relations(viewed, given, assets, sitemap_urls)]
     findings = R.tidied(reduce(DataFrame.unionByName, found + related))
-    findings = rollups.applicable(findings, facts)
+    findings = kept(rollups.applicable(findings, facts), "findings")
     return Audit(viewed, facts, findings, rollups.outcomes(findings, facts, groups))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import html as H
+from ..sources.tables import kept
 
 IMAGES = "".join(f'<img src="/i/{k}.png"{a}>' for k, a in enumerate([' alt="one" width="1" height="1"', ' width="2" height="2"', ' alt="" height="3"', ' alt="four" width="4" height="4"', ' alt="five" width="5" height="5" loading="lazy"']))
 HEAD = (
@@ -66,4 +67,4 @@ def pooled(spark: SparkSession, sf_dir: str, augmented: bool = True) -> tuple[Da
         F.expr("named_struct('http_to_https', false, 'sibling_redirects', cast(null as boolean), 'sibling_host', cast(null as string), 'soft404', true, 'favicon', false)").alias("probes"),
         F.lit(False).alias("external_checked"), F.array().cast("array<string>").alias("blocked_by_robots"),
     )
-    return pages, site
+    return kept(pages, "overlay"), site

@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..operators import crawl, graph, pacing, robots, rollups
 from ..operators import rules as R
 from ..operators import views as V
+from ..sources.tables import kept
 from . import overlay as O
 from .audit import audit
 
@@ -69,13 +70,13 @@ def duplicate_titles_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _duplicates(spark: SparkSession, sf_dir: str, site) -> DataFrame:
     pages = O.extracted(spark, sf_dir).select(site.alias("site_id"), F.col("page_id").cast("double").alias("ord"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("final_url"), F.lit(True).alias("indexable"), "doc")
-    return graph.duplicates(pages, "doc.title").select("site_id", F.substring("url", 2, 20).cast("bigint").alias("page_id"), "value", F.array_join("others", ",").alias("others"), "n_others")
+    return graph.duplicates(kept(pages, "titles"), "doc.title").select("site_id", F.substring("url", 2, 20).cast("bigint").alias("page_id"), "value", F.array_join("others", ",").alias("others"), "n_others")
 
 
 def inlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-1 over links that are in the pages, each origin a site: pages and the number of others that link to them."""
     pages = O.extracted(spark, sf_dir).select(U.origin(F.col("final_url")).alias("site_id"), F.col("page_id").cast("double").alias("ord"), F.col("final_url").alias("url"), "doc")
-    targets = graph.edges(pages).groupBy("site_id", "target").agg(F.countDistinct("source").alias("n_sources"), F.count(F.lit(1)).alias("n_links"))
+    targets = graph.edges(kept(pages, "links")).groupBy("site_id", "target").agg(F.countDistinct("source").alias("n_sources"), F.count(F.lit(1)).alias("n_links"))
     return targets.select("site_id", F.col("target").alias("target_url"), "n_sources", "n_links")
 
 
