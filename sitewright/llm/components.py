@@ -27,6 +27,19 @@ def components(links: DataFrame) -> DataFrame:
         large.drop()
 
 
+def united(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of earlier links, given as labels, and of more links (a, b): only classes that these join are looked at again."""
+    if links.isEmpty():
+        return labels
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    raised = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(raised).select(F.col("node").alias("_class"), F.col("component").alias("_root"))
+    nodes = labels.unionByName(joined.select(F.col("_class").alias("node"), F.col("_class").alias("component"))).dropDuplicates(["node"])
+    merged = nodes.join(joined, F.col("component") == F.col("_class"), "left").select("node", F.coalesce("_root", "component").alias("component"))
+    return Written(merged.where("node != component"), "components").df
+
+
 def _directed(pairs: DataFrame) -> DataFrame:
     a, b = pairs.columns
     return pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()

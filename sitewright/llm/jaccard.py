@@ -6,10 +6,11 @@ each size band, the sketch is cut into more words than bits can differ and than
 principle similar sets share a word that is not blank. Sketches are as sparse as sets: of a word, a 64-bit hash of its odd bits
 is kept. A set that could share blank words only (rare, and known by counting) is joined by these too.
 
-Sets that share words are candidates. Each is held against the first set of its word: dense sketches, folded to a common length,
-drop most by Hamming distance, and what is left is verified on the texts. Verified links are united to classes; then, only where
-a word's sets aren't all of one class yet, its other pairs of different classes are held against each other likewise, in blocks.
-So each link that is not implied by others is looked at, and tight groups cost a link per member, not per pair.
+Equal sets are found by digests first, and one of them stands for all. Sets that share words are candidates. Each is held against
+the first set of its word: dense sketches, folded to a common length, drop most by Hamming distance, and what is left is verified
+on the texts. Verified links are united to classes; then, only where the sets that met one first set aren't all of one class yet,
+their pairs of different classes are held against each other likewise, in blocks. So each link that is not implied by others is
+looked at, and tight groups cost a link per member, not per pair.
 
 Defined cases: without words or text a set is empty and linked with nothing; with fewer than five words the whole sequence is
 the one shingle; rows that share a doc_id are one document in links; repeated rows get a row each; a null doc_id is a document
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, parallelism
-from .components import components
+from .components import components, united
 from .suffixes import NULL_ID, _keyed
 from .textnp import _U, column, grams, mixed, text_chunks, words_of
 
@@ -205,11 +206,11 @@ def _keyed_words(n_buckets: int):
     return run
 
 
-_MET = "rep long, member long, shared long, members binary"
+_MET = "rep long, member long, shared long"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's words -> (first set, other set, words shared), and for words of three sets or more the list of these."""
+    """A bucket's words -> (first set of a word, other set, words so shared)."""
     keys, ids = [], []
     for batch in batches:
         for blob in column(batch, "words").to_pylist():
@@ -223,37 +224,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, id_ = np.concatenate(keys), np.concatenate(ids)
     order = np.lexsort((id_, key))
     key, id_ = key[order], id_[order]
-    keep = np.ones(len(key), dtype=bool)
-    keep[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])
-    key, id_ = key[keep], id_[keep]
     begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(begins, len(key)))
-    run = np.repeat(np.arange(len(begins)), size)
-    rep = id_[begins][run]
+    rep = np.repeat(id_[begins], np.diff(np.append(begins, len(key))))
     other = np.flatnonzero(id_ != rep)
-    pairs, shared = np.unique(np.column_stack((rep[other], id_[other])), axis=0, return_counts=True) if len(other) else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
-    for at in range(0, len(pairs), 100_000):
-        s = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[s, 0]), pa.array(pairs[s, 1]), pa.array(shared[s]), pa.nulls(len(pairs[s]), pa.binary())], names=["rep", "member", "shared", "members"])
-    known, rows, held = set(), [], 0
-    for k in np.flatnonzero(size >= 3):
-        own = id_[begins[k] : begins[k] + size[k]]
-        raw = own.tobytes()
-        if hash(raw) not in known:
-            known.add(hash(raw))
-            # a long list goes in pieces, each with its place; all of a list's pieces share its name
-            rows.append((int(own[0]), None, int(key[begins[k]].view(np.int64)), raw))
-            held += len(raw)
-            if held > 8 << 20:
-                yield _listed(rows)
-                rows, held = [], 0
-    if rows:
-        yield _listed(rows)
-
-
-def _listed(rows: list[tuple]) -> pa.RecordBatch:
-    rep, member, shared, members = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(member, pa.int64()), pa.array(shared, pa.int64()), pa.array(members, pa.binary())], names=["rep", "member", "shared", "members"])
+    if not len(other):
+        return
+    rep, member = rep[other], id_[other]
+    order = np.lexsort((member, rep))
+    rep, member = rep[order], member[order]
+    begins = np.flatnonzero(np.concatenate(([True], (rep[1:] != rep[:-1]) | (member[1:] != member[:-1]))))
+    shared = np.diff(np.append(begins, len(rep)))
+    for at in range(0, len(begins), 100_000):
+        s = begins[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(rep[s]), pa.array(member[s]), pa.array(shared[at : at + 100_000])], names=["rep", "member", "shared"])
 
 
 def _may_match(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -276,14 +259,14 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a word's sets, sorted by block -> pairs of different classes that sizes and sketches don't rule out."""
+    """Blocks of the sets that met one set, sorted by block -> pairs of different classes that sizes and sketches don't rule out."""
     held, name = [], None
     for batch in batches:
-        cols = [column(batch, k).to_pylist() for k in ("word", "i", "j", "id", "side", "class", "n", "sketch")]
-        for word, i, j, *row in zip(*cols, strict=True):
-            if (word, i, j) != name:
+        cols = [column(batch, k).to_pylist() for k in ("rep", "i", "j", "id", "side", "class", "n", "sketch")]
+        for rep, i, j, *row in zip(*cols, strict=True):
+            if (rep, i, j) != name:
                 yield from _block(held)
-                held, name = [], (word, i, j)
+                held, name = [], (rep, i, j)
             held.append(row)
     yield from _block(held)
 
@@ -343,10 +326,11 @@ class Join:
         self.spark = documents.sparkSession
         self.sets = Written(self.docs.mapInArrow(_described, _SETS), "jaccard-sets").df
 
-    def links_of_equals(self) -> DataFrame:
-        some = self.sets.where("n > 0")
-        first = some.groupBy("d1", "d2", "n").agg(F.min("_id").alias("b"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-        return some.select("_id", "d1", "d2", "n").join(first, ["d1", "d2", "n"]).where(F.col("_id") != F.col("b")).select(F.col("_id").alias("a"), "b")
+    def copies(self) -> DataFrame:
+        """(copy, first): sets that equal one of a smaller id."""
+        some = self.sets.where("n > 0").select("_id", "d1", "d2", "n")
+        first = some.groupBy("d1", "d2", "n").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+        return some.join(first, ["d1", "d2", "n"]).where(F.col("_id") != F.col("first")).groupBy(F.col("_id").alias("copy")).agg(F.min("first").alias("first"))
 
     def met(self) -> DataFrame:
         total = self.sets.agg(F.sum("n")).first()[0] or 0
@@ -374,22 +358,25 @@ class Join:
         dealt = rows.join(texts, "b").repartition(parallelism(self.spark), "a", "salt").sortWithinPartitions("a", "salt", "side")
         return Written(dealt.mapInArrow(_verified, "a long, b long"), "jaccard-links").df
 
+    def seen(self, copies: DataFrame) -> DataFrame:
+        """(a, b, shared): first sets of words and others, equal sets as one."""
+        a = copies.select(F.col("copy").alias("rep"), F.col("first").alias("fa"))
+        b = copies.select(F.col("copy").alias("member"), F.col("first").alias("fb"))
+        both = self.met().join(a, "rep", "left").join(b, "member", "left").select(F.coalesce("fa", "rep").alias("x"), F.coalesce("fb", "member").alias("y"), "shared")
+        return both.where("x != y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("shared").alias("shared"))
+
     def classes(self) -> DataFrame:
         """(node, component) of every document with a link."""
-        met = self.met()
-        seen = met.where(F.col("member").isNotNull()).groupBy(F.col("rep").alias("a"), F.col("member").alias("b")).agg(F.sum("shared").alias("shared"))
-        equal = Written(self.links_of_equals(), "jaccard-equal").df
+        copies = Written(self.copies(), "jaccard-copies").df
+        seen = Written(self.seen(copies), "jaccard-seen").df
         near = Written(self.sized(seen), "jaccard-near").df
         # first, for each set the one that shares most words with it; then whatever is not of the same class by then
         best = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-        links = equal.unionByName(self.verify(best))
-        labels = components(links)
-        links = links.unionByName(self.verify(self.unlike(near, labels)))
-        labels = components(links)
-        open_ = self.unlike(seen, labels).select(F.col("a").alias("rep")).distinct()
-        lists = met.where(F.col("members").isNotNull()).join(open_, "rep", "left_semi")
-        links = links.unionByName(self.verify(self.rest(lists, labels)))
-        return components(links)
+        labels = components(self.verify(best))
+        labels = united(labels, self.verify(self.unlike(near, labels)))
+        labels = united(labels, self.verify(self.rest(seen, labels)))
+        first = copies.join(labels, F.col("first") == F.col("node"), "left").select(F.col("copy").alias("node"), F.coalesce("component", "first").alias("component"))
+        return labels.join(copies, F.col("node") == F.col("copy"), "left_anti").unionByName(first)
 
     def unlike(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs that aren't of one class yet."""
@@ -398,27 +385,17 @@ class Join:
         both = pairs.join(a, "a", "left").join(b, "b", "left")
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
-    def rest(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different classes within a word's sets, in blocks of at most BLOCK sets by as many."""
-        exploded = lists.mapInArrow(_members, "word long, size long, place long, _id long")
-        named = exploded.join(labels, F.col("_id") == F.col("node"), "left").select("word", "size", "place", "_id", F.coalesce("component", "_id").alias("class"))
-        mixed_ = named.groupBy("word").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("word")
-        sets = self.sets.dropDuplicates(["_id"]).select("_id", "n", "sketch")
-        full = named.join(mixed_, "word").join(sets, "_id")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.floor(F.col("place") / BLOCK).cast("int")
-        dealt = full.select("word", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"), own.alias("own"), F.col("_id").alias("id"), "class", "n", "sketch")
-        dealt = dealt.select("word", F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "id", F.when(F.col("own") > F.col("x"), 1).otherwise(0).alias("side"), "class", "n", "sketch")
-        return dealt.repartition(parallelism(self.spark), "word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(_across, "a long, b long")
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for word, raw in zip(column(batch, "shared").to_pylist(), column(batch, "members").to_pylist(), strict=True):
-            ids = np.frombuffer(raw, np.int64)
-            for at in range(0, len(ids), 100_000):
-                own = ids[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), word)), pa.array(np.full(len(own), len(ids))), pa.array(np.arange(at, at + len(own))), pa.array(own)], names=["word", "size", "place", "_id"])
+    def rest(self, seen: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of different classes among the sets that met one set, in blocks of about BLOCK sets by as many."""
+        members = seen.select(F.col("a").alias("rep"), F.col("b").alias("id")).unionByName(seen.select(F.col("a").alias("rep"), F.col("a").alias("id")).distinct())
+        named = members.join(labels, F.col("id") == F.col("node"), "left").select("rep", "id", F.coalesce("component", "id").alias("class"))
+        open_ = named.groupBy("rep").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi and size > 2").select("rep", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        sets = self.sets.dropDuplicates(["_id"]).select(F.col("_id").alias("id"), "n", "sketch")
+        full = named.join(open_, "rep").join(sets, "id")
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        dealt = full.select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), own.alias("own"), "id", "class", "n", "sketch")
+        dealt = dealt.select("rep", F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "id", F.when(F.col("own") > F.col("x"), 1).otherwise(0).alias("side"), "class", "n", "sketch")
+        return dealt.repartition(parallelism(self.spark), "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_across, "a long, b long")
 
 
 def similar(documents: DataFrame) -> DataFrame:
