@@ -7,8 +7,8 @@ A full suffix array has an entry per byte of the corpus. This one sorts two much
    their anchor; such a run of windows is one entry, with a fingerprint of all bytes that the run covers. Entries with equal
    grams and equal fingerprints are copies of each other, and all but those of the smallest doc_id are covered whole. About one
    place in 18 is an anchor.
-2. Suffixes. What is left undecided are windows in runs whose gram also stands in other bytes, as where a repeated passage begins
-   and ends. Their 50-byte suffixes are range-partitioned by their leading 8 bytes, at splitters that Spark samples, a frequent
+2. Suffixes. What is left undecided are windows in runs whose gram, and the bytes on one side of it, also stand in other bytes, as
+   where a repeated passage begins and ends. Their 50-byte suffixes are range-partitioned by their leading 8 bytes, at splitters that Spark samples, a frequent
    leading token over several buckets; each bucket sorts them by multikey quicksort, 8 bytes at a time and only where ties are
    left; equal neighbours are compared in the bucket, and those at its boundaries with what other buckets hold of them.
 
@@ -36,6 +36,8 @@ from .textnp import _BYTE, _U, _power_tables, as_int64, column, mixed, text_chun
 WINDOW = 50
 GRAM = 16
 SPAN = WINDOW - GRAM + 1
+#: Bytes before the gram or bytes after it: of the 34 bytes of a window besides its gram, one side has as many.
+BESIDE = (WINDOW - GRAM) // 2
 BLOCK = 1 << 23
 NULL_ID = -(2**63)
 ENTRIES_A_BUCKET = 250_000
@@ -49,7 +51,7 @@ def _leading(buf: np.ndarray, n: int) -> np.ndarray:
 
 
 def _anchored(buf: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of valid windows of a block with one anchor: (first window, last window, gram hash, fingerprint)."""
+    """Runs of valid windows of a block with one anchor: first and last window, hashes of the gram, of all, of the bytes beside the gram."""
     n = len(buf) - GRAM + 1
     words = _leading(buf, n + 8)
     grams = mixed(words[:n] * _U(0x9E3779B97F4A7C15) ^ mixed(words[8 : n + 8]))
@@ -66,15 +68,19 @@ def _anchored(buf: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.concatenate((cut, [len(anchor)])) - 1
     gram = grams[anchor[first]]
     i0, i1 = valid[first], valid[last]
-    power, inverse = _power_tables(len(buf))
+    power, inverse = _power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, dtype=_U)
-    np.cumsum(_BYTE[buf] * power, out=sums[1:])
+    np.cumsum(_BYTE[buf] * power[:-1], out=sums[1:])
     print_ = mixed((sums[i1 + WINDOW] - sums[i0]) * inverse[i0] + (i1 - i0).astype(_U))
-    return i0, i1, gram, print_
+    at = anchor[first]
+    before, after = np.maximum(at - BESIDE, 0), np.minimum(at + GRAM + BESIDE, len(buf))
+    left = mixed((sums[at] - sums[before]) * inverse[before])
+    right = mixed((sums[after] - sums[at + GRAM]) * inverse[at + GRAM])
+    return i0, i1, gram, print_, left, right
 
 
 def runs(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, gram hash, fingerprint) of all runs of the texts; windows lie within a text."""
+    """(text, first window, last window, hashes of the gram, of all, of the bytes beside the gram) of all runs; windows lie within a text."""
     buf = np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8)
     sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
@@ -84,18 +90,18 @@ def runs(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         places = np.arange(at, at + len(part) - WINDOW + 1)
         valid = np.flatnonzero(places + WINDOW <= ends[np.searchsorted(ends, places, "right")])
         if len(valid):
-            i0, i1, gram, finger = _anchored(part, valid)
-            out.append((i0 + at, i1 + at, gram, finger))
+            i0, i1, *hashes = _anchored(part, valid)
+            out.append((i0 + at, i1 + at, *hashes))
     if not out:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.view(_U), none.view(_U)
-    i0, i1, gram, finger = (np.concatenate(x) for x in zip(*out, strict=True))
+        return none, none, none, *[none.view(_U)] * 4
+    i0, i1, *hashes = (np.concatenate(x) for x in zip(*out, strict=True))
     text = np.searchsorted(ends, i0, "right")
     begin = (ends - sizes)[text]
-    return text, i0 - begin, i1 - begin, gram, finger
+    return text, i0 - begin, i1 - begin, *hashes
 
 
-_FIELDS = (("gram", "<u8"), ("finger", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("first", "<u4"), ("length", "u1"), ("same", "u1"))
+_FIELDS = (("gram", "<u8"), ("finger", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("left", "<u2"), ("right", "<u2"), ("first", "<u4"), ("length", "u1"), ("same", "u1"))
 
 
 def _packed(e: dict[str, np.ndarray]) -> bytes:
@@ -156,8 +162,8 @@ def _mapped(n_buckets: int):
         for batch, texts in text_chunks(batches):
             docs = column(batch, "_id").to_numpy(zero_copy_only=False)
             tags = column(batch, "_tag").to_numpy(zero_copy_only=False).astype(np.int64)
-            text, i0, i1, gram, finger = runs(texts)
-            held.append({"gram": gram & _U(0xFFFFFFFFFFFF), "finger": finger, "doc": docs[text].astype(np.int64), "tag": (tags[text] & 0xFFFFFFFF).astype(np.uint32), "first": i0.astype(np.uint32), "length": (i1 - i0).astype(np.uint8), "same": np.zeros(len(i0), dtype=np.uint8)})
+            text, i0, i1, gram, finger, left, right = runs(texts)
+            held.append({"gram": gram & _U(0xFFFFFFFFFFFF), "finger": finger, "doc": docs[text].astype(np.int64), "tag": (tags[text] & 0xFFFFFFFF).astype(np.uint32), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "first": i0.astype(np.uint32), "length": (i1 - i0).astype(np.uint8), "same": np.zeros(len(i0), dtype=np.uint8)})
             size += len(i0)
             if size >= 1_000_000:
                 yield from flush(held)
@@ -181,7 +187,16 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     covered = (doc > smallest) | (e["same"][order] == 1)
     begin = np.flatnonzero(new_gram)
     differs = np.minimum.reduceat(smallest, begin) != np.maximum.reduceat(smallest, begin)
-    open_ = ~covered & differs[np.cumsum(new_gram) - 1]
+    maybe = np.flatnonzero(~covered & differs[np.cumsum(new_gram) - 1])
+    open_ = np.zeros(len(doc), dtype=bool)
+    for side in ("left", "right"):
+        # a window that two of them share takes in the bytes on one side of the gram
+        both = e["gram"][order[maybe]] << _U(16) | e[side][order[maybe]].astype(_U)
+        by = np.argsort(both, kind="stable")
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(by)), dtype=bool), both[by][1:] != both[by][:-1])))
+        if len(by):
+            some = np.minimum.reduceat(doc[maybe[by]], first) != np.maximum.reduceat(doc[maybe[by]], first)
+            open_[maybe[by]] |= np.repeat(some, np.diff(np.append(first, len(by))))
     take = np.flatnonzero(covered | open_)
     rows = order[take]
     first = e["first"][rows].astype(np.int64)
@@ -284,6 +299,7 @@ def covered_spans(documents: DataFrame) -> DataFrame:
     n = suffixes.df.count()
     ranged = suffixes.df.repartitionByRange(max(parallelism(docs.sparkSession), n // 1_000_000), "lead", "_id")
     found = Written(ranged.mapInArrow(_sorted_bucket, _FOUND), "suffix-repeats")
+    suffixes.drop()
     edges = found.df.where(F.col("suffix").isNotNull())
     least = edges.groupBy("suffix").agg(F.min("_id").alias("_least"))
     across = edges.join(least, "suffix").where(F.col("_id") > F.col("_least"))
