@@ -26,7 +26,7 @@ from .textnp import ALPHANUMERIC, as_int64, column, distinct_sorted, grams, text
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK = 500_000
+BLOCK = 100_000
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +176,15 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, block: int):
     parts = windows.withColumn("_block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
     for k in range(n_blocks):
         # one block at a time comes to the driver and goes to the executors
-        rows = parts.where(F.col("_block") == k).select("item_id", "words").toPandas()
-        own = [np.array(w, dtype=np.int64) for w in rows["words"]]
+        rows = parts.where(F.col("_block") == k).select("item_id", "words").toArrow()
+        own = [w.values.to_numpy() for w in rows["words"]]
         by_size: dict[int, list[np.ndarray]] = {}
         for w in own:
             by_size.setdefault(min(SHINGLE, len(w)), []).append(_shingles(w))
         known = sc.broadcast({n: distinct_sorted(np.concatenate(s)) for n, s in by_size.items()})
         counted = docs.select("text").mapInArrow(_counted(known), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")) if own else None
-        counts = dict(counted.toPandas().itertuples(index=False, name=None)) if own else {}
-        yield sc.broadcast(_Index(rows["item_id"].tolist(), own, counts))
+        counts = dict(zip(*(c.to_pylist() for c in counted.toArrow().columns), strict=True)) if own else {}
+        yield sc.broadcast(_Index(rows["item_id"].to_pylist(), own, counts))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
