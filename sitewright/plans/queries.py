@@ -5,7 +5,9 @@ Where a query needs a crawl's facts, they are the synthetic ones of `overlay`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -95,6 +97,19 @@ def page_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.select(_page_id().alias("page_id"), "total", "not_measured", F.when(F.col("total") > 5_000_000, "PERF-WEIGHT-041").when(F.col("total") > 2_000_000, "PERF-WEIGHT-040").alias("check_id"))
 
 
+def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each resource once, how it is used first, and by how many pages."""
+    pages, sites = O.pooled(spark, sf_dir)
+    return graph.assets(V.with_views(pages, sites)).select("url", "kind", "third_party", F.size("used_by").cast("bigint").alias("n_pages"), F.element_at("used_by", 1).alias("first_page"))
+
+
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-6: pages of the sitemap that no page links to."""
+    pages, sites = O.pooled(spark, sf_dir)
+    found = graph.relations(V.with_views(pages, sites), V.complete(sites, V.SITE_COLUMNS), V.empty(pages, V.ASSET_COLUMNS), V.empty(pages, V.SITEMAP_URL_COLUMNS))
+    return reduce(DataFrame.unionByName, found).where("check_id = 'SEO-MAP-094'").select(_page_id().alias("page_id"), "check_id")
+
+
 def _audited(spark: SparkSession, sf_dir: str):
     pages, sites = O.pooled(spark, sf_dir)
     return audit(pages, sites, groups=("health",))
@@ -195,7 +210,7 @@ _TRANSPORT = ("PERF-RESP-001", "PERF-HTML-010", "PERF-COMP-020", "HEALTH-LINK-00
 
 QUERIES = {
     f.__name__: f
-    for f in (page_facts, text_rules, markup_rules, transport_rules, duplicate_titles, duplicate_titles_pooled, inlinks, canonical_rules, page_weights, outcomes, summary, fix_first, page_counts, shown_findings, robots_decisions, excluded_pages, crawl_depths, request_pacing, tidy_texts, escaped_texts, origins)
+    for f in (page_facts, text_rules, markup_rules, transport_rules, duplicate_titles, duplicate_titles_pooled, inlinks, canonical_rules, resources, orphans, page_weights, outcomes, summary, fix_first, page_counts, shown_findings, robots_decisions, excluded_pages, crawl_depths, request_pacing, tidy_texts, escaped_texts, origins)
 }
 
 # SQL --------------------------------------------------------------------------------------------------------------------
@@ -317,6 +332,15 @@ fired AS (
   UNION ALL SELECT 'SEO-CANON-033' FROM m WHERE len(list_filter(cs, lambda c: NOT starts_with(c, 'https://site.example/'))) > 0
   UNION ALL SELECT 'SEO-DESC-012' FROM m WHERE d IN (SELECT d FROM dup))
 SELECT check_id, count(*) AS n FROM fired GROUP BY check_id""",
+    "resources": f"""WITH {_OVERLAID},
+found AS (
+  SELECT page_id, 1 AS k, 'image' AS kind, unnest(regexp_extract_all(h, '<img[^>]* ?src="([^"]*)"', 1)) AS u FROM o
+  UNION ALL SELECT page_id, 2, 'script', unnest(regexp_extract_all(h, '<script src="([^"]*)"', 1)) FROM o
+  UNION ALL SELECT page_id, 3, 'stylesheet', unnest(regexp_extract_all(h, '<link rel="stylesheet" href="([^"]*)"', 1)) FROM o),
+full_ AS (SELECT page_id, k, kind, CASE WHEN u LIKE 'http%' THEN u ELSE 'https://site.example' || u END AS url FROM found)
+SELECT url, first(kind ORDER BY page_id, k) AS kind, NOT starts_with(url, 'https://site.example/') AS third_party, count(DISTINCT page_id) AS n_pages,
+       'https://site.example/p/' || min(page_id) AS first_page FROM full_ GROUP BY url""",
+    "orphans": f"WITH {_OVERLAID} SELECT page_id, 'SEO-MAP-094' AS check_id FROM o WHERE status = 200 AND in_sitemap AND NOT linked AND page_id != 1",
     "page_weights": f"""WITH {_OVERLAID},
 used AS (SELECT page_id, (page_id + k * 13) % 97 AS asset FROM o, (SELECT unnest([0, 1, 2]) AS k)),
 pairs AS (SELECT DISTINCT page_id, asset FROM used),
