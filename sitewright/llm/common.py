@@ -72,6 +72,14 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text, for hold-outs; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -4,7 +4,9 @@ A parity sketch toggles one bit per shingle of a set, so two sketches differ in
 difference has elements. At similarity 3/4 that is at most a seventh of the sum of both sizes. Sizes are cut into bands; in
 each size band, the sketch is cut into more words than bits can differ and than can be blank, so that by the pigeonhole
 principle similar sets share a word that is not blank. Sketches are as sparse as sets: of a word, a 64-bit hash of its odd bits
-is kept. A set that could share blank words only (rare, and known by counting) is joined by these too.
+is kept. A set that could share blank words only (rare, and known by counting) is joined by these too. Large sets need fewer
+words than that: as differing bits meet in words, so many words that similar sets share SHARED on average leave a chance of
+about 1e-15 that they share none, below that of the hashes' collisions; and fewer words are longer, and met by chance less.
 
 Equal sets are found by digests first, and one of them stands for all. Sets that share words are candidates. Each is held against
 the first set of its word: dense sketches, folded to a common length, drop most by Hamming distance, and what is left is verified
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, parallelism
+from .common import Written, free_name, parallelism
 from .components import components, united
 from .suffixes import NULL_ID, _keyed
 from .textnp import _U, column, grams, mixed, text_chunks, words_of
@@ -36,6 +38,8 @@ from .textnp import _U, column, grams, mixed, text_chunks, words_of
 N = 5
 RATIO = 1.6
 BLOCK = 1500
+#: Words that similar sets of a size share on average, at least: none shared has then a chance of about 1e-15 per pair.
+SHARED = 35
 
 
 @lru_cache(maxsize=None)
@@ -49,17 +53,25 @@ def starts() -> tuple[int, ...]:
 
 @lru_cache(maxsize=None)
 def n_words(band: int) -> tuple[int, int]:
-    """Words of the sketches of a size band, and the most bits that can differ: the smaller set is of the band's sizes."""
+    """Words of the sketches of a size band, and the most bits that can differ; the smaller set of a pair is of the band's sizes.
+
+    Either so many that a word is shared for certain, or so many that SHARED are on average, whichever is less; for the second
+    the bits that can differ are given as -1: there is nothing to make sure of.
+    """
     least, most = starts()[band], starts()[band + 1] - 1
     differ = (most + 4 * most // 3) // 7
-    words = differ + 1
-    while True:
-        blank = words * (1 - 1 / words) ** least
-        load = least / words
-        spread = math.sqrt(max(0.0, words * math.exp(-load) * (1 - (1 + load) * math.exp(-load))))
-        if words - differ - blank - 2.5 * spread >= 1 or words > 4 * differ + 8:
-            return words, differ
-        words += 1 + words // 64
+    certain = differ + 1
+    while certain <= 4 * differ + 8:
+        blank = certain * (1 - 1 / certain) ** least
+        load = least / certain
+        spread = math.sqrt(max(0.0, certain * math.exp(-load) * (1 - (1 + load) * math.exp(-load))))
+        if certain - differ - blank - 2.5 * spread >= 1:
+            break
+        certain += 1 + certain // 64
+    likely = 8
+    while likely < certain and likely * math.exp(-differ / likely) * (1 - math.exp(-(least - differ / 2) / likely)) < SHARED:
+        likely += 1 + likely // 64
+    return (certain, differ) if certain <= likely else (likely, -1)
 
 
 def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +163,7 @@ def word_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         holder = of[order][begins]
         # words whose toggles cancel out are blank too; nothing is lost by treating them as words with a value
         blank = words - np.bincount(holder, minlength=len(size))
-        weak = used & (words - differ <= blank)
+        weak = used & (differ >= 0) & (words - differ <= blank)
         salt = (band[holder].astype(_U) << _U(40)) + (filled - base[holder]).astype(_U)
         sets.append(holder)
         keys.append(mixed(digest + mixed(salt)))
@@ -413,6 +425,6 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Of rows that share a doc_id all stay, or none.
     """
     join = Join(documents)
-    gone = join.classes().where(F.col("node") != F.col("component")).select("node")
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return documents.join(gone, id_ == F.col("node"), "left_anti")
+    node = free_name(documents, "_node")
+    gone = join.classes().where(F.col("node") != F.col("component")).select(F.col("node").alias(node))
+    return documents.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(node), "left_anti")
