@@ -374,7 +374,9 @@ class Join:
         """(a, b, shared): first sets of words and others, equal sets as one."""
         a = copies.select(F.col("copy").alias("rep"), F.col("first").alias("fa"))
         b = copies.select(F.col("copy").alias("member"), F.col("first").alias("fb"))
-        both = self.met().join(a, "rep", "left").join(b, "member", "left").select(F.coalesce("fa", "rep").alias("x"), F.coalesce("fb", "member").alias("y"), "shared")
+        # each bucket has its own count of a pair: they are added up before anything is joined
+        met = self.met().groupBy("rep", "member").agg(F.sum("shared").alias("shared"))
+        both = met.join(a, "rep", "left").join(b, "member", "left").select(F.coalesce("fa", "rep").alias("x"), F.coalesce("fb", "member").alias("y"), "shared")
         return both.where("x != y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("shared").alias("shared"))
 
     def classes(self) -> DataFrame:
