@@ -8,9 +8,10 @@ A full suffix array has an entry per byte of the corpus. This one sorts two much
    grams and equal fingerprints are copies of each other, and all but those of the smallest doc_id are covered whole. About one
    place in 18 is an anchor.
 2. Suffixes. What is left undecided are windows in runs whose gram, and the bytes on one side of it, also stand in other bytes, as
-   where a repeated passage begins and ends. Their 50-byte suffixes are range-partitioned by their leading 8 bytes, at splitters that Spark samples, a frequent
-   leading token over several buckets; each bucket sorts them by multikey quicksort, 8 bytes at a time and only where ties are
-   left; equal neighbours are compared in the bucket, and those at its boundaries with what other buckets hold of them.
+   where a repeated passage begins and ends. Such runs are range-partitioned by the leading 8 bytes of their anchor's suffix, at
+   splitters that Spark samples, a frequent leading token over several buckets. Each bucket sorts all its 50-byte suffixes by
+   multikey quicksort, 8 bytes at a time and only where ties are left; equal neighbours are compared in the bucket, and those at
+   its boundaries with what other buckets hold of them.
 
 Copies in one batch are settled there, so a passage of very many documents reaches step 1's exchange once a batch.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import Written, parallelism
+from .common import Written, free_name, parallelism
 from .textnp import _BYTE, _U, _power_tables, as_int64, column, mixed, text_chunks
 
 WINDOW = 50
@@ -40,7 +41,7 @@ SPAN = WINDOW - GRAM + 1
 BESIDE = (WINDOW - GRAM) // 2
 BLOCK = 1 << 23
 NULL_ID = -(2**63)
-ENTRIES_A_BUCKET = 250_000
+ENTRIES_A_BUCKET, RUNS_A_BUCKET = 250_000, 60_000
 
 
 def _leading(buf: np.ndarray, n: int) -> np.ndarray:
@@ -51,7 +52,7 @@ def _leading(buf: np.ndarray, n: int) -> np.ndarray:
 
 
 def _anchored(buf: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of valid windows of a block with one anchor: first and last window, hashes of the gram, of all, of the bytes beside the gram."""
+    """Runs of valid windows of a block with one anchor: first and last window, hashes of the gram, of all, of the bytes beside the gram, place of the anchor."""
     n = len(buf) - GRAM + 1
     words = _leading(buf, n + 8)
     grams = mixed(words[:n] * _U(0x9E3779B97F4A7C15) ^ mixed(words[8 : n + 8]))
@@ -76,11 +77,11 @@ def _anchored(buf: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     before, after = np.maximum(at - BESIDE, 0), np.minimum(at + GRAM + BESIDE, len(buf))
     left = mixed((sums[at] - sums[before]) * inverse[before])
     right = mixed((sums[after] - sums[at + GRAM]) * inverse[at + GRAM])
-    return i0, i1, gram, print_, left, right
+    return i0, i1, gram, print_, left, right, at - i0
 
 
 def runs(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, hashes of the gram, of all, of the bytes beside the gram) of all runs; windows lie within a text."""
+    """(text, first window, last window, hashes of the gram, of all, of the bytes beside the gram, place of the anchor in the run)."""
     buf = np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8)
     sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
@@ -94,14 +95,14 @@ def runs(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
             out.append((i0 + at, i1 + at, *hashes))
     if not out:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, *[none.view(_U)] * 4
+        return none, none, none, *[none.view(_U)] * 4, none
     i0, i1, *hashes = (np.concatenate(x) for x in zip(*out, strict=True))
     text = np.searchsorted(ends, i0, "right")
     begin = (ends - sizes)[text]
     return text, i0 - begin, i1 - begin, *hashes
 
 
-_FIELDS = (("gram", "<u8"), ("finger", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("left", "<u2"), ("right", "<u2"), ("first", "<u4"), ("length", "u1"), ("same", "u1"))
+_FIELDS = (("gram", "<u8"), ("finger", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("left", "<u2"), ("right", "<u2"), ("first", "<u4"), ("length", "u1"), ("at", "u1"), ("same", "u1"))
 
 
 def _packed(e: dict[str, np.ndarray]) -> bytes:
@@ -162,8 +163,8 @@ def _mapped(n_buckets: int):
         for batch, texts in text_chunks(batches):
             docs = column(batch, "_id").to_numpy(zero_copy_only=False)
             tags = column(batch, "_tag").to_numpy(zero_copy_only=False).astype(np.int64)
-            text, i0, i1, gram, finger, left, right = runs(texts)
-            held.append({"gram": gram & _U(0xFFFFFFFFFFFF), "finger": finger, "doc": docs[text].astype(np.int64), "tag": (tags[text] & 0xFFFFFFFF).astype(np.uint32), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "first": i0.astype(np.uint32), "length": (i1 - i0).astype(np.uint8), "same": np.zeros(len(i0), dtype=np.uint8)})
+            text, i0, i1, gram, finger, left, right, at = runs(texts)
+            held.append({"gram": gram & _U(0xFFFFFFFFFFFF), "finger": finger, "doc": docs[text].astype(np.int64), "tag": (tags[text] & 0xFFFFFFFF).astype(np.uint32), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "first": i0.astype(np.uint32), "length": (i1 - i0).astype(np.uint8), "at": at.astype(np.uint8), "same": np.zeros(len(i0), dtype=np.uint8)})
             size += len(i0)
             if size >= 1_000_000:
                 yield from flush(held)
@@ -174,7 +175,7 @@ def _mapped(n_buckets: int):
     return run
 
 
-_SPANS = "_id long, _tag long, covered boolean, first long, last long"
+_SPANS = "_id long, _tag long, covered boolean, first long, last long, at int"
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,29 +204,23 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = first + e["length"][rows] + np.where(covered[take], WINDOW, 1)
     # neighbours in a text first: equal values are then next to each other in the written table
     by = np.lexsort((first, e["doc"][rows]))
-    out = [e["doc"][rows][by], e["tag"][rows][by].astype(np.int64), covered[take][by], first[by], last[by]]
-    names = ["_id", "_tag", "covered", "first", "last"]
+    out = [e["doc"][rows][by], e["tag"][rows][by].astype(np.int64), covered[take][by], first[by], last[by], e["at"][rows][by].astype(np.int32)]
+    names = ["_id", "_tag", "covered", "first", "last", "at"]
     for at in range(0, len(rows), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in out], names=names)
 
 
-_SUFFIX = "_id long, _tag long, place long, lead long, tail binary"
+_SUFFIX = "_id long, _tag long, first long, lead long, bytes binary"
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The undecided windows of texts: their place, their first 8 bytes as a number, and the other 42."""
+    """The undecided runs of texts: their first window, the first 8 bytes of the anchor's suffix as a number, and their bytes."""
     for batch, texts in text_chunks(batches):
         ids, tags, spans = (column(batch, k).to_pylist() for k in ("_id", "_tag", "spans"))
-        for doc, tag, text, own in zip(ids, tags, texts, spans, strict=True):
-            places = np.unique(np.concatenate([np.arange(s["first"], s["last"]) for s in own]))
-            buf = np.frombuffer(text, dtype=np.uint8)
-            lead = np.ndarray((len(buf) - 7,), dtype=">u8", buffer=buf.data, strides=(1,))
-            rows = np.lib.stride_tricks.sliding_window_view(buf, WINDOW)
-            for at in range(0, len(places), 50_000):
-                p = places[at : at + 50_000]
-                tail = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW - 8), len(p), [None, pa.py_buffer(np.ascontiguousarray(rows[p, 8:]).tobytes())]).cast(pa.binary())
-                signed = (lead[p].astype(_U) ^ _U(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), tag)), pa.array(p), pa.array(signed), tail], names=["_id", "_tag", "place", "lead", "tail"])
+        rows = [(doc, tag, s["first"], int.from_bytes(text[s["first"] + s["at"] : s["first"] + s["at"] + 8], "big") - (1 << 63), text[s["first"] : s["last"] + WINDOW - 1]) for doc, tag, text, own in zip(ids, tags, texts, spans, strict=True) for s in own]
+        if rows:
+            doc, tag, first, lead, raw = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (doc, tag, first, lead)], pa.array(raw, pa.binary())], names=["_id", "_tag", "first", "lead", "bytes"])
 
 
 def multikey_sorted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,23 +256,28 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     parts = list(batches)
     if not sum(p.num_rows for p in parts):
         return
-    doc, tag, place, lead = (np.concatenate([column(p, k).to_numpy(zero_copy_only=False) for p in parts]) for k in ("_id", "_tag", "place", "lead"))
-    tails = pa.concat_arrays([column(p, "tail") for p in parts])
-    raw = np.zeros((len(doc), 48), dtype=np.uint8)
-    raw[:, : WINDOW - 8] = np.frombuffer(tails.cast(pa.binary(WINDOW - 8)).buffers()[1], np.uint8, len(doc) * (WINDOW - 8)).reshape(len(doc), -1)
-    words = np.column_stack((lead.view(_U) ^ _U(1 << 63), raw.view(">u8").astype(_U)))
+    ids, tags, first, leads = (np.concatenate([column(p, k).to_numpy(zero_copy_only=False) for p in parts]) for k in ("_id", "_tag", "first", "lead"))
+    raw = [x for p in parts for x in column(p, "bytes").to_pylist()]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    # all windows of all runs: the run, and the window's place in it
+    count = size - WINDOW + 1
+    run = np.repeat(np.arange(len(raw)), count)
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(size) - size)[run] + inner
+    eight = np.ndarray((len(buf) - 7,), dtype=">u8", buffer=buf.data, strides=(1,))
+    words = np.column_stack([eight[at + k].astype(_U) for k in (*range(0, WINDOW - 8, 8), WINDOW - 8)])
+    doc, tag, place = ids[run], tags[run], first[run] + inner
     order, cls = multikey_sorted(words)
     least = np.minimum.reduceat(doc[order], np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))))
     repeated = doc[order] > least[cls]
     # leading tokens that the splitters may have left in other buckets too
-    edge = (lead[order] == lead[order[0]]) | (lead[order] == lead[order[-1]])
+    edge = ((leads == leads.min()) | (leads == leads.max()))[run][order]
     take = np.flatnonzero(repeated | edge)
-    rows = order[take]
-    full = np.concatenate((words[rows, 0].astype(">u8").view(np.uint8).reshape(-1, 8), raw[rows, : WINDOW - 8]), axis=1) if len(rows) else np.zeros((0, WINDOW), dtype=np.uint8)
-    settled = repeated[take]
-    for at in range(0, len(rows), 50_000):
-        s = slice(at, at + 50_000)
-        suffix = [None if done else row.tobytes() for done, row in zip(settled[s], full[s], strict=True)]
+    rows, settled = order[take], repeated[take]
+    for k in range(0, len(rows), 50_000):
+        s = slice(k, k + 50_000)
+        suffix = [None if done else buf[i : i + WINDOW].tobytes() for done, i in zip(settled[s], at[rows[s]], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x[rows[s]]) for x in (doc, tag, place)] + [pa.array(suffix, pa.binary())], names=["_id", "_tag", "place", "suffix"])
 
 
@@ -294,10 +294,10 @@ def covered_spans(documents: DataFrame) -> DataFrame:
     n_buckets = max(1, min(60_000, max(4 * parts, size // (18 * ENTRIES_A_BUCKET))))
     entries = docs.mapInArrow(_mapped(n_buckets), "bucket long, entries binary").repartition(parts, "bucket")
     decided = Written(entries.mapInArrow(_decided, _SPANS), "suffix-runs").df
-    undecided = decided.where(~F.col("covered")).groupBy("_id", "_tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    suffixes = Written(docs.join(undecided, ["_id", "_tag"]).dropDuplicates(["_id", "_tag"]).mapInArrow(_suffixes, _SUFFIX), "suffix-windows")
+    undecided = decided.where(~F.col("covered")).groupBy("_id", "_tag").agg(F.collect_list(F.struct("first", "last", "at")).alias("spans"))
+    suffixes = Written(docs.join(undecided, ["_id", "_tag"]).dropDuplicates(["_id", "_tag"]).mapInArrow(_suffixes, _SUFFIX), "suffix-undecided")
     n = suffixes.df.count()
-    ranged = suffixes.df.repartitionByRange(max(parallelism(docs.sparkSession), n // 1_000_000), "lead", "_id")
+    ranged = suffixes.df.repartitionByRange(max(parallelism(docs.sparkSession), n // RUNS_A_BUCKET), "lead", "_id")
     found = Written(ranged.mapInArrow(_sorted_bucket, _FOUND), "suffix-repeats")
     suffixes.drop()
     edges = found.df.where(F.col("suffix").isNotNull())
@@ -352,30 +352,33 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     A character of which a byte is cut goes as a whole, so texts stay valid. Texts that lose all are empty, not dropped.
     """
     schema = documents.schema
-    spans = _spans_by_text(covered_spans(documents))
-    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_tag", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    cut = keyed.join(spans, ["_id", "_tag"], "left").select(*[documents[c] for c in documents.columns], F.col("spans").alias("_spans"))
-    cut = cut.mapInArrow(_cut_texts, StructType([*schema.fields, StructField("_spans", ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))]))
+    spans_name, id_name, tag_name = (free_name(documents, n) for n in ("_spans", "_id", "_tag"))
+    spans = _spans_by_text(covered_spans(documents)).select(F.col("_id").alias(id_name), F.col("_tag").alias(tag_name), F.col("spans").alias(spans_name))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(id_name)) & (F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col(tag_name))
+    cut = documents.join(spans, same, "left").select(*[F.col(f"`{c}`") for c in schema.names], spans_name)
+    cut = cut.mapInArrow(_cut_texts(spans_name), StructType([*schema.fields, StructField(spans_name, ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))]))
     out = cut.select(*schema.names)
     if "n_chars" in schema.names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(schema["n_chars"].dataType)))
     return out
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in text_chunks(batches):
-        out = []
-        for text, spans in zip(texts, column(batch, "_spans").to_pylist(), strict=True):
-            if text is None or not spans:
-                out.append(None if text is None else text.decode())
-                continue
-            first, last = united(spans)
-            buf = np.frombuffer(text, np.uint8)
-            inner = (buf & 0xC0) == 0x80
-            begins = np.flatnonzero(~inner)
-            # widen each cut to whole characters
-            first = begins[np.searchsorted(begins, first, "right") - 1]
-            ends = np.append(begins, len(buf))
-            last = ends[np.searchsorted(ends, last, "left")]
-            out.append(_kept(text, *united([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])).decode())
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+def _cut_texts(spans_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            out = [_cut(text, spans) for text, spans in zip(texts, column(batch, spans_name).to_pylist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+
+    return run
+
+
+def _cut(text: bytes | None, spans: list[dict] | None) -> str | None:
+    """A text without some bytes, and without characters of which they are a part."""
+    if text is None or not spans:
+        return None if text is None else text.decode()
+    first, last = united(spans)
+    begins = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+    first = begins[np.searchsorted(begins, first, "right") - 1]
+    ends = np.append(begins, len(text))
+    last = ends[np.searchsorted(ends, last, "left")]
+    return _kept(text, *united([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])).decode()
