@@ -1,4 +1,4 @@
-"""A feed of captured pages, audited as it comes. The reference has nothing like it; rules on single pages need no state.
+"""A feed of captured pages, audited as it comes: an extra. Rules on single pages need no state.
 
 Each micro-batch is extracted and held against the page rules in one pass; findings are appended, and counts by rule and window of
 time can be kept with a watermark.
