@@ -41,7 +41,8 @@ SPAN = WINDOW - GRAM + 1
 BESIDE = (WINDOW - GRAM) // 2
 BLOCK = 1 << 23
 NULL_ID = -(2**63)
-ENTRIES_A_BUCKET, RUNS_A_BUCKET = 250_000, 60_000
+#: Entries that a task decides, entries of a bucket of them, and undecided runs that a task sorts: what a task holds in memory.
+ENTRIES_A_TASK, ENTRIES_A_BUCKET, RUNS_A_BUCKET = 400_000, 100_000, 25_000
 
 
 def _leading(buf: np.ndarray, n: int) -> np.ndarray:
@@ -166,7 +167,7 @@ def _mapped(n_buckets: int):
             text, i0, i1, gram, finger, left, right, at = runs(texts)
             held.append({"gram": gram & _U(0xFFFFFFFFFFFF), "finger": finger, "doc": docs[text].astype(np.int64), "tag": (tags[text] & 0xFFFFFFFF).astype(np.uint32), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "first": i0.astype(np.uint32), "length": (i1 - i0).astype(np.uint8), "at": at.astype(np.uint8), "same": np.zeros(len(i0), dtype=np.uint8)})
             size += len(i0)
-            if size >= 1_000_000:
+            if size >= 400_000:
                 yield from flush(held)
                 held, size = [], 0
         if held:
@@ -290,7 +291,7 @@ def covered_spans(documents: DataFrame) -> DataFrame:
     """(_id, _tag, first, last): runs of bytes to remove, last excluded; they may overlap."""
     docs = _keyed(documents.where(F.octet_length("text") >= WINDOW))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(parallelism(docs.sparkSession), size // (18 * 1_000_000))
+    parts = max(parallelism(docs.sparkSession), size // (18 * ENTRIES_A_TASK))
     n_buckets = max(1, min(60_000, max(4 * parts, size // (18 * ENTRIES_A_BUCKET))))
     entries = docs.mapInArrow(_mapped(n_buckets), "bucket long, entries binary").repartition(parts, "bucket")
     decided = Written(entries.mapInArrow(_decided, _SPANS), "suffix-runs").df
