@@ -1,15 +1,18 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-Token counts are gathered from all training documents. The VOCABULARY most frequent tokens are dealt by rank into classes; all
+Token counts are gathered from all training documents. The most frequent tokens are dealt by rank into classes; all
 others form one more class, in which a token's share is its smoothed count. A token's probability is that of its class times
 that of the token in its class, each a softmax over hashed features of what goes before: the last word, the one before it
 (a skip), and both. Weights start at zero over unigram constants and are trained by distributed gradient updates: in each round
-every task descends on its part of a sample, and the changes are averaged. Scoring runs on batches of tokens, as sparse rows of
-the weight tables.
+every task descends on all training documents of its partition, chunk by chunk, and the changes are averaged, each row of the
+tables by how often a task met it. Scoring runs on batches of tokens, as sparse rows of the weight tables.
+
+The model grows with the counts, about as the square root of the tokens: its vocabulary are the tokens seen at least a tenth of
+that root (VOCABULARY at least), in as many classes as members of each; its tables have rows for the root (ROWS at least).
+Changes go through the shuffle in slices of the tables, so that no task adds up more than its slices.
 
 Words are known by 64-bit hashes. Tokens that rank below FREQUENT are too many to broadcast: their counts are joined in a
-shuffle. The sample for gradients has about TRAIN_TOKENS tokens (all, if there are fewer), which bounds the time and traffic of
-training; counts, and so all that is scored by them, cover every training document.
+shuffle.
 
 Defined cases: a null or blank text is one end token; with no training documents N and V are 0 and every token is unseen; equal
 counts rank by hash; rows with equal doc_ids are scored each; an empty table gives no rows; only doc_id and text are looked at.
@@ -17,24 +20,26 @@ counts rank by hash; rows with equal doc_ids are scored each; an empty table giv
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, id_crc
+from .common import Written, id_crc, parallelism
 from .textnp import _U, as_int64, column, mixed, text_chunks, words_of
 
+#: What the least model has; larger ones follow from the counts.
 CLASSES, MEMBERS = 64, 64
 VOCABULARY = CLASSES * MEMBERS
-RARE = CLASSES
 ROWS = 1 << 13
 FREQUENT = 1 << 18
-TRAIN_TOKENS, PARTS, ROUNDS = 1_500_000, 8, 3
+ROUNDS = 3
 RATE, BATCH = 0.15, 4096
+#: Rows of a table whose changes are added up together.
+SLICE = 64
 END, BEGIN = _U(0x1F3D5B79A2C4E6F8), _U(0x2A4C6E8193B5D7F9)
 _SALTS = (_U(0x8CB92BA72F3D8DD7), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
@@ -89,20 +94,25 @@ class Model:
         order = np.argsort(frequent)
         self.token, self.count = frequent[order], counts[order]
         self.total, self.distinct = total, distinct
-        rank = np.lexsort((self.token, -self.count))[:VOCABULARY]
+        root = math.isqrt(total)
+        often = int((self.count >= max(1, root // 10)).sum())
+        # as many classes as members of each
+        self.side = max(CLASSES, math.isqrt(max(0, often - 1)) + 1)
+        self.rows = max(ROWS, 1 << max(0, root.bit_length() - 1))
+        rank = np.lexsort((self.token, -self.count))[: self.side**2]
         self.place = np.full(len(self.token), -1, dtype=np.int32)
         self.place[rank] = np.arange(len(rank))
         known = self.count[rank]
         self.rare_total = int(total - known.sum())
         self.rare_distinct = int(distinct - len(rank))
-        n = np.zeros(VOCABULARY)
+        n = np.zeros(self.side**2)
         n[: len(rank)] = known
-        by_class = n.reshape(CLASSES, MEMBERS)
+        by_class = n.reshape(self.side, self.side)
         self.class_bias = np.log(np.append(by_class.sum(axis=1), self.rare_total) + 0.5).astype(np.float32)
-        filled = (np.arange(VOCABULARY) < len(rank)).reshape(CLASSES, MEMBERS)
+        filled = (np.arange(self.side**2) < len(rank)).reshape(self.side, self.side)
         self.class_bias[:-1][~filled.any(axis=1)] = -1e4
         self.member_bias = np.where(filled, np.log(by_class + 0.5), -1e4).astype(np.float32)
-        self.weights = [np.zeros((ROWS, CLASSES + 1), dtype=np.float32), np.zeros((ROWS, MEMBERS), dtype=np.float32)]
+        self.weights = [np.zeros((self.rows, self.side + 1), dtype=np.float32), np.zeros((self.rows, self.side), dtype=np.float32)]
 
     def find(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, place in the vocabulary) of tokens; -1 where a token isn't frequent, or not of the vocabulary."""
@@ -120,12 +130,19 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _rows(context: np.ndarray) -> np.ndarray:
-    return (context & _U(ROWS - 1)).astype(np.int64)
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _rows(model: Model, context: np.ndarray) -> np.ndarray:
+    return (context & _U(model.rows - 1)).astype(np.int64)
 
 
-def _class_rows(context: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return _rows(mixed(context + (cls.astype(_U) + _U(1))[:, None] * _SALTS[1]))
+def _class_rows(model: Model, context: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return _rows(model, mixed(context + (cls.astype(_U) + _U(1))[:, None] * _SALTS[1]))
 
 
 def _class_logits(model: Model, rows: np.ndarray) -> np.ndarray:
@@ -144,63 +161,92 @@ def log10_probabilities(model: Model, context: np.ndarray, place: np.ndarray) ->
     for at in range(0, len(place), 2 * BATCH):
         s = slice(at, at + 2 * BATCH)
         own = place[s]
-        cls = np.where(own >= 0, own // MEMBERS, RARE)
-        p = _log_softmax(_class_logits(model, _rows(context[s])))[np.arange(len(own)), cls]
+        cls = np.where(own >= 0, own // model.side, model.side)
+        p = _log_softmax(_class_logits(model, _rows(model, context[s])))[np.arange(len(own)), cls]
         common = np.flatnonzero(own >= 0)
-        inner = _log_softmax(_member_logits(model, _class_rows(context[s][common], cls[common]), cls[common]))
-        p[common] += inner[np.arange(len(common)), own[common] % MEMBERS]
+        inner = _log_softmax(_member_logits(model, _class_rows(model, context[s][common], cls[common]), cls[common]))
+        p[common] += inner[np.arange(len(common)), own[common] % model.side]
         out[s] = p
     return out / np.log(10)
 
 
-def _step(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """An AdaGrad step on the rows that a batch touches."""
+def _step(w: np.ndarray, squares: np.ndarray, hits: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+    """An AdaGrad step on the rows that a batch touches; hits counts how often each was."""
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    begins = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-    total = np.add.reduceat(gradient[order // rows.shape[1]], begins, axis=0)
-    touched = flat[order][begins]
-    squares[touched] += total**2
-    w[touched] -= RATE * total / (np.sqrt(squares[touched]) + 1e-3)
-
-
-def descended(model: Model, texts: list[bytes | None]) -> list[np.ndarray]:
-    """The changes of the weights after one pass over some texts."""
-    model_w = [w.copy() for w in model.weights]
-    before, model.weights = model.weights, model_w
-    squares = [np.full(w.shape, 0.1, dtype=np.float32) for w in model_w]
-    stream, bounds = tokens(texts)
-    context, (_, place) = contexts(stream, bounds), model.find(stream)
-    for at in range(0, len(place), BATCH):
-        own, ctx = place[at : at + BATCH], context[at : at + BATCH]
-        cls = np.where(own >= 0, own // MEMBERS, RARE)
-        rows = _rows(ctx)
-        g = np.exp(_log_softmax(_class_logits(model, rows)))
-        g[np.arange(len(own)), cls] -= 1
-        _step(model_w[0], squares[0], rows, g)
-        common = np.flatnonzero(own >= 0)
-        if len(common):
-            rows = _class_rows(ctx[common], cls[common])
-            g = np.exp(_log_softmax(_member_logits(model, rows, cls[common])))
-            g[np.arange(len(common)), own[common] % MEMBERS] -= 1
-            _step(model_w[1], squares[1], rows, g)
-    model.weights = before
-    return [new - old for new, old in zip(model_w, before, strict=True)]
+    order = np.argsort(flat.astype(np.uint16) if len(w) <= 65536 else flat, kind="stable")
+    flat, token = flat[order], order // rows.shape[1]
+    begins = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    times, touched = np.diff(np.append(begins, len(flat))), flat[begins]
+    # gradients of rows met a few times are added up time by time, those of the others row by row
+    total = gradient[token[begins]]
+    few = np.flatnonzero((times > 1) & (times <= 16))
+    for k in range(1, 16):
+        few = few[times[few] > k]
+        total[few] += gradient[token[begins[few] + k]]
+    for k in np.flatnonzero(times > 16).tolist():
+        total[k] = gradient[token[begins[k] : begins[k] + times[k]]].sum(axis=0)
+    hits[touched] += times
+    own = squares[touched] + total**2
+    squares[touched] = own
+    np.sqrt(own, out=own)
+    own += 1e-3
+    np.divide(total, own, out=own)
+    own *= RATE
+    w[touched] -= own
+
+
+def descended(model: Model, chunks: Iterator[list[bytes | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(changes, hits of rows) of each weight table after one pass over the texts of all chunks."""
+    before, model.weights = model.weights, [w.copy() for w in model.weights]
+    squares = [np.full(w.shape, 0.1, dtype=np.float32) for w in before]
+    hits = [np.zeros(len(w), dtype=np.int64) for w in before]
+    for texts in chunks:
+        stream, bounds = tokens(texts)
+        context, (_, place) = contexts(stream, bounds), model.find(stream)
+        for at in range(0, len(place), BATCH):
+            own, ctx = place[at : at + BATCH], context[at : at + BATCH]
+            cls = np.where(own >= 0, own // model.side, model.side)
+            rows = _rows(model, ctx)
+            g = _softmax(_class_logits(model, rows))
+            g[np.arange(len(own)), cls] -= 1
+            _step(model.weights[0], squares[0], hits[0], rows, g)
+            common = np.flatnonzero(own >= 0)
+            if len(common):
+                rows = _class_rows(model, ctx[common], cls[common])
+                g = _softmax(_member_logits(model, rows, cls[common]))
+                g[np.arange(len(common)), own[common] % model.side] -= 1
+                _step(model.weights[1], squares[1], hits[1], rows, g)
+    after, model.weights = model.weights, before
+    return [(new - old, n) for new, old, n in zip(after, before, hits, strict=True)]
+
+
+_CHANGES = "part long, at long, change binary, hits binary"
 
 
 def _descending(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for _, own in text_chunks(batches) for t in own]
-        if texts:
-            for k, change in enumerate(descended(shared.value, texts)):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([change.astype(np.float16).tobytes()], pa.binary())], names=["part", "change"])
+        for k, (change, hits) in enumerate(descended(shared.value, (texts for _, texts in text_chunks(batches)))):
+            met = [at for at in range(0, len(hits), SLICE) if hits[at : at + SLICE].any()]
+            changes = [change[at : at + SLICE].astype(np.float16).tobytes() for at in met]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(met), pa.int64()), pa.array(met, pa.int64()), pa.array(changes, pa.binary()), pa.array([hits[at : at + SLICE].tobytes() for at in met], pa.binary())], names=["part", "at", "change", "hits"])
 
     return run
 
 
-def _averaged(key, rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.float16).astype(np.float32) for x in rows["change"])
-    return pd.DataFrame({"part": [key[0]], "change": [(total / len(rows)).astype(np.float32).tobytes()]})
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of slices -> their mean, each row weighted by its hits."""
+    sums: dict[tuple[int, int], list[np.ndarray]] = {}
+    for batch in batches:
+        for part, at, change, hits in zip(*(column(batch, k).to_pylist() for k in ("part", "at", "change", "hits")), strict=True):
+            n = np.frombuffer(hits, np.int64)
+            weighted = np.frombuffer(change, np.float16).reshape(len(n), -1) * n[:, None].astype(np.float64)
+            if (part, at) in sums:
+                sums[part, at][0] += weighted
+                sums[part, at][1] += n
+            else:
+                sums[part, at] = [weighted, n.copy()]
+    means = [(total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes() for total, n in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array(means, pa.binary())], names=["part", "at", "change"])
 
 
 def train(documents: DataFrame, counts: DataFrame) -> Model:
@@ -213,15 +259,13 @@ def train(documents: DataFrame, counts: DataFrame) -> Model:
     least = int(fits.min()) if len(fits) else 1 << 62
     frequent = counts.where(F.col("n") >= least).select("token", "n").toArrow()
     model = Model(frequent["token"].to_numpy(), frequent["n"].to_numpy(), int(total), int(distinct))
-    share = min(1.0, TRAIN_TOKENS / max(1, total))
-    drawn = documents.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text")
-    # a bounded sample, in a fixed number of parts: as many changes are averaged in each round
-    sample = Written(drawn.repartition(PARTS, F.xxhash64("text")), "lm-sample").df
     for _ in range(ROUNDS):
         shared = sc.broadcast(model)
-        changes = sample.coalesce(PARTS).mapInArrow(_descending(shared), "part long, change binary").groupBy("part").applyInPandas(_averaged, "part long, change binary")
-        for part, change in changes.toPandas().itertuples(index=False, name=None):
-            model.weights[part] = model.weights[part] + np.frombuffer(change, np.float32).reshape(model.weights[part].shape)
+        changes = documents.select("text").mapInArrow(_descending(shared), _CHANGES)
+        means = changes.repartition(parallelism(documents.sparkSession), "part", "at").mapInArrow(_averaged, "part long, at long, change binary")
+        for part, at, change in means.toPandas().itertuples(index=False, name=None):
+            w = model.weights[part][at : at + SLICE]
+            w += np.frombuffer(change, np.float32).reshape(w.shape)
     return model
 
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,5 +297,36 @@ def test_training_helps(spark):
     assert got and all(r.score > r.base_score for r in got)
 
 
+def test_all_training_documents_give_gradients(spark):
+    # over 1.5 million tokens, all in copies of one text whose hash a draw of a share leaves out
+    texts = [f"red apples fall and green pears stay t{k} " * 2500 for k in range(20)]
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.pmod(F.xxhash64("text"), F.lit(1_000_000)).alias("h")).orderBy(F.desc("h")).first()
+    assert hashed.h > 850_000
+    documents = spark.range(0, 90, 1, 4).select(F.lit(hashed.text).alias("text"))
+    own = Counter(lm.tokens([hashed.text.encode()])[0].view(np.int64).tolist())
+    counts = spark.createDataFrame([(t, n * 90) for t, n in own.items()], "token long, n long")
+    model = lm.train(documents, counts)
+    stream, bounds = lm.tokens([hashed.text.encode()])
+    p = lm.log10_probabilities(model, lm.contexts(stream, bounds), model.find(stream)[1])
+    assert np.abs(model.weights[1]).max() > 0.1 and p.mean() > -0.1
+
+
+def test_model_grows_with_counts():
+    n = np.maximum(1, 40_000_000 // np.arange(1, 20_001))
+    model = lm.Model(np.arange(1, 20_001, dtype=np.int64), n, int(n.sum()), len(n))
+    assert model.side**2 > lm.VOCABULARY and model.rows > lm.ROWS
+    context = np.repeat(np.array([[11, 22, 33]], dtype=np.uint64), model.side**2 + 1, axis=0)
+    assert math.isclose((10 ** lm.log10_probabilities(model, context, np.append(np.arange(model.side**2), -1))).sum(), 1, rel_tol=1e-4)
+
+
+def test_changes_are_averaged_by_hits():
+    change, hits = np.ones((lm.SLICE, 3), np.float16), np.zeros(lm.SLICE, np.int64)
+    hits[0] = 3
+    rows = [(0, 0, change.tobytes(), hits.tobytes()), (0, 0, (change * 5).tobytes(), np.ones(lm.SLICE, np.int64).tobytes())]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["part", "at", "change", "hits"])
+    out = np.frombuffer(next(lm._averaged(iter([batch])))["change"][0].as_py(), np.float32).reshape(-1, 3)
+    assert out[0].tolist() == [2, 2, 2] and out[1].tolist() == [5, 5, 5]
+
+
 def test_model_of_nothing(none):
     assert lm.scored(none).count() == 0
