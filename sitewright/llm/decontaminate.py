@@ -200,11 +200,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK
         return found
     merged = write_out(found, "decontaminate-hits")
     more = merged.where(F.size("items") > 0).groupBy("doc_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    base = docs.select("doc_id", "_key").join(merged.groupBy("doc_id", "_key").agg(F.max("n_words").alias("n_words")).alias("b"), ["doc_id", "_key"], "left")
-    joined = base.join(more, ["doc_id", "_key"], "left")
+    # a null doc_id is an id like others here too, as it is with one block
+    found_by = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d._key") == F.col(f"{other}._key"))
+    counted = merged.groupBy("doc_id", "_key").agg(F.max("n_words").alias("n_words"))
+    joined = docs.select("doc_id", "_key").alias("d").join(counted.alias("c"), found_by("c"), "left").join(more.alias("m"), found_by("m"), "left")
     spans = F.aggregate(F.array_sort("spans"), F.array().cast("array<struct<first:bigint,last:bigint>>"), lambda s, x: F.when((F.size(s) > 0) & (x["first"] <= F.element_at(s, -1)["last"]), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["first"].alias("first"), F.greatest(F.element_at(s, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(s, F.array(x))))
     none = F.array()
-    return joined.select("doc_id", "_key", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce(spans, none.cast("array<struct<first:bigint,last:bigint>>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
+    return joined.select("d.doc_id", "d._key", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce(spans, none.cast("array<struct<first:bigint,last:bigint>>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -148,6 +148,13 @@ def test_contamination_matches_brute_force(spark, docs, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(e[0] for e in expected if not e[5])
 
 
+def test_null_ids_are_counted_with_many_blocks(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g h i j k", None, None, 0), (None, "none of it", None, None, 0), (None, None, None, None, 0), (3, "c d e f g h i j k l", None, None, 0)], SCHEMA)
+    benchmark = spark.createDataFrame([(1, "b c d e f g h i j k l m n"), (2, "a b c d e f g h i j")], "item_id long, text string")
+    one, many = (sorted((tuple(r) for r in decontaminate.digests(decontaminate.contamination(docs, benchmark, block)).collect()), key=str) for block in (100_000, 1))
+    assert one == many and sum(r[-1] for r in one) == 2
+
+
 def test_contamination_of_empty_tables(spark, docs, none):
     no_items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(none, no_items).count() == 0
