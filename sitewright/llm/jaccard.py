@@ -371,19 +371,19 @@ class Join:
         return Written(dealt.mapInArrow(_verified, "a long, b long"), "jaccard-links").df
 
     def seen(self, copies: DataFrame) -> DataFrame:
-        """(a, b, shared): first sets of words and others, equal sets as one."""
+        """(rep, id, shared): first sets of words and others, equal sets as one. The first set keeps its side, even if it isn't the lesser: it names the group."""
         a = copies.select(F.col("copy").alias("rep"), F.col("first").alias("fa"))
         b = copies.select(F.col("copy").alias("member"), F.col("first").alias("fb"))
         # each bucket has its own count of a pair: they are added up before anything is joined
         met = self.met().groupBy("rep", "member").agg(F.sum("shared").alias("shared"))
         both = met.join(a, "rep", "left").join(b, "member", "left").select(F.coalesce("fa", "rep").alias("x"), F.coalesce("fb", "member").alias("y"), "shared")
-        return both.where("x != y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("shared").alias("shared"))
+        return both.where("x != y").groupBy(F.col("x").alias("rep"), F.col("y").alias("id")).agg(F.sum("shared").alias("shared"))
 
     def classes(self) -> DataFrame:
         """(node, component) of every document with a link."""
         copies = Written(self.copies(), "jaccard-copies").df
         seen = Written(self.seen(copies), "jaccard-seen").df
-        near = Written(self.sized(seen), "jaccard-near").df
+        near = Written(self.sized(seen.select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b"), "shared")), "jaccard-near").df
         # first, for each set the one that shares most words with it; then whatever is not of the same class by then
         best = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
         labels = components(self.verify(best))
@@ -401,7 +401,7 @@ class Join:
 
     def rest(self, seen: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different classes among the sets that met one set, in blocks of about BLOCK sets by as many."""
-        members = seen.select(F.col("a").alias("rep"), F.col("b").alias("id")).unionByName(seen.select(F.col("a").alias("rep"), F.col("a").alias("id")).distinct())
+        members = seen.select("rep", "id").unionByName(seen.select("rep", F.col("rep").alias("id")).distinct())
         named = members.join(labels, F.col("id") == F.col("node"), "left").select("rep", "id", F.coalesce("component", "id").alias("class"))
         open_ = named.groupBy("rep").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi and size > 2").select("rep", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
         sets = self.sets.dropDuplicates(["_id"]).select(F.col("_id").alias("id"), "n", "sketch")

@@ -90,6 +90,15 @@ def test_blocks_hold_sets_of_a_word_against_each_other(spark, docs, monkeypatch)
     assert {r.doc_id: r.component_id for r in jaccard.similar(docs).collect()} == root
 
 
+def test_a_word_keeps_its_first_set_when_copies_are_smaller(spark, monkeypatch):
+    # a word of the sets 50, 70 and 100; 100 is a copy of 5, whose words were never sent, and only 5 and 70 are similar
+    near = [f"w{k}" for k in range(60)]
+    texts = [(100, " ".join(near)), (50, " ".join(f"z{k}" for k in range(60))), (70, " ".join([*near, "tail"])), (5, " ".join(near))]
+    monkeypatch.setattr(jaccard.Join, "met", lambda self: spark.createDataFrame([(50, 70, 1), (50, 100, 1)], "rep long, member long, shared long"))
+    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame([(*t, None, None, 0) for t in texts], SCHEMA)).collect()}
+    assert got == {100: 5, 50: 50, 70: 5, 5: 5}
+
+
 def test_components_of_links(spark):
     links = spark.createDataFrame([(5, 3), (3, 9), (2, 1), (9, 7), (4, 4)], "a long, b long")
     got = {(r.node, r.component) for r in components.components(links).collect()}
