@@ -8,11 +8,12 @@ is kept. A set that could share blank words only (rare, and known by counting) i
 words than that: as differing bits meet in words, so many words that similar sets share SHARED on average leave a chance of
 about 1e-15 that they share none, below that of the hashes' collisions; and fewer words are longer, and met by chance less.
 
-Equal sets are found by digests first, and one of them stands for all. Sets that share words are candidates. Each is held against
-the first set of its word: dense sketches, folded to a common length, drop most by Hamming distance, and what is left is verified
-on the texts. Verified links are united to classes; then, only where the sets that met one first set aren't all of one class yet,
-their pairs of different classes are held against each other likewise, in blocks. So each link that is not implied by others is
-looked at, and tight groups cost a link per member, not per pair.
+Equal sets have one 64-bit digest, and are one node from there on (two of N different sets collide with a chance of N*N / 2**65).
+Of all words, those that more than one set has are kept; in each, the set with most company stands for the group. Sets that
+share words are candidates. Each is held against those that stand for its words: dense sketches, folded to a common length, drop
+most by Hamming distance, and what is left is verified on the texts. Verified links are united to classes; then, only where the
+sets that met one set aren't all of one class yet, their pairs of different classes are held against each other likewise, in
+blocks. So each link that is not implied by others is looked at, and tight groups cost a link per member, not per pair.
 
 Defined cases: without words or text a set is empty and linked with nothing; with fewer than five words the whole sequence is
 the one shingle; rows that share a doc_id are one document in links; repeated rows get a row each; a null doc_id is a document
@@ -115,22 +116,23 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _set_digest(values: np.ndarray) -> tuple[int, int]:
-    return int(np.bitwise_xor.reduce(mixed(values ^ _U(1)), initial=_U(0)).view(np.int64)), int(np.add.reduce(mixed(values ^ _U(2))).view(np.int64))
+def set_digest(values: np.ndarray) -> int:
+    """What a set is known by, wherever it stands: 64 bits of all its shingles."""
+    return int((mixed(np.bitwise_xor.reduce(mixed(values ^ _U(1)), initial=_U(0))[None]) + mixed(np.add.reduce(mixed(values ^ _U(2)), keepdims=True)))[0].view(np.int64))
 
 
-_SETS = "_id long, _tag long, n long, d1 long, d2 long, sketch binary"
+_SETS = "_id long, _tag long, n long, node long, sketch binary"
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> their sets' sizes, digests and sketches. An empty set is equal to none of another doc_id: its node is of the doc_id."""
     for batch, texts in text_chunks(batches):
         values, bounds = shingle_sets(texts)
         own = [values[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
-        digests = [_set_digest(x) for x in own]
-        yield pa.RecordBatch.from_arrays(
-            [column(batch, "_id"), column(batch, "_tag"), pa.array(np.diff(bounds)), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([dense_sketch(x) for x in own], pa.binary())],
-            names=["_id", "_tag", "n", "d1", "d2", "sketch"],
-        )
+        node = np.array([set_digest(x) for x in own], dtype=np.int64)
+        ids = column(batch, "_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        node = np.where(np.diff(bounds) > 0, node, mixed(ids.view(_U) ^ _U(0x5BF0363574A1C29D)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([column(batch, "_id"), column(batch, "_tag"), pa.array(np.diff(bounds)), pa.array(node), pa.array([dense_sketch(x) for x in own], pa.binary())], names=["_id", "_tag", "n", "node", "sketch"])
 
 
 def word_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,11 +178,15 @@ def word_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(sets), np.concatenate(keys)
 
 
+#: Bytes of a word's key beside its bucket, and of a set's digest.
+KEY, NODE = 6, 8
+
+
 def _keyed_words(n_buckets: int):
-    """Texts -> (bucket, keys and ids). Of equal sets in a batch only the first goes on: equal sets are linked by their digests."""
+    """Texts -> (bucket, keys and digests). Equal sets have equal digests, so of those in a batch one is enough."""
 
-    def flush(ids: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        id_, key = np.concatenate(ids), np.concatenate(keys)
+    def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node, key = np.concatenate(nodes), np.concatenate(keys)
         bucket = (key % _U(n_buckets)).astype(np.int64)
         by = np.argsort(bucket.astype(np.uint16) if n_buckets <= 65536 else bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
@@ -188,67 +194,65 @@ def _keyed_words(n_buckets: int):
         blobs = []
         for b in used:
             rows = by[cuts[b] : cuts[b + 1]]
-            planes = np.ascontiguousarray(np.diff(id_[rows], prepend=0)).view(np.uint8).reshape(-1, 8).T
-            blobs.append(key[rows].view(np.uint8).reshape(-1, 8)[:, 1:].tobytes() + planes.tobytes())
+            blobs.append(key[rows].view(np.uint8).reshape(-1, 8)[:, 8 - KEY :].tobytes() + node[rows].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(blobs, pa.binary())], names=["bucket", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, size, seen = [], [], 0, set()
-        for batch, texts in text_chunks(batches):
-            doc = column(batch, "_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        nodes, keys, size, seen = [], [], 0, set()
+        for _, texts in text_chunks(batches):
             values, bounds = shingle_sets(texts)
+            digest = np.array([set_digest(values[bounds[k] : bounds[k + 1]]) for k in range(len(texts))], dtype=np.int64)
             fresh = np.zeros(len(texts), dtype=bool)
-            for k in range(len(texts)):
-                digest = _set_digest(values[bounds[k] : bounds[k + 1]])
-                fresh[k] = digest not in seen
-                seen.add(digest)
+            for k, d in enumerate(digest.tolist()):
+                fresh[k] = d not in seen
+                seen.add(d)
             count = np.diff(bounds)
-            mine = values[np.repeat(fresh, count)]
-            sets, key = word_keys(mine, np.concatenate(([0], np.cumsum(np.where(fresh, count, 0)))))
-            by = np.argsort(sets, kind="stable")
-            ids.append(doc[sets[by]])
-            keys.append(key[by])
+            sets, key = word_keys(values[np.repeat(fresh, count)], np.concatenate(([0], np.cumsum(np.where(fresh, count, 0)))))
+            nodes.append(digest[sets])
+            keys.append(key)
             size += len(key)
             if size >= 1_500_000:
-                yield from flush(ids, keys)
-                ids, keys, size, seen = [], [], 0, set()
+                yield from flush(nodes, keys)
+                nodes, keys, size, seen = [], [], 0, set()
         if size:
-            yield from flush(ids, keys)
+            yield from flush(nodes, keys)
 
     return run
 
 
-_MET = "rep long, member long, shared long"
+_SHARED = "key long, node long, size long"
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's words -> (first set of a word, other set, words so shared)."""
-    keys, ids = [], []
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's words -> (word, set, sets with this word) for the words that more than one set has."""
+    keys, nodes, buckets = [], [], []
     for batch in batches:
-        for blob in column(batch, "words").to_pylist():
-            n = len(blob) // 15
+        for bucket, blob in zip(column(batch, "bucket").to_pylist(), column(batch, "words").to_pylist(), strict=True):
+            n = len(blob) // (KEY + NODE)
             raw = np.zeros((n, 8), dtype=np.uint8)
-            raw[:, 1:] = np.frombuffer(blob, np.uint8, 7 * n).reshape(n, 7)
-            keys.append(raw.reshape(-1).view(_U))
-            ids.append(np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 7 * n).reshape(8, n).T).reshape(-1).view(np.int64)))
+            raw[:, 8 - KEY :] = np.frombuffer(blob, np.uint8, KEY * n).reshape(n, KEY)
+            keys.append(raw.reshape(-1).view(_U) | _U(bucket))
+            nodes.append(np.frombuffer(blob, np.int64, n, KEY * n))
     if not keys:
         return
-    key, id_ = np.concatenate(keys), np.concatenate(ids)
-    order = np.lexsort((id_, key))
-    key, id_ = key[order], id_[order]
-    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    rep = np.repeat(id_[begins], np.diff(np.append(begins, len(key))))
-    other = np.flatnonzero(id_ != rep)
-    if not len(other):
-        return
-    rep, member = rep[other], id_[other]
-    order = np.lexsort((member, rep))
-    rep, member = rep[order], member[order]
-    begins = np.flatnonzero(np.concatenate(([True], (rep[1:] != rep[:-1]) | (member[1:] != member[:-1]))))
-    shared = np.diff(np.append(begins, len(rep)))
-    for at in range(0, len(begins), 100_000):
-        s = begins[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(rep[s]), pa.array(member[s]), pa.array(shared[at : at + 100_000])], names=["rep", "member", "shared"])
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    # a word that only one row has is in no pair: most are
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    twice = np.zeros(len(key), dtype=bool)
+    twice[1:] = key[1:] == key[:-1]
+    twice[:-1] |= twice[1:]
+    key, node = key[twice], node[order[twice]]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new_key = np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]))
+    first = new_key | np.concatenate((np.ones(min(1, len(key)), dtype=bool), node[1:] != node[:-1]))
+    group = (np.cumsum(new_key) - 1)[first]
+    key, node, size = key[first], node[first], np.bincount(group)[group]
+    take = np.flatnonzero(size > 1)
+    for at in range(0, len(take), 100_000):
+        s = take[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(node[s]), pa.array(size[s])], names=["key", "node", "size"])
 
 
 def _may_match(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -331,66 +335,81 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 class Join:
-    """The join of a table of documents with itself, step by step."""
+    """The join of a table of documents with itself, step by step. Equal sets are one node, known by its digest."""
 
     def __init__(self, documents: DataFrame):
         self.docs = _keyed(documents.select("doc_id", "text"))
         self.spark = documents.sparkSession
         self.sets = Written(self.docs.mapInArrow(_described, _SETS), "jaccard-sets").df
+        rows = self.sets.groupBy("node").agg(F.min(F.struct("_id", "_tag")).alias("row"), F.max("_id").alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        #: Each distinct set: its smallest and largest _id, and the row whose text stands for it.
+        self.nodes = Written(rows.select("node", "n", "sketch", "row._id", "row._tag", "last"), "jaccard-nodes").df
 
-    def copies(self) -> DataFrame:
-        """(copy, first): sets that equal one of a smaller id."""
-        some = self.sets.where("n > 0").select("_id", "d1", "d2", "n")
-        first = some.groupBy("d1", "d2", "n").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-        return some.join(first, ["d1", "d2", "n"]).where(F.col("_id") != F.col("first")).groupBy(F.col("_id").alias("copy")).agg(F.min("first").alias("first"))
-
-    def met(self) -> DataFrame:
-        total = self.sets.agg(F.sum("n")).first()[0] or 0
+    def shared(self) -> Written:
+        """(key, node, size): the sketch words that more than one set has."""
+        total = self.nodes.agg(F.sum("n")).first()[0] or 0
         parts = max(parallelism(self.spark), total // 1_500_000)
         n_buckets = max(1, min(60_000, 4 * parts))
-        words = self.docs.select("_id", "text").mapInArrow(_keyed_words(n_buckets), "bucket long, words binary")
-        return Written(words.repartition(parts, "bucket").mapInArrow(_met, _MET), "jaccard-words").df
+        words = self.docs.select("text").mapInArrow(_keyed_words(n_buckets), "bucket long, words binary")
+        return Written(words.repartition(parts, "bucket").mapInArrow(_shared, _SHARED), "jaccard-words")
+
+    def met(self) -> Written:
+        """(rep, node, shared): sets, and the one of each of their words that stands for its group: the set with most company in all its words.
+
+        The original of a group of near copies has most words in common with others, so most words of the group agree on it.
+        """
+        words = self.shared()
+        company = words.df.groupBy("node").agg(F.sum("size").alias("company"))
+        reps = words.df.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("rep"))
+        pairs = words.df.join(reps, "key").where("node != rep").groupBy("rep", "node").agg(F.count(F.lit(1)).alias("shared"))
+        out = Written(pairs, "jaccard-met")
+        words.drop()
+        return out
 
     def sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) that sizes and sketches leave."""
-        one = self.sets.dropDuplicates(["_id"])
-        a = one.select(F.col("_id").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
-        b = one.select(F.col("_id").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+        """Pairs (a, b, shared) that sizes and sketches leave."""
+        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(_near, "a long, b long, shared long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are similar. A set that many are held against is dealt out over salts."""
-        pairs = Written(pairs.select("a", "b").distinct(), "jaccard-pairs").df
-        salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("salts"))
+        held = Written(pairs.select("a", "b").distinct(), "jaccard-pairs")
+        salts = held.df.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("salts"))
         left = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("b"))
-        right = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "b")
+        right = held.df.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "b")
         rows = left.unionByName(right)
-        needed = rows.select(F.col("b").alias("_id")).distinct()
-        texts = self.docs.join(needed, "_id", "left_semi").dropDuplicates(["_id", "_tag"]).select(F.col("_id").alias("b"), "text")
+        needed = self.nodes.join(rows.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("node", "_id", "_tag")
+        texts = self.docs.join(needed, ["_id", "_tag"]).dropDuplicates(["node"]).select(F.col("node").alias("b"), "text")
         dealt = rows.join(texts, "b").repartition(parallelism(self.spark), "a", "salt").sortWithinPartitions("a", "salt", "side")
-        return Written(dealt.mapInArrow(_verified, "a long, b long"), "jaccard-links").df
-
-    def seen(self, copies: DataFrame) -> DataFrame:
-        """(rep, id, shared): first sets of words and others, equal sets as one. The first set keeps its side, even if it isn't the lesser: it names the group."""
-        a = copies.select(F.col("copy").alias("rep"), F.col("first").alias("fa"))
-        b = copies.select(F.col("copy").alias("member"), F.col("first").alias("fb"))
-        # each bucket has its own count of a pair: they are added up before anything is joined
-        met = self.met().groupBy("rep", "member").agg(F.sum("shared").alias("shared"))
-        both = met.join(a, "rep", "left").join(b, "member", "left").select(F.coalesce("fa", "rep").alias("x"), F.coalesce("fb", "member").alias("y"), "shared")
-        return both.where("x != y").groupBy(F.col("x").alias("rep"), F.col("y").alias("id")).agg(F.sum("shared").alias("shared"))
+        out = Written(dealt.mapInArrow(_verified, "a long, b long"), "jaccard-links")
+        held.drop()
+        return out.df
+
+    def same_id(self) -> DataFrame:
+        """(a, b): sets of rows that share a doc_id."""
+        rows = self.sets.groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("_id", "a")
+        return self.sets.join(rows, "_id").where("node != a").select("a", F.col("node").alias("b"))
+
+    def labels(self) -> DataFrame:
+        """(node, component) of every set with a link; the component is named by one of its nodes."""
+        seen = self.met()
+        near = Written(self.sized(seen.df.select(F.col("rep").alias("a"), F.col("node").alias("b"), "shared")), "jaccard-near")
+        # first, for each set the one that shares most words with it; then whatever is not of the same class by then
+        best = near.df.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+        labels = components(self.verify(best).unionByName(self.same_id()))
+        labels = united(labels, self.verify(self.unlike(near.df, labels)))
+        near.drop()
+        labels = united(labels, self.verify(self.rest(seen.df, labels)))
+        seen.drop()
+        return labels
 
     def classes(self) -> DataFrame:
-        """(node, component) of every document with a link."""
-        copies = Written(self.copies(), "jaccard-copies").df
-        seen = Written(self.seen(copies), "jaccard-seen").df
-        near = Written(self.sized(seen.select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b"), "shared")), "jaccard-near").df
-        # first, for each set the one that shares most words with it; then whatever is not of the same class by then
-        best = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-        labels = components(self.verify(best))
-        labels = united(labels, self.verify(self.unlike(near, labels)))
-        labels = united(labels, self.verify(self.rest(seen, labels)))
-        first = copies.join(labels, F.col("first") == F.col("node"), "left").select(F.col("copy").alias("node"), F.coalesce("component", "first").alias("component"))
-        return labels.join(copies, F.col("node") == F.col("copy"), "left_anti").unionByName(first)
+        """(node, component) of every set whose class has more than one doc_id; the component is its smallest _id."""
+        labels = self.labels().select("node", F.col("component").alias("class"))
+        named = self.nodes.join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "_id", "last")
+        least = named.groupBy("class").agg(F.min("_id").alias("component"), F.max("last").alias("last")).where("component != last").select("class", "component")
+        return Written(named.join(least, "class").select("node", "component"), "jaccard-classes").df
 
     def unlike(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs that aren't of one class yet."""
@@ -401,10 +420,10 @@ class Join:
 
     def rest(self, seen: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different classes among the sets that met one set, in blocks of about BLOCK sets by as many."""
-        members = seen.select("rep", "id").unionByName(seen.select("rep", F.col("rep").alias("id")).distinct())
+        members = seen.select("rep", F.col("node").alias("id")).unionByName(seen.select("rep", F.col("rep").alias("id")).distinct())
         named = members.join(labels, F.col("id") == F.col("node"), "left").select("rep", "id", F.coalesce("component", "id").alias("class"))
         open_ = named.groupBy("rep").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi and size > 2").select("rep", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        sets = self.sets.dropDuplicates(["_id"]).select(F.col("_id").alias("id"), "n", "sketch")
+        sets = self.nodes.select(F.col("node").alias("id"), "n", "sketch")
         full = named.join(open_, "rep").join(sets, "id")
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         dealt = full.select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), own.alias("own"), "id", "class", "n", "sketch")
@@ -415,8 +434,7 @@ class Join:
 def similar(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that it reaches by links, itself included."""
     join = Join(documents)
-    labels = join.classes()
-    out = join.sets.join(labels, F.col("_id") == F.col("node"), "left")
+    out = join.sets.join(join.classes(), "node", "left")
     id_ = lambda c: F.when(c != NULL_ID, c)
     return out.select(id_(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_(F.coalesce("component", "_id")).alias("component_id"))
 
@@ -427,6 +445,6 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Of rows that share a doc_id all stay, or none.
     """
     join = Join(documents)
-    node = free_name(documents, "_node")
-    gone = join.classes().where(F.col("node") != F.col("component")).select(F.col("node").alias(node))
-    return documents.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(node), "left_anti")
+    gone = free_name(documents, "_gone")
+    ids = join.sets.join(join.classes(), "node").where("_id != component").select(F.col("_id").alias(gone)).distinct()
+    return documents.join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(gone), "left_anti")

@@ -1,6 +1,7 @@
 """The Jaccard join, suffix deduplication and their pipeline forms against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -90,13 +91,43 @@ def test_blocks_hold_sets_of_a_word_against_each_other(spark, docs, monkeypatch)
     assert {r.doc_id: r.component_id for r in jaccard.similar(docs).collect()} == root
 
 
-def test_a_word_keeps_its_first_set_when_copies_are_smaller(spark, monkeypatch):
-    # a word of the sets 50, 70 and 100; 100 is a copy of 5, whose words were never sent, and only 5 and 70 are similar
-    near = [f"w{k}" for k in range(60)]
-    texts = [(100, " ".join(near)), (50, " ".join(f"z{k}" for k in range(60))), (70, " ".join([*near, "tail"])), (5, " ".join(near))]
-    monkeypatch.setattr(jaccard.Join, "met", lambda self: spark.createDataFrame([(50, 70, 1), (50, 100, 1)], "rep long, member long, shared long"))
-    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame([(*t, None, None, 0) for t in texts], SCHEMA)).collect()}
-    assert got == {100: 5, 50: 50, 70: 5, 5: 5}
+def test_rows_in_any_order_with_copies_and_shared_ids(spark):
+    """Near and exact copies with ids dealt at random, some texts under the id of another, in one partition and in many."""
+    for seed in range(2):
+        r = random.Random(seed)
+        texts = []
+        for k in range(25):
+            n = r.choice([6, 9, 14, 20, 40, 90])
+            base = [f"t{k}w{j}" for j in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(r.randrange(9)):
+                w = list(base)
+                for _ in range(r.randrange(max(1, n // 12) + 1)):
+                    w[r.randrange(n)] = f"x{r.randrange(6)}"
+                texts.append(" ".join(w + ["tail"] * r.randrange(2)))
+        texts += [r.choice(texts) for _ in range(40)]
+        ids = r.sample(range(1000), len(texts))
+        for _ in range(5):
+            ids[r.randrange(len(ids))] = ids[r.randrange(len(ids))]
+        rows = list(zip(ids, texts, strict=True)) + [(ids[0], None), (ids[1], " ")]
+        r.shuffle(rows)
+        _, root = classes(rows)
+        docs = spark.createDataFrame([(*row, None, None, 0) for row in rows], SCHEMA)
+        for shape in (docs.coalesce(1), docs.repartition(5)):
+            got = {(x.doc_id, x.component_id) for x in jaccard.similar(shape).collect()}
+            assert got == set(root.items()), seed
+
+
+@pytest.mark.parametrize("size", [30, 120, 300, 900, 3000])
+def test_sets_at_the_threshold_share_words(size):
+    """No pair at a similarity of just over 0.75 without a common word, over the bands that keep SHARED words and the others."""
+    r = np.random.Generator(np.random.PCG64(size))
+    for _ in range(40):
+        n = int(size * r.uniform(1, 1.5))
+        a = r.integers(1, 2**63, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 7 :], r.integers(1, 2**63, n // 7, dtype=np.uint64)))
+        sets, keys = jaccard.word_keys(np.concatenate((np.sort(a), np.sort(b))), np.array([0, n, 2 * n]))
+        assert len(set(keys[sets == 0].tolist()) & set(keys[sets == 1].tolist())) >= min(8, n // 12)
 
 
 def test_components_of_links(spark):
