@@ -3,13 +3,18 @@
 Token counts are gathered from all training documents. The most frequent tokens are dealt by rank into classes; all
 others form one more class, in which a token's share is its smoothed count. A token's probability is that of its class times
 that of the token in its class, each a softmax over hashed features of what goes before: the last word, the one before it
-(a skip), and both. Weights start at zero over unigram constants and are trained by distributed gradient updates: in each round
-every task descends on all training documents of its partition, chunk by chunk, and the changes are averaged, each row of the
-tables by how often a task met it. Scoring runs on batches of tokens, as sparse rows of the weight tables.
+(a skip), and both. The words before are hashed to rows first, so a context is a pair of rows.
 
-The model grows with the counts, about as the square root of the tokens: its vocabulary are the tokens seen at least a tenth of
-that root (VOCABULARY at least), in as many classes as members of each; its tables have rows for the root (ROWS at least).
-Changes go through the shuffle in slices of the tables, so that no task adds up more than its slices.
+Weights start at zero over unigram constants and are trained by distributed gradient updates on all training documents. Their
+contexts are gathered once, as counts of (context, token). In each round every task walks through its contexts and adds up, for
+each weight, the mass that the model expects there; the gradient is the observed mass less the expected. It is scaled by their
+logarithmic mean, which bounds the curvature (as in iterative scaling), over STEPS. In the first round all weights are zero, and
+the expected mass follows from counts of features alone. Sums go through the shuffle in slices of the tables. Scoring runs on
+batches of tokens, as sparse rows of the weight tables.
+
+The model grows with the counts: its vocabulary are the tokens seen at least a tenth of the root of all tokens
+(VOCABULARY at least), in as many classes as members of each; its tables have rows for the root (ROWS at least, MOST_ROWS at
+most: two tables of 65,536 rows of at most 513 numbers are what is broadcast).
 
 Words are known by 64-bit hashes. Tokens that rank below FREQUENT are too many to broadcast: their counts are joined in a
 shuffle.
@@ -34,14 +39,17 @@ from .textnp import _U, as_int64, column, mixed, text_chunks, words_of
 #: What the least model has; larger ones follow from the counts.
 CLASSES, MEMBERS = 64, 64
 VOCABULARY = CLASSES * MEMBERS
-ROWS = 1 << 13
+ROWS, MOST_ROWS = 1 << 13, 1 << 16
 FREQUENT = 1 << 18
-ROUNDS = 3
-RATE, BATCH = 0.15, 4096
-#: Rows of a table whose changes are added up together.
+ROUNDS = 2
+#: By what a round's scaled gradient is divided, and mass that is added to observed and expected.
+STEPS, SMOOTH = 2.0, 4.0
+#: Contexts in a step through the tables, entries that a task deals out at once and gathers, and entries of a task of a round.
+BATCH, HELD, A_TASK = 4096, 4_000_000, 2_000_000
+#: Rows of a table that are added up together.
 SLICE = 64
-END, BEGIN = _U(0x1F3D5B79A2C4E6F8), _U(0x2A4C6E8193B5D7F9)
-_SALTS = (_U(0x8CB92BA72F3D8DD7), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
+END, BEGIN = _U(0x1F3D5B79A2C4E6F8), np.array(0x2A4C6E8193B5D7F9, dtype=_U)
+_SALTS = (_U(0x8CB92BA72F3D8DD7), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5))
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +64,17 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def contexts(stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Three 64-bit features of what stands before each token: last word, word before the last, both."""
-    last, skip = np.empty_like(stream), np.empty_like(stream)
-    last[1:], skip[2:] = stream[:-1], stream[:-2]
-    last[bounds[:-1]] = BEGIN
-    skip[bounds[:-1]] = BEGIN
+def contexts(stream: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    """What stands before each token: the row of the last word in the low bits, that of the word before it above."""
+    mask = _U((1 << bits) - 1)
+    row, begin = mixed(stream ^ _SALTS[0]) & mask, (mixed(BEGIN[None] ^ _SALTS[0]) & mask)[0]
+    last, skip = np.empty_like(row), np.empty_like(row)
+    last[1:], skip[2:] = row[:-1], row[:-2]
+    last[bounds[:-1]] = begin
+    skip[bounds[:-1]] = begin
     second = bounds[:-1] + 1
-    skip[second[second < bounds[1:]]] = BEGIN
-    return np.column_stack((mixed(last ^ _SALTS[0]), mixed(skip ^ _SALTS[1]), mixed(last * _U(3) + skip ^ _SALTS[2])))
+    skip[second[second < bounds[1:]]] = begin
+    return skip << _U(bits) | last
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +108,8 @@ class Model:
         often = int((self.count >= max(1, root // 10)).sum())
         # as many classes as members of each
         self.side = max(CLASSES, math.isqrt(max(0, often - 1)) + 1)
-        self.rows = max(ROWS, 1 << max(0, root.bit_length() - 1))
+        self.bits = min(MOST_ROWS, max(ROWS, 1 << max(0, root.bit_length() - 1))).bit_length() - 1
+        self.rows = 1 << self.bits
         rank = np.lexsort((self.token, -self.count))[: self.side**2]
         self.place = np.full(len(self.token), -1, dtype=np.int32)
         self.place[rank] = np.arange(len(rank))
@@ -124,12 +135,6 @@ class Model:
         return np.where(hit, self.count[at], -1)[inverse], np.where(hit, self.place[at], -1)[inverse]
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
-
-
 def _softmax(logits: np.ndarray) -> np.ndarray:
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
@@ -138,120 +143,242 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def _rows(model: Model, context: np.ndarray) -> np.ndarray:
-    return (context & _U(model.rows - 1)).astype(np.int64)
+    """The rows of a context's three features: last word, word before the last, both."""
+    low = _U(model.rows - 1)
+    hashed = np.column_stack((mixed((context & low) ^ _SALTS[1]), mixed((context >> _U(model.bits)) ^ _SALTS[2]), mixed(context ^ _SALTS[3])))
+    return (hashed & low).astype(np.int64)
 
 
 def _class_rows(model: Model, context: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return _rows(model, mixed(context + (cls.astype(_U) + _U(1))[:, None] * _SALTS[1]))
+    """The rows of the three features within a class."""
+    own = _rows(model, context).astype(_U) | (np.arange(3, dtype=_U) << _U(60))
+    return (mixed(own + ((cls.astype(_U) + _U(1)) << _U(32))[:, None]) & _U(model.rows - 1)).astype(np.int64)
+
+
+def _logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = w[rows[:, 0]]
+    out += w[rows[:, 1]]
+    out += w[rows[:, 2]]
+    out += bias
+    return out
+
+
+def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys, as steps, and their counts: in planes of equal significance, as many as there are bytes that count."""
+    steps = np.diff(keys, prepend=keys[:1])
+    head, planes = [len(keys), int(keys[0]) if len(keys) else 0], []
+    for values in (steps, n.astype(_U)):
+        width = (int(values.max(initial=0)).bit_length() + 7) // 8
+        head.append(width)
+        planes.append(values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return np.array(head, dtype=_U).tobytes() + b"".join(planes)
+
 
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, first, *widths = np.frombuffer(blob, _U, 4).tolist()
+    at, out = 32, []
+    for width in widths:
+        raw = np.zeros((size, 8), dtype=np.uint8)
+        raw[:, :width] = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size).T
+        at += size * width
+        out.append(raw.reshape(-1).view(_U))
+    return np.cumsum(out[0]) + _U(first), out[1].astype(np.int64)
 
-def _class_logits(model: Model, rows: np.ndarray) -> np.ndarray:
-    w = model.weights[0]
-    return w[rows[:, 0]] + w[rows[:, 1]] + w[rows[:, 2]] + model.class_bias
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
+    return keys[begins], np.add.reduceat(n, begins) if len(begins) else n
 
-def _member_logits(model: Model, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    w = model.weights[1]
-    return w[rows[:, 0]] + w[rows[:, 1]] + w[rows[:, 2]] + model.member_bias[cls]
+
+def _place_bits(model: Model) -> int:
+    return (model.side**2).bit_length()
+
+
+def keys_of(model: Model, texts: list[bytes | None]) -> np.ndarray:
+    """The context of each token of texts and, in the low bits, its place in the vocabulary; 0 there is a rare token."""
+    stream, bounds = tokens(texts)
+    return contexts(stream, bounds, model.bits) << _U(_place_bits(model)) | (model.find(stream)[1] + 1).astype(_U)
+
+
+def _dealt(shared, n_buckets: int):
+    """Texts -> (bucket, entries): counts of (context, token), all of one context in one bucket."""
+
+    def flush(held: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (mixed(keys >> _U(bits)) % _U(n_buckets)).astype(np.int64)
+        by = np.argsort(bucket.astype(np.uint16) if n_buckets <= 65536 else bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        blobs = [packed(keys[by[cuts[b] : cuts[b + 1]]], n[by[cuts[b] : cuts[b + 1]]]) for b in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, size = shared.value, [], 0
+        for _, texts in text_chunks(batches):
+            held.append(keys_of(model, texts))
+            size += len(held[-1])
+            if size >= HELD:
+                yield from flush(held, _place_bits(model))
+                held, size = [], 0
+        if held:
+            yield from flush(held, _place_bits(model))
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of a bucket, those of equal keys added up, in rows of at most a million."""
+    parts = [unpacked(b) for batch in batches for b in column(batch, "entries").to_pylist()]
+    if parts:
+        keys, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        for at in range(0, len(keys), 1_000_000):
+            s = slice(at, at + 1_000_000)
+            yield pa.RecordBatch.from_arrays([pa.array([len(keys[s])]), pa.array([packed(keys[s], n[s])], pa.binary())], names=["size", "entries"])
+
+
+def _groups(model: Model, keys: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+    """Of sorted entries, for each weight table: (context, class, mass of each pair of these; of entries: which pair, output, mass, place)."""
+    context, place = keys >> _U(_place_bits(model)), (keys & _U((1 << _place_bits(model)) - 1)).astype(np.int64) - 1
+    cls = np.where(place >= 0, place // model.side, model.side)
+    take = np.arange(len(keys))
+    for common in (False, True):
+        if common:
+            take = np.flatnonzero(place >= 0)
+            context, cls, place, n = context[take], cls[take], place[take], n[take]
+        new = np.ones(len(context), dtype=bool)
+        new[1:] = (context[1:] != context[:-1]) | (common & (cls[1:] != cls[:-1]))
+        begins = np.flatnonzero(new)
+        if len(begins):
+            yield common, context[begins], cls[begins], np.add.reduceat(n, begins), np.cumsum(new) - 1, place % model.side if common else cls, n, take
 
 
 def log10_probabilities(model: Model, context: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log10 P of the class of each token, and of the token in it if it is of the vocabulary."""
-    out = np.empty(len(place))
-    for at in range(0, len(place), 2 * BATCH):
-        s = slice(at, at + 2 * BATCH)
-        own = place[s]
-        cls = np.where(own >= 0, own // model.side, model.side)
-        p = _log_softmax(_class_logits(model, _rows(model, context[s])))[np.arange(len(own)), cls]
-        common = np.flatnonzero(own >= 0)
-        inner = _log_softmax(_member_logits(model, _class_rows(model, context[s][common], cls[common]), cls[common]))
-        p[common] += inner[np.arange(len(common)), own[common] % model.side]
-        out[s] = p
-    return out / np.log(10)
-
-
-def _step(w: np.ndarray, squares: np.ndarray, hits: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """An AdaGrad step on the rows that a batch touches; hits counts how often each was."""
+    """log10 P of the class of each token, and of the token in it if it is of the vocabulary. Repeated contexts are looked at once."""
+    keys, inverse = np.unique(context << _U(_place_bits(model)) | (place + 1).astype(_U), return_inverse=True)
+    out = np.zeros(len(keys))
+    for common, ctx, cls, _, of, output, _, take in _groups(model, keys, np.ones(len(keys))):
+        cuts = np.searchsorted(of, np.arange(0, len(ctx) + BATCH, BATCH))
+        for at, lo, hi in zip(range(0, len(ctx), BATCH), cuts[:-1], cuts[1:], strict=False):
+            s = slice(at, at + BATCH)
+            rows = _class_rows(model, ctx[s], cls[s]) if common else _rows(model, ctx[s])
+            x = _logits(model.weights[common], rows, model.member_bias[cls[s]] if common else model.class_bias)
+            x -= x.max(axis=1, keepdims=True)
+            own = of[lo:hi] - at
+            picked = x[own, output[lo:hi]]
+            np.exp(x, out=x)
+            out[take[lo:hi]] += picked - np.log(x.sum(axis=1))[own]
+    return out[inverse] / np.log(10)
+
+
+def observed(model: Model, entries: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The mass of each weight, and of each (row of the second table, class): what the first round needs."""
+    out = [np.zeros(w.shape, dtype=np.float32) for w in (*model.weights, model.weights[1])]
+    for keys, n in entries:
+        for common, context, cls, mass, of, output, times, _ in _groups(model, keys, n):
+            rows = _class_rows(model, context, cls) if common else _rows(model, context)
+            width = model.side + (not common)
+            for k in range(3):
+                out[common] += np.bincount(rows[of, k] * width + output, times, minlength=model.rows * width).reshape(model.rows, width)
+                if common:
+                    out[2] += np.bincount(rows[:, k] * width + cls, mass, minlength=model.rows * width).reshape(model.rows, width)
+    return out
+
+
+def _add(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add values to each of their rows of a table."""
     flat = rows.ravel()
-    order = np.argsort(flat.astype(np.uint16) if len(w) <= 65536 else flat, kind="stable")
-    flat, token = flat[order], order // rows.shape[1]
+    order = np.argsort(flat.astype(np.uint16) if len(total) <= 65536 else flat, kind="stable")
+    flat, of = flat[order], order // rows.shape[1]
     begins = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    times, touched = np.diff(np.append(begins, len(flat))), flat[begins]
-    # gradients of rows met a few times are added up time by time, those of the others row by row
-    total = gradient[token[begins]]
+    times = np.diff(np.append(begins, len(flat)))
+    # rows met a few times are added up time by time, the others row by row
+    sums = values[of[begins]]
     few = np.flatnonzero((times > 1) & (times <= 16))
     for k in range(1, 16):
         few = few[times[few] > k]
-        total[few] += gradient[token[begins[few] + k]]
+        sums[few] += values[of[begins[few] + k]]
     for k in np.flatnonzero(times > 16).tolist():
-        total[k] = gradient[token[begins[k] : begins[k] + times[k]]].sum(axis=0)
-    hits[touched] += times
-    own = squares[touched] + total**2
-    squares[touched] = own
-    np.sqrt(own, out=own)
-    own += 1e-3
-    np.divide(total, own, out=own)
-    own *= RATE
-    w[touched] -= own
-
-
-def descended(model: Model, chunks: Iterator[list[bytes | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(changes, hits of rows) of each weight table after one pass over the texts of all chunks."""
-    before, model.weights = model.weights, [w.copy() for w in model.weights]
-    squares = [np.full(w.shape, 0.1, dtype=np.float32) for w in before]
-    hits = [np.zeros(len(w), dtype=np.int64) for w in before]
-    for texts in chunks:
-        stream, bounds = tokens(texts)
-        context, (_, place) = contexts(stream, bounds), model.find(stream)
-        for at in range(0, len(place), BATCH):
-            own, ctx = place[at : at + BATCH], context[at : at + BATCH]
-            cls = np.where(own >= 0, own // model.side, model.side)
-            rows = _rows(model, ctx)
-            g = _softmax(_class_logits(model, rows))
-            g[np.arange(len(own)), cls] -= 1
-            _step(model.weights[0], squares[0], hits[0], rows, g)
-            common = np.flatnonzero(own >= 0)
-            if len(common):
-                rows = _class_rows(model, ctx[common], cls[common])
-                g = _softmax(_member_logits(model, rows, cls[common]))
-                g[np.arange(len(common)), own[common] % model.side] -= 1
-                _step(model.weights[1], squares[1], hits[1], rows, g)
-    after, model.weights = model.weights, before
-    return [(new - old, n) for new, old, n in zip(after, before, hits, strict=True)]
-
-
-_CHANGES = "part long, at long, change binary, hits binary"
-
-
-def _descending(shared):
+        sums[k] = values[of[begins[k] : begins[k] + times[k]]].sum(axis=0)
+    total[flat[begins]] += sums
+
+
+def expected(model: Model, entries: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The mass that the model expects at each weight."""
+    out = [np.zeros(w.shape, dtype=np.float32) for w in model.weights]
+    for keys, n in entries:
+        for common, context, cls, mass, *_ in _groups(model, keys, n):
+            for at in range(0, len(context), BATCH):
+                s = slice(at, at + BATCH)
+                rows = _class_rows(model, context[s], cls[s]) if common else _rows(model, context[s])
+                p = _softmax(_logits(model.weights[common], rows, model.member_bias[cls[s]] if common else model.class_bias))
+                p *= mass[s, None]
+                _add(out[common], rows, p)
+    return out
+
+
+def expected_at_zero(model: Model, seen: list[np.ndarray]) -> list[np.ndarray]:
+    """The same with no weights yet: each feature's mass, shared out by the constants."""
+    shares = _softmax(model.member_bias.copy())
+    return [seen[0].sum(axis=1, keepdims=True) * _softmax(model.class_bias[None].copy()), seen[2] @ shares]
+
+
+def updated(model: Model, seen: list[np.ndarray], mass: list[np.ndarray]) -> None:
+    """A gradient step: (observed - expected) over their logarithmic mean is the logarithm of their ratio."""
+    for w, o, e in zip(model.weights, seen, mass, strict=False):
+        w += np.log((o + SMOOTH) / (e + SMOOTH)) / STEPS
+
+
+_SUMS = "part long, at long, mass binary"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for blob in column(batch, "entries").to_pylist():
+            yield unpacked(blob)
+
+
+def _walked(shared, walk):
+    """Entries -> what `walk` adds up for a model, in slices of tables."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (change, hits) in enumerate(descended(shared.value, (texts for _, texts in text_chunks(batches)))):
-            met = [at for at in range(0, len(hits), SLICE) if hits[at : at + SLICE].any()]
-            changes = [change[at : at + SLICE].astype(np.float16).tobytes() for at in met]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(met), pa.int64()), pa.array(met, pa.int64()), pa.array(changes, pa.binary()), pa.array([hits[at : at + SLICE].tobytes() for at in met], pa.binary())], names=["part", "at", "change", "hits"])
+        for k, total in enumerate(walk(shared.value, _entries(batches))):
+            met = [at for at in range(0, len(total), SLICE) if total[at : at + SLICE].any()]
+            for i in range(0, len(met), 64):
+                some = met[i : i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([total[at : at + SLICE].tobytes() for at in some], pa.binary())], names=["part", "at", "mass"])
 
     return run
 
 
-def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Changes of slices -> their mean, each row weighted by its hits."""
-    sums: dict[tuple[int, int], list[np.ndarray]] = {}
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal slices of many tasks, added up."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for part, at, change, hits in zip(*(column(batch, k).to_pylist() for k in ("part", "at", "change", "hits")), strict=True):
-            n = np.frombuffer(hits, np.int64)
-            weighted = np.frombuffer(change, np.float16).reshape(len(n), -1) * n[:, None].astype(np.float64)
-            if (part, at) in sums:
-                sums[part, at][0] += weighted
-                sums[part, at][1] += n
-            else:
-                sums[part, at] = [weighted, n.copy()]
-    means = [(total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes() for total, n in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array(means, pa.binary())], names=["part", "at", "change"])
+        for part, at, mass in zip(*(column(batch, k).to_pylist() for k in ("part", "at", "mass")), strict=True):
+            own = np.frombuffer(mass, np.float32).astype(np.float64)
+            sums[part, at] = sums[part, at] + own if (part, at) in sums else own
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["part", "at", "mass"])
+
+
+def _sums(contexts_: DataFrame, size: int, model: Model, walk, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """What `walk` adds up over all contexts: tables of the shapes of weights, whatever the corpus has."""
+    spark = contexts_.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    tasks = max(1, min(parallelism(spark), size // A_TASK))
+    slices = contexts_.select("entries").coalesce(tasks).mapInArrow(_walked(shared, walk), _SUMS)
+    out = [np.zeros(shape, dtype=np.float32) for shape in shapes]
+    added = slices.repartition(parallelism(spark), "part", "at").mapInArrow(_added, _SUMS)
+    for part, at, mass in added.toPandas().itertuples(index=False, name=None):
+        own = out[part][at : at + SLICE]
+        own += np.frombuffer(mass, np.float32).reshape(own.shape)
+    shared.unpersist()
+    return out
 
 
 def train(documents: DataFrame, counts: DataFrame) -> Model:
     """Fit a model on documents (text), of which counts (token, n) are all the tokens."""
-    sc = documents.sparkSession.sparkContext
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # the least count that at most FREQUENT tokens reach, from how many tokens have each count
     held = counts.groupBy("n").count().orderBy(F.desc("n")).limit(FREQUENT).toArrow()
@@ -259,13 +386,20 @@ def train(documents: DataFrame, counts: DataFrame) -> Model:
     least = int(fits.min()) if len(fits) else 1 << 62
     frequent = counts.where(F.col("n") >= least).select("token", "n").toArrow()
     model = Model(frequent["token"].to_numpy(), frequent["n"].to_numpy(), int(total), int(distinct))
-    for _ in range(ROUNDS):
-        shared = sc.broadcast(model)
-        changes = documents.select("text").mapInArrow(_descending(shared), _CHANGES)
-        means = changes.repartition(parallelism(documents.sparkSession), "part", "at").mapInArrow(_averaged, "part long, at long, change binary")
-        for part, at, change in means.toPandas().itertuples(index=False, name=None):
-            w = model.weights[part][at : at + SLICE]
-            w += np.frombuffer(change, np.float32).reshape(w.shape)
+    if not total:
+        return model
+    spark = documents.sparkSession
+    parts = max(parallelism(spark), int(total) // HELD)
+    shared = spark.sparkContext.broadcast(model)
+    dealt = documents.select("text").mapInArrow(_dealt(shared, parts), "bucket long, entries binary").repartition(parts, "bucket")
+    held = Written(dealt.mapInArrow(_gathered, "size long, entries binary"), "lm-contexts")
+    size = held.df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shapes = [w.shape for w in model.weights]
+    seen = _sums(held.df, size, model, observed, [*shapes, shapes[1]])
+    updated(model, seen, expected_at_zero(model, seen))
+    for _ in range(ROUNDS - 1):
+        updated(model, seen, _sums(held.df, size, model, expected, shapes))
+    held.drop()
     return model
 
 
@@ -276,7 +410,7 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         all_, rare_all = np.log10(model.total + model.distinct + 1), np.log10(model.rare_total + model.rare_distinct + 1)
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, limit=1 << 22):
             stream, bounds = tokens(texts)
             n = len(texts)
             text = np.repeat(np.arange(n), np.diff(bounds))
@@ -284,7 +418,7 @@ def _scored(shared):
             known, rare = count >= 0, place < 0
             unigram = np.log10(np.maximum(count, 0) + 1.0)
             base = np.bincount(text, np.where(known, unigram, 0.0), minlength=n) - np.diff(bounds) * all_
-            p = log10_probabilities(model, contexts(stream, bounds), place)
+            p = log10_probabilities(model, contexts(stream, bounds, model.bits), place)
             p += np.where(rare, np.where(known, unigram, 0.0) - rare_all, 0.0)
             tail = np.flatnonzero(~known)
             order = tail[np.lexsort((stream[tail], text[tail]))]

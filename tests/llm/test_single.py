@@ -293,7 +293,7 @@ def test_model_is_a_distribution():
     tokens = np.arange(1, 6000, dtype=np.int64)
     model = lm.Model(tokens, np.maximum(1, 3000 - tokens), int(np.maximum(1, 3000 - tokens).sum()), len(tokens))
     model.weights = [np.random.Generator(np.random.PCG64(k)).normal(0, 0.3, w.shape).astype(np.float32) for k, w in enumerate(model.weights)]
-    context = np.repeat(np.array([[11, 22, 33]], dtype=np.uint64), lm.VOCABULARY + 1, axis=0)
+    context = np.repeat(np.array([11 << model.bits | 22], dtype=np.uint64), lm.VOCABULARY + 1)
     p = 10 ** lm.log10_probabilities(model, context, np.append(np.arange(lm.VOCABULARY), -1))
     assert math.isclose(p.sum(), 1, rel_tol=1e-4)
 
@@ -305,16 +305,14 @@ def test_training_helps(spark):
 
 
 def test_all_training_documents_give_gradients(spark):
-    # over 1.5 million tokens, all in copies of one text whose hash a draw of a share leaves out
-    texts = [f"red apples fall and green pears stay t{k} " * 2500 for k in range(20)]
-    hashed = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.pmod(F.xxhash64("text"), F.lit(1_000_000)).alias("h")).orderBy(F.desc("h")).first()
-    assert hashed.h > 850_000
-    documents = spark.range(0, 90, 1, 4).select(F.lit(hashed.text).alias("text"))
-    own = Counter(lm.tokens([hashed.text.encode()])[0].view(np.int64).tolist())
+    # over 1.5 million tokens, all in copies of one text
+    text = "red apples fall and green pears stay " * 2500
+    documents = spark.range(0, 90, 1, 4).select(F.lit(text).alias("text"))
+    own = Counter(lm.tokens([text.encode()])[0].view(np.int64).tolist())
     counts = spark.createDataFrame([(t, n * 90) for t, n in own.items()], "token long, n long")
     model = lm.train(documents, counts)
-    stream, bounds = lm.tokens([hashed.text.encode()])
-    p = lm.log10_probabilities(model, lm.contexts(stream, bounds), model.find(stream)[1])
+    stream, bounds = lm.tokens([text.encode()])
+    p = lm.log10_probabilities(model, lm.contexts(stream, bounds, model.bits), model.find(stream)[1])
     assert np.abs(model.weights[1]).max() > 0.1 and p.mean() > -0.1
 
 
@@ -322,17 +320,46 @@ def test_model_grows_with_counts():
     n = np.maximum(1, 40_000_000 // np.arange(1, 20_001))
     model = lm.Model(np.arange(1, 20_001, dtype=np.int64), n, int(n.sum()), len(n))
     assert model.side**2 > lm.VOCABULARY and model.rows > lm.ROWS
-    context = np.repeat(np.array([[11, 22, 33]], dtype=np.uint64), model.side**2 + 1, axis=0)
+    context = np.repeat(np.array([11 << model.bits | 22], dtype=np.uint64), model.side**2 + 1)
     assert math.isclose((10 ** lm.log10_probabilities(model, context, np.append(np.arange(model.side**2), -1))).sum(), 1, rel_tol=1e-4)
 
 
-def test_changes_are_averaged_by_hits():
-    change, hits = np.ones((lm.SLICE, 3), np.float16), np.zeros(lm.SLICE, np.int64)
-    hits[0] = 3
-    rows = [(0, 0, change.tobytes(), hits.tobytes()), (0, 0, (change * 5).tobytes(), np.ones(lm.SLICE, np.int64).tobytes())]
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["part", "at", "change", "hits"])
-    out = np.frombuffer(next(lm._averaged(iter([batch])))["change"][0].as_py(), np.float32).reshape(-1, 3)
-    assert out[0].tolist() == [2, 2, 2] and out[1].tolist() == [5, 5, 5]
+def test_masses_match_token_by_token_sums(spark):
+    """Gathered contexts, dealt over buckets and tasks, against sums over the tokens of the texts."""
+    texts = [documents()[k][1] for k in (0, 3, 9, 11)] + [None, "", "one"]
+    raw = [(t or "").encode() for t in texts]
+    stream, bounds = lm.tokens(raw)
+    token, n = np.unique(stream.view(np.int64), return_counts=True)
+    model = lm.Model(token, n, int(n.sum()), len(n))
+    model.weights = [np.random.Generator(np.random.PCG64(k)).normal(0, 0.3, w.shape).astype(np.float32) for k, w in enumerate(model.weights)]
+    context, place = lm.contexts(stream, bounds, model.bits), model.find(stream)[1]
+    cls = np.where(place >= 0, place // model.side, model.side)
+    seen, mass = [np.zeros(w.shape) for w in model.weights], [np.zeros(w.shape) for w in model.weights]
+    p = lm._softmax(lm._logits(model.weights[0], lm._rows(model, context), model.class_bias))
+    q = lm._softmax(lm._logits(model.weights[1], lm._class_rows(model, context, cls), model.member_bias[np.minimum(cls, model.side - 1)]))
+    for k in range(len(stream)):
+        for row in lm._rows(model, context)[k]:
+            seen[0][row, cls[k]] += 1
+            mass[0][row] += p[k]
+        if place[k] >= 0:
+            for row in lm._class_rows(model, context, cls)[k]:
+                seen[1][row, place[k] % model.side] += 1
+                mass[1][row] += q[k]
+    shared = spark.sparkContext.broadcast(model)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    held = frame.mapInArrow(lm._dealt(shared, 5), "bucket long, entries binary").repartition(4, "bucket").mapInArrow(lm._gathered, "size long, entries binary").persist()
+    shapes = [w.shape for w in model.weights]
+    for got, want in ((lm._sums(held, 1, model, lm.observed, [*shapes, shapes[1]]), seen), (lm._sums(held, 1, model, lm.expected, shapes), mass)):
+        assert all(np.allclose(x, y, rtol=1e-3, atol=1e-3) for x, y in zip(got, want, strict=False))
+    model.weights = [np.zeros_like(w) for w in model.weights]
+    entries = [lm.unpacked(r.entries) for r in held.collect()]
+    assert all(np.allclose(x, y, rtol=1e-3, atol=1e-3) for x, y in zip(lm.expected(model, entries), lm.expected_at_zero(model, lm.observed(model, entries)), strict=True))
+
+
+def test_entries_are_packed_without_loss():
+    for keys in ([], [0], [5, 6, 2**50], [2**40]):
+        keys, n = np.array(keys, dtype=np.uint64), np.arange(1, len(keys) + 1) * 300
+        assert [x.tolist() for x in lm.unpacked(lm.packed(keys, n))] == [keys.tolist(), n.tolist()]
 
 
 def test_model_of_nothing(none):
