@@ -11,8 +11,11 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; a temporary folder only where the session names none and all its tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named and not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="spark-sitewright-"))
     return (named or _local[0]).rstrip("/")

@@ -40,9 +40,12 @@ def test_every_audit_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL) and set(queries.QUERIES) <= set(__spark_entry__.queries())
 
 
-def test_entry_without_training_data_operators(tmp_path):
-    for name in ("sitewright", "__spark_entry__.py"):
-        (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else None
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_training_data_operators(tmp_path, pipeline):
+    """With corpus_pipeline.py still there, and without it."""
+    for name in ("__spark_entry__.py", *["corpus_pipeline.py"] * pipeline):
+        if (ROOT / name).exists():
+            (tmp_path / name).symlink_to(ROOT / name)
     package = tmp_path / "sitewright"
     package.mkdir()
     for p in (ROOT / "sitewright").iterdir():
