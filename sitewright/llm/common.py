@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 #: The white space that separates words, as a trim set and as a Java regular expression class.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]"
 
-_local: list[str] = []
+_scopes: list[list["Written"]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _local:
-        _local.append("file://" + tempfile.mkdtemp(prefix="spark-sitewright-"))
-    return _local[0]
+@contextmanager
+def scoped() -> Iterator[list["Written"]]:
+    """Tables written inside are dropped at the end, but for those taken out of the list."""
+    held: list[Written] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.remove(held)
+        for table in held:
+            table.drop()
 
 
 @contextmanager
@@ -47,6 +52,8 @@ class Written:
         with _cleaned_shuffles(self.spark):
             df.write.parquet(self.path)
         self._schema = df.schema
+        if _scopes:
+            _scopes[-1].append(self)
 
     @property
     def df(self) -> DataFrame:

@@ -173,7 +173,8 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, block: int):
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     windows = write_out(items.mapInArrow(_windows, "item_id string, words array<long>").distinct(), "decontaminate-windows")
     n_blocks = max(1, -(-windows.count() // block))
-    parts = windows.withColumn("_block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
+    # windows with their items, so that one which very many items have is dealt out too
+    parts = windows.withColumn("_block", F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)))
     for k in range(n_blocks):
         # one block at a time comes to the driver and goes to the executors
         rows = parts.where(F.col("_block") == k).select("item_id", "words").toArrow()

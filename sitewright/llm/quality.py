@@ -64,9 +64,17 @@ POLICIES = {
 }
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_letters", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def _beside(name: str) -> str:
+    """The name of a kept column in the result: with an underscore behind it if the ledger has a column of that name."""
+    return name + "_" if name.lower() in (*MEASURES, "failures", "policy", "kept") else name
+
+
 def measured(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = documents.select(*keep, text.alias("_text"), words(F.col("text")).alias("_words"))
+    split = documents.select(F.struct(*keep).alias("_kept"), text.alias("_text"), words(F.col("text")).alias("_words"))
     n = F.size("_words")
     w = F.col("_words")
     hashes = F.when(n >= 2 * 1 + WINDOW - 1, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
@@ -76,7 +84,7 @@ def measured(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
     paired = hashed.withColumn("_pairs", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), pairs).otherwise(empty))
     return paired.select(
-        *keep,
+        *[F.col("_kept")[k].alias(_beside(k)) for k in keep],
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),

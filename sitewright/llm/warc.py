@@ -10,7 +10,8 @@ are grouped by their SHA-1 and length in a table that holds no html. Files go to
 name that no other attempt of a task uses; a lost attempt leaves files that nothing lists.
 
 Defined cases: a null html is an empty payload, a null url an empty target; rows that repeat a page_id are records of their own,
-of which with equal payloads one is the response; a null page_id sorts before all others; an empty table gives no archive.
+of which with equal payloads one is the response; a null page_id sorts before all others, and what it is the response of refers
+to no number; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def record(page_id: int | None, url: str, payload: bytes | None, size: int, sha:
     page = "" if page_id is None else str(page_id)
     named = [("WARC-Type", "response" if payload is not None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", DATE), ("WARC-Target-URI", " ".join(url.split()))]
     if payload is None:
-        named += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        named += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else refers_to}>")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head + (payload or b"")
     named += [("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -158,7 +159,7 @@ def parsed(raw: bytes) -> dict:
     refers = fields["warc-refers-to"][len("<urn:page:") : -1] if kind == "revisit" else None
     if kind == "response" and (len(payload), digest(payload)) != (claimed, sha):
         raise ValueError(f"record {page}: the payload isn't the one that its header names")
-    return {"page_id": int(page) if page else None, "url": fields["warc-target-uri"], "record_type": kind, "payload": payload if kind == "response" else None, "payload_bytes": claimed, "payload_digest": sha, "refers_to": int(refers) if refers not in (None, "None") else None}
+    return {"page_id": int(page) if page else None, "url": fields["warc-target-uri"], "record_type": kind, "payload": payload if kind == "response" else None, "payload_bytes": claimed, "payload_digest": sha, "refers_to": int(refers) if refers else None}
 
 
 _REC = "path string, n long"
@@ -216,7 +217,21 @@ def write_archives(pages: DataFrame, target: str | None = None, least: int = 0)
     revisits = small.join(shared, ["_sha", "_n"]).where(~F.col("page_id").eqNullSafe(F.col("_first"))).select(F.col("page_id").alias("_page"), F.col("_sha").alias("_s"), "_first").distinct()
     marked = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha") == F.col("_s")), "left")
     sent = marked.select("page_id", "url", F.when(F.col("_s").isNull(), F.col("html")).alias("html"), F.col("_s").isNull().alias("_response"), "_n", "_sha", "_first")
-    return write_out(sent.mapInArrow(_writer(target), _REC), "warc-archives")
+    return write_out(_one_response(sent, small).mapInArrow(_writer(target), _REC), "warc-archives")
+
+
+def _one_response(sent: DataFrame, small: DataFrame) -> DataFrame:
+    """Of rows with equal page_ids and payloads, one stays a response and the others revisit it. No other row is shuffled for it."""
+    again = small.groupBy(F.col("page_id").alias("_page"), F.col("_sha").alias("_s")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    if again.isEmpty():
+        return sent
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha") == F.col("_s"))
+    # their numbers hold once they are written
+    many = Written(sent.join(again, same, "left_semi").where("_response").withColumn("_row", F.monotonically_increasing_id()), "warc-repeats").df
+    first = many.groupBy(F.col("page_id").alias("_page"), F.col("_sha").alias("_s")).agg(F.min("_row").alias("_least"))
+    is_first = F.col("_row") == F.col("_least")
+    split = many.join(first, same).select("page_id", "url", F.when(is_first, F.col("html")).alias("html"), is_first.alias("_response"), "_n", "_sha", F.when(~is_first, F.col("page_id")).alias("_first"))
+    return sent.join(again, same, "left_anti").unionByName(sent.join(again, same, "left_semi").where("not _response")).unionByName(split)
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
@@ -274,3 +289,19 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     archives = write_archives(pages)
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of the SHA-1: each 5 hexadecimal digits are 4 letters.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, html,
+         array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(sha1(html), CAST((k // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest
+  FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM r
+"""

@@ -84,6 +84,8 @@ def test_quality_measures(spark, docs, none):
     got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.ledger(both).collect())
     assert got == sorted((i, *measures(t)) for i, t in rows() + [(e[0], e[1]) for e in extra])
     assert quality.ledger(none).count() == 0
+    clash = quality.ledger(docs.withColumn("_words", F.lit(5)), keep=("doc_id", "n_words", "_words"))
+    assert clash.columns[:3] == ["doc_id", "n_words_", "_words"] and {(r.n_words_, r._words) for r in clash.collect()} == {(-1, 5)}
 
 
 SCHEMA_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -179,6 +181,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_and_null_pages_have_one_response(spark):
+    pages = [(1, "a", "abc"), (1, "a", "abc"), (2, "b", "abc"), (3, "c", "x"), (None, "d", "y"), (None, "e", "y"), (7, "f", "y"), (3, "c", "z"), (8, None, None), (8, None, "")]
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect())
+    assert got == Counter([(1, 3, "response", None), (1, 3, "revisit", 1), (2, 3, "revisit", 1), (3, 1, "response", None), (3, 1, "response", None), (None, 1, "response", None), (None, 1, "revisit", None), (7, 1, "revisit", None), (8, 0, "response", None), (8, 0, "revisit", 8)])
+
+
+def test_warc_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    got = warc.round_trip(spark.read.parquet(f"{sf}/pages.parquet"))
+    want = duckdb.sql(warc.SQL.replace("FROM pages", f"FROM '{sf}/pages.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("zip64", [True, False])
 def test_zip_directories(zip64):
     import pyarrow as pa
