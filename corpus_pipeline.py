@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage is one of the operators, on all that the stage before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result to the shared folder as Parquet and
-reads it again for the next stage. All stages but the last return the columns of `documents`.
+reads it again for the next stage; what a stage has written for itself goes when its result is there. All stages but the last return the columns of `documents`.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sitewright.llm import decontaminate, jaccard, mixing, suffixes, toxicity
-from sitewright.llm.common import write_out
+from sitewright.llm.common import Written, scoped
 from sitewright.llm.queries import table
 
 
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = write_out(docs, f"pipeline-{k}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scoped() as tables:
+            out = Written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+            tables.remove(out)
+        if before:
+            before.drop()
+        docs, before = out.df, out
+    return STAGES[-1][1](spark, docs, sf_dir)
