@@ -10,20 +10,32 @@ from ..functions.urls import hostname, origin
 from . import rules as R
 
 
+#: As many pages are named with a link or resource: rules show five.
+SHOWN = 6
+
+
 def edges(pages: DataFrame) -> DataFrame:
     """(site_id, source, source_ord, pos, target): the links of each page, fragments and order included."""
     return pages.select("site_id", F.col("url").alias("source"), F.col("ord").alias("source_ord"), F.posexplode_outer("doc.links").alias("pos", "link")).where("link.url is not null").select("site_id", "source", "source_ord", "pos", F.col("link.url").alias("target"), F.col("link.internal").alias("internal"))
 
 
+def _first_of(rows: DataFrame, by: list[str], place: str, value: str, name: str) -> DataFrame:
+    """For each group its first SHOWN values by place, as an array, and n, how many there are. No group is gathered whole."""
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    ranked = rows.select(*by, place, value, F.row_number().over(Window.partitionBy(*by).orderBy(place, value)).alias("_rank")).where(F.col("_rank") <= SHOWN)
+    first = ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", value))), lambda x: x[value]).alias(name))
+    return n.join(first, by)
+
+
 def with_inlinks(pages: DataFrame) -> DataFrame:
-    """Pages with the URLs of the other pages that link to them, in page order."""
+    """Pages with the URLs of the first SHOWN other pages that link to them, in page order, and n_inlinks, how many pages do."""
     links = edges(pages).where("source != target").groupBy("site_id", "target", "source").agg(F.min("source_ord").alias("ord"))
-    gathered = links.groupBy("site_id", F.col("target").alias("url")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"]).alias("_inlinks"))
-    return pages.drop("inlinks").join(gathered, ["site_id", "url"], "left").withColumn("inlinks", F.coalesce("_inlinks", F.array().cast("array<string>"))).drop("_inlinks")
+    gathered = _first_of(links, ["site_id", "target"], "ord", "source", "_inlinks").withColumnsRenamed({"target": "url", "n": "n_inlinks"})
+    return pages.drop("inlinks", "n_inlinks").join(gathered, ["site_id", "url"], "left").withColumn("inlinks", F.coalesce("_inlinks", F.array().cast("array<string>"))).withColumn("n_inlinks", F.coalesce("n_inlinks", F.lit(0))).drop("_inlinks")
 
 
-def assets(pages: DataFrame) -> DataFrame:
-    """(site_id, pos, url, kind, third_party, used_by): each resource once, in first-seen order, of the kind it is first used as."""
+def _uses(pages: DataFrame) -> DataFrame:
+    """(site_id, url, page, place, kind, site_origin): resources by page, each once, at its first place there."""
     kinds = F.concat(
         F.transform("doc.images", lambda i: F.struct(F.lit("image").alias("kind"), i["url"].alias("url"))),
         F.transform("doc.scripts", lambda s: F.struct(F.lit("script").alias("kind"), s["url"].alias("url"))),
@@ -31,17 +43,28 @@ def assets(pages: DataFrame) -> DataFrame:
     )
     used = pages.where("doc is not null").select("site_id", "ord", F.col("url").alias("page"), "site_origin", F.posexplode(kinds).alias("at", "a")).where("a.url is not null")
     place = F.struct("ord", "at")
-    each = used.groupBy("site_id", F.col("a.url").alias("url"), "page").agg(F.min(place).alias("place"), F.min_by("a.kind", place).alias("kind"), F.first("site_origin").alias("site_origin"))
-    one = each.groupBy("site_id", "url").agg(F.min_by("kind", "place").alias("kind"), F.min("place").alias("place"), F.first("site_origin").alias("site_origin"), F.transform(F.array_sort(F.collect_list(F.struct("place", "page"))), lambda x: x["page"]).alias("used_by"))
-    return one.select("site_id", (F.row_number().over(Window.partitionBy("site_id").orderBy("place")) - 1).alias("pos"), "url", "kind", (~F.coalesce(origin(F.col("url")) == F.col("site_origin"), F.lit(False))).alias("third_party"), "used_by")
+    return used.groupBy("site_id", F.col("a.url").alias("url"), "page").agg(F.min(place).alias("place"), F.min_by("a.kind", place).alias("kind"), F.first("site_origin").alias("site_origin"))
+
+
+def usage(pages: DataFrame) -> DataFrame:
+    """(site_id, url, page): which page uses which resource."""
+    return _uses(pages).select("site_id", "url", "page")
+
+
+def assets(pages: DataFrame) -> DataFrame:
+    """(site_id, pos, url, kind, third_party, used_by, n_pages): each resource once, in first-seen order, of the kind it is first used as, with the first SHOWN pages that use it."""
+    each = _uses(pages)
+    one = each.groupBy("site_id", "url").agg(F.min_by("kind", "place").alias("kind"), F.min("place").alias("place"), F.first("site_origin").alias("site_origin"))
+    one = one.join(_first_of(each, ["site_id", "url"], "place", "page", "used_by"), ["site_id", "url"])
+    return one.select("site_id", (F.row_number().over(Window.partitionBy("site_id").orderBy("place")) - 1).alias("pos"), "url", "kind", (~F.coalesce(origin(F.col("url")) == F.col("site_origin"), F.lit(False))).alias("third_party"), "used_by", F.col("n").alias("n_pages"))
 
 
 def external_links(pages: DataFrame) -> DataFrame:
-    """(site_id, pos, url, used_by): each linked URL of another origin once, in first-seen order."""
+    """(site_id, pos, url, used_by, n_pages): each linked URL of another origin once, in first-seen order, with the first SHOWN pages that link to it."""
     out = edges(pages).where("not internal")
-    each = out.groupBy("site_id", "target", "source").agg(F.min(F.struct("source_ord", "pos")).alias("place"))
-    one = each.groupBy("site_id", F.col("target").alias("url")).agg(F.min("place").alias("place"), F.transform(F.array_sort(F.collect_list(F.struct("place", "source"))), lambda x: x["source"]).alias("used_by"))
-    return one.select("site_id", (F.row_number().over(Window.partitionBy("site_id").orderBy("place")) - 1).alias("pos"), "url", "used_by")
+    each = out.groupBy("site_id", F.col("target").alias("url"), "source").agg(F.min(F.struct("source_ord", "pos")).alias("place"))
+    one = each.groupBy("site_id", "url").agg(F.min("place").alias("place")).join(_first_of(each, ["site_id", "url"], "place", "source", "used_by"), ["site_id", "url"])
+    return one.select("site_id", (F.row_number().over(Window.partitionBy("site_id").orderBy("place")) - 1).alias("pos"), "url", "used_by", F.col("n").alias("n_pages"))
 
 
 def probed(assets: DataFrame, web: DataFrame) -> DataFrame:
@@ -61,9 +84,15 @@ def probed(assets: DataFrame, web: DataFrame) -> DataFrame:
     )
 
 
-def page_weights(pages: DataFrame, assets: DataFrame) -> DataFrame:
-    """(site_id, url, total, not_measured) of each page: its document and the resources that it uses."""
-    used = assets.select("site_id", F.explode("used_by").alias("url"), "bytes", "measured")
+def page_weights(pages: DataFrame, assets: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(site_id, url, total, not_measured) of each page: its document and the resources that it uses.
+
+    `used` (site_id, url, page) says which these are; without it, used_by does, and has to name all pages.
+    """
+    if used is None:
+        used = assets.select("site_id", F.explode("used_by").alias("url"), "bytes", "measured")
+    else:
+        used = used.join(assets.select("site_id", "url", "bytes", "measured"), ["site_id", "url"]).select("site_id", F.col("page").alias("url"), "bytes", "measured")
     known = F.col("measured") & F.col("bytes").isNotNull()
     sums = used.groupBy("site_id", "url").agg(F.sum(F.when(known, F.col("bytes"))).alias("assets"), F.count_if(~F.coalesce(known, F.lit(False))).alias("not_measured"))
     own = F.coalesce("transfer_bytes", "bytes", F.lit(0))
@@ -99,7 +128,7 @@ def start_pages(pages: DataFrame) -> DataFrame:
     return pages.where("is_page and is_start").groupBy("site_id").agg(F.min_by(F.struct("url", "headers"), rank).alias("start")).select("site_id", F.col("start.url").alias("url"), F.col("start.headers").alias("headers"))
 
 
-def relations(pages: DataFrame, sites: DataFrame, assets: DataFrame, sitemap_urls: DataFrame) -> list[DataFrame]:
+def relations(pages: DataFrame, sites: DataFrame, assets: DataFrame, sitemap_urls: DataFrame, used: DataFrame | None = None) -> list[DataFrame]:
     """Findings of the rules that relate rows to each other."""
     out = []
     for id, value, what in (("SEO-TITLE-003", "doc.title", "title"), ("SEO-DESC-012", "doc.meta_description", "meta description")):
@@ -116,7 +145,7 @@ def relations(pages: DataFrame, sites: DataFrame, assets: DataFrame, sitemap_url
     reached = pages.where("size(inlinks) > 0").select("site_id", F.col("final_url").alias("_reached")).distinct()
     orphans = pages.where("is_page and coalesce(in_sitemap, false) and coalesce(size(inlinks), 0) <= 0 and not is_start").join(reached.withColumnRenamed("_reached", "url"), ["site_id", "url"], "left_anti")
     out.append(finding(orphans, "SEO-MAP-094", F.lit("The sitemap lists the page, but no page links to it.")))
-    weights = page_weights(pages, assets)
+    weights = page_weights(pages, assets, used)
     heavy = T.said("What was measured of the page has ", T.megabytes(F.col("total")), " MB; ", F.col("not_measured"), T.plural(F.col("not_measured"), " resource", " resources"), " could not be measured.")
     out.append(finding(weights.where("total > 2000000 and total <= 5000000"), "PERF-WEIGHT-040", heavy))
     out.append(finding(weights.where("total > 5000000"), "PERF-WEIGHT-041", heavy))

@@ -50,8 +50,11 @@ class Audit:
         return rollups.page_counts(self.pages, self.findings)
 
 
-def audit(pages: DataFrame, sites: DataFrame, assets: DataFrame | None = None, files: DataFrame | None = None, sitemap_urls: DataFrame | None = None, external: DataFrame | None = None, groups: tuple[str, ...] = R.GROUPS) -> Audit:
-    """Evaluate the rules of some groups. `pages` holds `doc` already; where it has no inlinks, they are derived."""
+def audit(pages: DataFrame, sites: DataFrame, assets: DataFrame | None = None, files: DataFrame | None = None, sitemap_urls: DataFrame | None = None, external: DataFrame | None = None, groups: tuple[str, ...] = R.GROUPS, used: DataFrame | None = None) -> Audit:
+    """Evaluate the rules of some groups. `pages` holds `doc` already; where it has no inlinks, they are derived.
+
+    `used` (site_id, url, page), as of `graph.usage`, is for assets whose used_by names some of their pages only.
+    """
     given = V.complete(sites, V.SITE_COLUMNS)
     orphan = lambda df, cols: V.complete(df, cols) if df is not None else V.empty(pages, cols)
     assets, files = orphan(assets, V.ASSET_COLUMNS), orphan(files, V.FILE_COLUMNS)
@@ -61,7 +64,7 @@ def audit(pages: DataFrame, sites: DataFrame, assets: DataFrame | None = None, f
     viewed = kept(V.with_views(linked, given), "pages")
     facts = rollups.site_facts(viewed, given, assets, files, sitemap_urls)
     found = [R.packed(df, name, groups) for name, df in (("pages", viewed), ("sites", facts), ("assets", assets), ("files", files), ("external", external))]
-    related = [f.where(f["group"].isin(*groups)) for f in graph.relations(viewed, given, assets, sitemap_urls)]
+    related = [f.where(f["group"].isin(*groups)) for f in graph.relations(viewed, given, assets, sitemap_urls, used)]
     findings = R.tidied(reduce(DataFrame.unionByName, found + related))
     findings = kept(rollups.applicable(findings, facts), "findings")
     return Audit(viewed, facts, findings, rollups.outcomes(findings, facts, groups))

@@ -92,15 +92,15 @@ def page_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PERF-WEIGHT-*: each page uses three resources, of made-up sizes, of which every fifth is not measured."""
     pages, sites = O.pooled(spark, sf_dir)
     used = pages.select("site_id", "page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).withColumn("asset", (F.col("page_id") + F.col("k") * 13) % 97)
-    assets = used.groupBy("site_id", "asset").agg(F.collect_set("url").alias("used_by")).select("site_id", F.col("asset").cast("int").alias("pos"), "used_by", ((F.col("asset") * 7919 * 61) % 6_000_000).cast("bigint").alias("bytes"), (F.col("asset") % 5 != 0).alias("measured"))
-    weights = graph.page_weights(V.with_views(pages, sites), assets)
+    assets = used.select("site_id", "asset").distinct().select("site_id", F.col("asset").cast("string").alias("url"), ((F.col("asset") * 7919 * 61) % 6_000_000).cast("bigint").alias("bytes"), (F.col("asset") % 5 != 0).alias("measured"))
+    weights = graph.page_weights(V.with_views(pages, sites), assets, used.select("site_id", F.col("asset").cast("string").alias("url"), F.col("url").alias("page")).distinct())
     return weights.select(_page_id().alias("page_id"), "total", "not_measured", F.when(F.col("total") > 5_000_000, "PERF-WEIGHT-041").when(F.col("total") > 2_000_000, "PERF-WEIGHT-040").alias("check_id"))
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each resource once, how it is used first, and by how many pages."""
     pages, sites = O.pooled(spark, sf_dir)
-    return graph.assets(V.with_views(pages, sites)).select("url", "kind", "third_party", F.size("used_by").cast("bigint").alias("n_pages"), F.element_at("used_by", 1).alias("first_page"))
+    return graph.assets(V.with_views(pages, sites)).select("url", "kind", "third_party", "n_pages", F.element_at("used_by", 1).alias("first_page"))
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:

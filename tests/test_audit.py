@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitewright.operators import crawl, graph, pacing, robots, rollups
 from sitewright.operators import rules as R
 from sitewright.plans.audit import audit
+from sitewright.sources.tables import kept
 from sitewright.sources import html as H
 from sitewright.sources import lab, reports, sitemaps, web
 from sitewright.streaming import feed
@@ -216,13 +217,41 @@ def test_crawl(spark):
     extract = lambda df: H.documents(H.parsed(df, *[c for c in df.columns if c not in ("html", "final_url")]))
     sites = spark.createDataFrame([site("s")], SITES)
     maps = spark.createDataFrame([("s", 0, "https://e.com/s"), ("s", 1, "https://e.com/a"), ("s", 2, "https://e.com/l")], "site_id string, pos int, url string")
-    pages, blocked = crawl.crawled(sites, captured, rules, maps, extract, max_depth=2)
+    pages, blocked, left = crawl.crawled(sites, captured, rules, maps, extract, max_depth=2)
     got = {r.url.removeprefix("https://e.com"): r for r in pages.collect()}
     assert {k: r.depth for k, r in got.items()} == {"/": 0, "/a": 1, "/b": 1, "/c": 1, "/d": 2, "/s": None, "/l": None}
     assert got["/b"].final_url == "https://e.com/c" and len(got["/b"].hops) == 1 and got["/b"].doc is None and got["/c"].hops == [] and got["/l"].failure == "redirect-loop" and got["/d"].failure == "other"
     assert [r.url for r in blocked.collect()] == ["https://e.com/no"]
-    few, _ = crawl.crawled(sites, captured, rules, maps, extract, max_pages=2)
-    assert few.count() == 2
+    assert {r.site_id: r.n for r in left.collect()} == {}
+    few, _, left = crawl.crawled(sites, captured, rules, maps, extract, max_pages=2)
+    assert few.count() == 2 and {r.site_id: r.n for r in left.collect()} == {"s": 4}
+
+
+def test_redirects_are_judged_hop_by_hop(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "MAX_HOPS", 3)
+    def answer(url, body="", status=200, kind="text/html", **headers):
+        return (f"https://e.com{url}", "GET", status, {"content-type": kind} | headers, None, body)
+
+    hop = lambda url, to: answer(url, "", 302, location=to)
+    names = ["a/rel", "off", "barred", "left", "bad", "chain", "two", "img"]
+    rows = [answer("/", "<body>" + "".join(f'<a href="/{t}">x</a>' for t in names)), hop("/a/rel", "two?q=1#f"), answer("/a/two?q=1"), hop("/off", "//f.com/x"), hop("/barred", "/no/1"), answer("/no/1", "<body><a href=/never>x</a>"), hop("/left", "/ex/1"), hop("/bad", "mailto:x"), hop("/two", "/two2"), hop("/two2", "/two"), answer("/img", "", kind="image/png")]
+    rows += [hop("/chain", "/c0"), *[hop(f"/c{k}", f"/c{k + 1}") for k in range(12)]]
+    captured = spark.createDataFrame(rows, "url string, method string, status int, headers map<string,string>, failure string, html string")
+    rules = robots.parsed(spark.createDataFrame([("s", "User-agent: *\nDisallow: /no")], "site_id string, text string"))
+    extract = lambda df: H.documents(H.parsed(df, *[c for c in df.columns if c not in ("html", "final_url")]))
+    none = spark.createDataFrame([], "site_id string, pos int, url string")
+    run = lambda **more: crawl.crawled(spark.createDataFrame([site("s")], SITES), captured, rules, none, extract, exclude=("/ex/*",), **more)
+    pages, blocked, _ = run()
+    got = {r.url.removeprefix("https://e.com"): r for r in pages.collect()}
+    assert (got["/a/rel"].final_url, got["/a/rel"].status, got["/a/two?q=1"].hops) == ("https://e.com/a/two?q=1", 200, [])
+    assert (got["/off"].final_url, got["/off"].status, got["/off"].failure) == ("https://f.com/x", 302, None)
+    assert (got["/barred"].final_url, got["/barred"].status, got["/barred"].failure, got["/barred"].doc) == ("https://e.com/no/1", 302, "blocked-by-robots", None)
+    assert (got["/left"].status, got["/left"].failure, len(got["/left"].hops)) == (302, None, 1)
+    assert (got["/bad"].failure, got["/bad"].hops) == ("other", []) and (got["/two"].failure, len(got["/two"].hops)) == ("redirect-loop", 2)
+    assert (got["/chain"].failure, len(got["/chain"].hops), got["/chain"].final_url) == ("too-many-redirects", 3, "https://e.com/c2")
+    assert not {"/no/1", "/ex/1", "/never"} & set(got) and [r.url for r in blocked.collect()] == ["https://e.com/no/1"]
+    pages, _, left = run(max_pages=3)
+    assert [r.url for r in pages.orderBy("ord").collect()] == [f"https://e.com{u}" for u in ("/", "/a/rel", "/a/two?q=1", "/off")] and left.first().n == 6
 
 
 def test_pacing(spark):
@@ -244,6 +273,20 @@ def test_web_and_assets(spark):
     assert [r.url for r in graph.external_links(docs).collect()] == ["https://g.com/"]
 
 
+def test_many_users_of_a_page_or_resource_are_counted_and_some_named(spark):
+    """Seven or more pages that link to one and use one image: six are named in page order, all are counted and weighed."""
+    page = lambda k: f"https://e.com/{k}"
+    rows = [("s", float(9 - k), page(k), page(k), "<img src=/i.png><a href=/hub>x</a><a href=https://g.com/>y</a>") for k in range(9)] + [("s", 20.0, page("hub"), page("hub"), "<p>x")]
+    docs = kept(H.documents(H.parsed(spark.createDataFrame(rows, "site_id string, ord double, url string, final_url string, html string"), "site_id", "ord", "url")).withColumns({"site_origin": F.lit("https://e.com"), "is_page": F.lit(True), "bytes": F.lit(5).cast("bigint"), "transfer_bytes": F.lit(None).cast("bigint")}), "test")
+    order = [page(k) for k in range(8, 2, -1)]
+    got = {r.url: (r.inlinks, r.n_inlinks) for r in graph.with_inlinks(docs).collect()}
+    assert got[page("hub")] == (order, 9) and got[page(0)] == ([], 0)
+    (image,), (link,) = graph.assets(docs).collect(), graph.external_links(docs).collect()
+    assert (image.used_by, image.n_pages, link.used_by, link.n_pages) == (order, 9, order, 9)
+    sized = graph.assets(docs).withColumns({"bytes": F.lit(100), "measured": F.lit(True)})
+    assert {r.total for r in graph.page_weights(docs, sized, graph.usage(docs)).where("url like '%/_'").collect()} == {105}
+
+
 def test_lab(spark):
     good = json.dumps({"lighthouseVersion": "12.1.0", "categories": {"performance": {"score": 0.915}, "seo": {"score": 2}}, "audits": {"cumulative-layout-shift": {"numericValue": 0.127}}})
     got = lab.parsed(spark.createDataFrame([("s", "a", good), ("s", "b", "{"), ("s", "c", '{"runtimeError": {"code": "NO_FCP"}}')], "site_id string, url string, json string"))
