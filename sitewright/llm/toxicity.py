@@ -172,7 +172,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, chain:
     drawn = named.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000)) * max(1, total) < 1_000_000 * sample).groupBy("_id").agg(F.max("labels").alias("labels"))
     # about `sample` rows at most, so they may be broadcast, and no text is shuffled
     text = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(drawn), "_id")
-    base = Written(text.mapInArrow(_featured, "_id long, labels array<int>, features array<int>").dropDuplicates(["_id"]), "toxicity-sample").df
+    # of texts under one doc_id the one with the least features, whichever comes first
+    least = text.mapInArrow(_featured, "_id long, labels array<int>, features array<int>").groupBy("_id").agg(F.min(F.struct("features", "labels")).alias("row"))
+    base = Written(least.select("_id", "row.labels", "row.features"), "toxicity-sample").df
     base = base.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(FOLDS)).cast("int")).withColumn("earlier", F.array().cast("array<double>"))
     models, threshold = [], 0.5
     for rank, _ in enumerate(chain):

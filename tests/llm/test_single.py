@@ -285,6 +285,16 @@ def test_chain_learns_and_keeps_columns(spark, none):
     assert toxicity.score(none, chain).count() == 0
 
 
+def test_texts_under_one_id_are_chosen_alike_in_any_order(spark):
+    rows = [(k, f"a {'horrid thing' if k % 3 == 0 else 'quiet day'} in town number {k}", None, None, 0) for k in range(90)]
+    rows += [(k, f"an odd {'quiet' if k % 3 == 0 else 'horrid'} text {k}", None, None, 0) for k in range(0, 90, 2)]
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(90)], "doc_id long, quality int, toxic int")
+    one, two = (toxicity.train(spark.createDataFrame(x, SCHEMA).coalesce(1), labels) for x in (rows, rows[::-1]))
+    assert one.threshold == pytest.approx(two.threshold)
+    for a, b in zip(one.models, two.models, strict=True):
+        assert a.index.tolist() == b.index.tolist() and np.allclose(a.weight, b.weight, atol=1e-6)
+
+
 def test_chain_without_labels(spark, docs):
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert not any(r.toxic for r in toxicity.score(docs, chain).collect())
