@@ -78,8 +78,19 @@ def link_text(text: Column) -> Column:
     return F.regexp_replace(F.lower(trimmed(text)), r"[\p{P}\p{S}\s\xA0]+$", "")
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A number of at least 0 with so many decimal places: rounded by its exact binary value, and up where it lies just in between."""
+    between = F.pmod(x * 2 ** (places + 1), F.lit(2.0)) == 1
+    return F.when(between, F.format_string(f"%.{places}f", x)).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * places)))
+
+
+def seconds(ms: Column) -> Column:
+    """Seconds with one decimal place, rounded from tenths of a second."""
+    return F.format_string("%.1f s", F.floor(ms / 100 + 0.5) / 10)
+
+
 def megabytes(n: Column) -> Column:
-    return F.format_string("%.1f", n / 1e6)
+    return fixed(n / 1e6, 1)
 
 
 def mime_type(content_type: Column) -> Column:
@@ -143,5 +154,8 @@ def retry_after_ms(value: Column, now: Column) -> Column:
 
 
 def duration_text(ms: Column) -> Column:
-    minutes = F.floor(F.round(ms / 1000) / 60)
-    return F.when(ms.isNull() | (ms < 0), "not available").when(ms < 60000, F.format_string("%.1f s", ms / 1000)).otherwise(said(minutes, " min ", (F.round(ms / 1000) - minutes * 60).cast("long"), " s"))
+    """How long something took: tenths of a second below a minute, else minutes and seconds."""
+    tenths, total = F.floor(ms / 100 + 0.5), F.floor(ms / 1000 + 0.5)
+    minutes, rest = F.floor(total / 60), total % 60
+    long = said(minutes, plural(minutes, " minute", " minutes"), F.when(rest > 0, said(" ", rest, plural(rest, " second", " seconds"))))
+    return F.when(ms.isNull() | (ms < 0), "not available").when(tenths < 600, F.format_string("%.1f seconds", tenths / 10)).otherwise(long)

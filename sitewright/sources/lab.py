@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Names in the tool's JSON.
 SCORES = {"performance": "performance", "accessibility": "accessibility", "best_practices": "best-practices", "seo": "seo"}
 METRICS = {"fcp_ms": "first-contentful-paint", "lcp_ms": "largest-contentful-paint", "tbt_ms": "total-blocking-time", "cls": "cumulative-layout-shift", "speed_index_ms": "speed-index"}
@@ -47,5 +49,5 @@ def chosen(pages: DataFrame, sites: DataFrame, most: int = 3) -> DataFrame:
 
 def shown(pages: DataFrame) -> DataFrame:
     """The numbers as reports print them."""
-    seconds = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.1f s", F.col(c) / 1000))
-    return pages.select("site_id", "url", *[F.coalesce(F.col(k).cast("string"), F.lit("-")).alias(k) for k in SCORES], *[seconds(k).alias(k) for k in METRICS if k != "cls"], F.when(F.col("cls").isNull(), "-").otherwise(F.format_string("%.2f", F.col("cls"))).alias("cls"))
+    seconds = lambda c: F.when(F.col(c).isNull(), "-").otherwise(T.seconds(F.col(c)))
+    return pages.select("site_id", "url", *[F.coalesce(F.col(k).cast("string"), F.lit("-")).alias(k) for k in SCORES], *[seconds(k).alias(k) for k in METRICS if k != "cls"], F.when(F.col("cls").isNull(), "-").otherwise(T.fixed(F.col("cls"), 2)).alias("cls"))

@@ -61,4 +61,4 @@ def test_text_scalars(spark):
     assert [one(spark, T.is_compressed(F.lit(x))) for x in ("gzip", "identity, BR", "identity", None)] == [True, True, False, False]
     assert [one(spark, T.cache_problem(F.lit(x))) is None for x in ("max-age=3600", "max-age=60", "no-store", "immutable", "expires", "public")] == [True, False, False, True, True, False]
     assert [one(spark, T.retry_after_ms(F.lit(v), F.lit(0))) for v in (None, "7", "100000", "Thu, 01 Jan 1970 00:00:09 GMT", "junk")] == [5000, 7000, 60000, 9000, 5000]
-    assert [one(spark, T.duration_text(F.lit(v))) for v in (-1, 12000, 61000)] == ["not available", "12.0 s", "1 min 1 s"]
+    assert [one(spark, T.duration_text(F.lit(v))) for v in (-1, 12000, 61000)] == ["not available", "12.0 seconds", "1 minute 1 second"]
