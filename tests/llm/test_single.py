@@ -250,6 +250,31 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(row[k], math.log(total(b" " + w, k)), rel_tol=1e-9)
 
 
+def test_words_of_any_length_are_scored_whole():
+    """Against a forward pass of logarithms; pieces lie across the borders of windows."""
+    raw = [b" a", b"a", b"ab", b"abcab", "ü".encode(), "üaü".encode(), b"c" * 22]
+    vocabulary = language.Pieces(raw)
+    rng = np.random.Generator(np.random.PCG64(2))
+    p = rng.random((len(raw), 3)) / 10
+    words_ = ["".join(rng.choice(["a", "b", "c", "ü", "abcab", "c" * 22], n)).encode() for n in (12, 40, 41, 42, 90, 500, 3000)] + [b"z" * 39, b"z" * 40, b"z" * 41, b"z" * 5000, b"a" * 81]
+    for w, row in zip(words_, language.log_likelihoods(vocabulary, words_, p), strict=True):
+        text = b" " + w
+        logs = [np.zeros(3)]
+        for b in range(1, len(text) + 1):
+            ways = [logs[b - 1] + math.log(language.BYTE_P)] + [logs[b - len(x)] + np.log(p[k]) for k, x in enumerate(raw) if text[:b].endswith(x)]
+            logs.append(np.logaddexp.reduce(ways))
+        assert np.allclose(row, logs[-1], rtol=1e-9), len(w)
+
+
+def test_blocks_of_languages_change_nothing(spark):
+    words_ = {"aa": "the and of with", "bb": "der die und nicht", "cc": "le la les des est", "dd": "el los las por que"}
+    rows = [(k, " ".join([words_[x], words_[x], "das que the"][: 1 + k % 3]), x, None, 0) for k, x in enumerate(sorted(words_) * 20)]
+    docs = spark.createDataFrame(rows + [(None, None, None, None, 0), (7000, "", "aa", None, 0), (7001, "und", "ee", None, 0)], SCHEMA)
+    whole, parts = ({(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in language.identified(docs, languages=n).collect()} for n in (128, 1))
+    assert whole == parts and {x[2] for x in whole} >= set(words_) | {"und"}
+    assert sum(x[2] == rows[x[0]][2] for x in whole if x[0] is not None and x[0] < len(rows)) > 75
+
+
 def test_learning_raises_the_likelihood():
     vocabulary = language.Pieces([b" th", b"e", b"er", b" t", b"h", b"r"])
     words_, n = [b"the", b"there", b"her"], np.array([5.0, 2.0, 1.0])
