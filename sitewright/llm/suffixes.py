@@ -103,7 +103,7 @@ def runs(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     return text, i0 - begin, i1 - begin, *hashes
 
 
-_FIELDS = (("gram", "<u8"), ("finger", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("left", "<u2"), ("right", "<u2"), ("first", "<u4"), ("length", "u1"), ("at", "u1"), ("same", "u1"))
+_FIELDS = (("gram", "<u8"), ("finger", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("left", "<u2"), ("right", "<u2"), ("first", "<u4"), ("length", "u1"), ("at", "u1"), ("same", "u1"))
 
 
 def _packed(e: dict[str, np.ndarray]) -> bytes:
@@ -165,7 +165,7 @@ def _mapped(n_buckets: int):
             docs = column(batch, "_id").to_numpy(zero_copy_only=False)
             tags = column(batch, "_tag").to_numpy(zero_copy_only=False).astype(np.int64)
             text, i0, i1, gram, finger, left, right, at = runs(texts)
-            held.append({"gram": gram & _U(0xFFFFFFFFFFFF), "finger": finger, "doc": docs[text].astype(np.int64), "tag": (tags[text] & 0xFFFFFFFF).astype(np.uint32), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "first": i0.astype(np.uint32), "length": (i1 - i0).astype(np.uint8), "at": at.astype(np.uint8), "same": np.zeros(len(i0), dtype=np.uint8)})
+            held.append({"gram": gram & _U(0xFFFFFFFFFFFF), "finger": finger, "doc": docs[text].astype(np.int64), "tag": tags[text].view(_U), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "first": i0.astype(np.uint32), "length": (i1 - i0).astype(np.uint8), "at": at.astype(np.uint8), "same": np.zeros(len(i0), dtype=np.uint8)})
             size += len(i0)
             if size >= 400_000:
                 yield from flush(held)
@@ -283,8 +283,9 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _keyed(documents: DataFrame, *more: str) -> DataFrame:
-    """_id: doc_id with a value for null; _tag: 32 bits of a hash of the text, to tell apart rows that share a doc_id."""
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_tag"), "text", *more)
+    """_id: doc_id with a value for null; _tag: a hash of the text, to tell apart rows that share a doc_id: 64 bits where it is null, else 32."""
+    tag = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), tag.alias("_tag"), "text", *more)
 
 
 def covered_spans(documents: DataFrame) -> DataFrame:
