@@ -55,4 +55,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_chat_formatting, op3_suffix_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_lm_scoring, op8_decontamination, op9_mixing, op10_toxicity)}
-SQL = {"op2_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
+SQL = {"op1_jaccard_join": jaccard.SQL, "op2_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
