@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -282,10 +282,15 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x[rows[s]]) for x in (doc, tag, place)] + [pa.array(suffix, pa.binary())], names=["_id", "_tag", "place", "suffix"])
 
 
-def _keyed(documents: DataFrame, *more: str) -> DataFrame:
-    """_id: doc_id with a value for null; _tag: a hash of the text, to tell apart rows that share a doc_id: 64 bits where it is null, else 32."""
+def _key() -> tuple[Column, Column]:
+    """doc_id with a value for null, and a hash of the text, to tell apart rows that share a doc_id: 64 bits where it is null, else 32."""
     tag = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), tag.alias("_tag"), "text", *more)
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), tag
+
+
+def _keyed(documents: DataFrame, *more: str) -> DataFrame:
+    id_, tag = _key()
+    return documents.select(id_.alias("_id"), tag.alias("_tag"), "text", *more)
 
 
 def covered_spans(documents: DataFrame) -> DataFrame:
@@ -356,8 +361,8 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     schema = documents.schema
     spans_name, id_name, tag_name = (free_name(documents, n) for n in ("_spans", "_id", "_tag"))
     spans = _spans_by_text(covered_spans(documents)).select(F.col("_id").alias(id_name), F.col("_tag").alias(tag_name), F.col("spans").alias(spans_name))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(id_name)) & (F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col(tag_name))
-    cut = documents.join(spans, same, "left").select(*[F.col(f"`{c}`") for c in schema.names], spans_name)
+    id_, tag = _key()
+    cut = documents.join(spans, (id_ == F.col(id_name)) & (tag == F.col(tag_name)), "left").select(*[F.col(f"`{c}`") for c in schema.names], spans_name)
     cut = cut.mapInArrow(_cut_texts(spans_name), StructType([*schema.fields, StructField(spans_name, ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))]))
     out = cut.select(*schema.names)
     if "n_chars" in schema.names:
