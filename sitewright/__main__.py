@@ -1,9 +1,10 @@
 """The command line: audit captured pages and write reports, or list the rules.
 
     python -m sitewright audit --pages PATH --sites PATH --out PATH [--format html] [--only seo,health] [--fail-on error]
+    python -m sitewright crawl --web PATH --starts PATH --out PATH [--max-pages 50] [--exclude "/drafts/**"] [--fail-on error]
     python -m sitewright checks [--format markdown]
 
-Exit codes: 0 nothing at or above --fail-on, 1 something, 2 wrong usage.
+Exit codes: 0 nothing at or above --fail-on, 1 something, 2 wrong usage, 3 a site that could not be audited.
 """
 
 from __future__ import annotations
@@ -41,11 +42,21 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--sites", required=True, help="Parquet: site_id, start_url, origin, robots, ...")
     for more in ("assets", "sitemap-files", "sitemap-urls", "external"):
         run.add_argument(f"--{more}")
-    run.add_argument("--out", required=True)
-    run.add_argument("--format", choices=FORMATS, default="html")
-    run.add_argument("--only", type=groups, default=R.GROUPS)
-    run.add_argument("--fail-on", choices=("error", "warning", "info", "never"), default="never")
-    run.add_argument("--shown", type=within(1, 5000), default=50, help="findings per rule in a report")
+    whole = commands.add_parser("crawl")
+    whole.add_argument("--web", required=True, help="Parquet of captured answers: url, method, status, headers, failure, html, bytes")
+    whole.add_argument("--starts", required=True, help="Parquet: site_id, start_url")
+    for name, low, high, usual in (("--max-pages", 1, 2000, 50), ("--max-depth", 0, 20, 3), ("--max-assets", 0, 5000, 300), ("--delay", 0, 60_000, 1000)):
+        whole.add_argument(name, type=within(low, high), default=usual)
+    whole.add_argument("--exclude", action="append", default=[], help="a glob of paths; may be given often")
+    whole.add_argument("--check-external", action="store_true")
+    whole.add_argument("--ignore-robots", action="store_true")
+    whole.add_argument("--user-agent", default="sitewright")
+    for command in (run, whole):
+        command.add_argument("--out", required=True)
+        command.add_argument("--format", choices=FORMATS, default="html")
+        command.add_argument("--only", type=groups, default=R.GROUPS)
+        command.add_argument("--fail-on", choices=("error", "warning", "info", "never"), default="never")
+        command.add_argument("--shown", type=within(1, 5000), default=50, help="findings per rule in a report")
     listed = commands.add_parser("checks")
     listed.add_argument("--format", choices=("text", "markdown"), default="text")
     return top
@@ -60,6 +71,19 @@ def reference(form: str) -> str:
     return "\n".join(["| Rule | Severity | Group | Title | Note |", "| --- | --- | --- | --- | --- |", *rows]) + "\n"
 
 
+def _audit_of(args, table):
+    from pyspark.sql import functions as F
+
+    from .plans.audit import audit
+    from .sources import html
+
+    raw = table(args.pages)
+    keys = [c for c in raw.columns if c not in ("html", "final_url")]
+    robots = F.try_element_at("headers", F.lit("x-robots-tag")) if "headers" in raw.columns else None
+    pages = html.documents(html.parsed(raw, *keys), robots).withColumn("doc", F.when(F.col("status").between(200, 299), F.col("doc")))
+    return audit(pages, table(args.sites), table(args.assets), table(args.sitemap_files), table(args.sitemap_urls), table(args.external), args.only)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "checks":
@@ -70,19 +94,23 @@ def main(argv: list[str] | None = None) -> int:
 
     from .cluster import ship
     from .operators import rollups
-    from .plans.audit import audit
-    from .sources import html, reports
+    from .plans.audit import Options
+    from .plans.runs import run as whole_run
+    from .sources import reports
 
     spark = ship(SparkSession.builder.appName("sitewright").getOrCreate())
     table = lambda path: spark.read.parquet(path) if path else None
-    raw = table(args.pages)
-    keys = [c for c in raw.columns if c not in ("html", "final_url")]
-    robots = F.try_element_at("headers", F.lit("x-robots-tag")) if "headers" in raw.columns else None
-    pages = html.documents(html.parsed(raw, *keys), robots).withColumn("doc", F.when(F.col("status").between(200, 299), F.col("doc")))
-    run = audit(pages, table(args.sites), table(args.assets), table(args.sitemap_files), table(args.sitemap_urls), table(args.external), args.only)
+    unopened = 0
+    if args.command == "crawl":
+        options = Options(args.max_pages, args.max_depth, args.max_assets, args.delay, groups=args.only, exclude=tuple(args.exclude), external=args.check_external, ignore_robots=args.ignore_robots, user_agent=args.user_agent)
+        done = whole_run(table(args.starts), table(args.web), options)
+        unopened, run = done.opened.where("problem is not null").count(), done.audit
+    else:
+        run = _audit_of(args, table)
     made = reports.as_json(run) if args.format == "json" else {"text": reports.as_text, "markdown": reports.as_markdown, "html": reports.as_html}[args.format](run, args.shown)
     reports.write(made, args.out)
-    return int(rollups.exit_codes(run.findings, run.facts, args.fail_on).agg(F.max("exit_code")).first()[0] or 0)
+    worst = int(rollups.exit_codes(run.findings, run.facts, args.fail_on).agg(F.max("exit_code")).first()[0] or 0)
+    return 3 if unopened else worst
 
 
 if __name__ == "__main__":

@@ -40,7 +40,7 @@ def depths(links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def _resolving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def resolving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Location headers (_to) resolved against the URL that sent them."""
     for batch in batches:
         at = batch.schema.get_field_index
@@ -73,7 +73,7 @@ def redirected(urls: DataFrame, web: DataFrame, verdict: Callable[[DataFrame], D
         if hop == MAX_HOPS:
             settled(turned, F.lit(None), F.lit("too-many-redirects"))
             break
-        turned = _kept(turned.mapInArrow(_resolving, turned.schema))
+        turned = _kept(turned.mapInArrow(resolving, turned.schema))
         if turned.isEmpty():
             break
         settled(turned.where("_to is null"), F.lit(None), F.lit("other"))

@@ -69,7 +69,8 @@ def external_links(pages: DataFrame) -> DataFrame:
 
 def probed(assets: DataFrame, web: DataFrame) -> DataFrame:
     """Assets with what probing them gave: a HEAD answer, or a GET answer where HEAD tells too little."""
-    answer = lambda m: web.where(F.col("method") == m).select(F.col("url").alias("_url"), F.struct("status", "headers", "failure", F.octet_length("body").alias("n")).alias(m.lower()))
+    size = F.col("bytes") if "bytes" in web.columns else F.octet_length("body")
+    answer = lambda m: web.where(F.col("method") == m).select(F.col("url").alias("_url"), F.struct("status", "headers", "failure", size.alias("n")).alias(m.lower()))
     both = assets.join(answer("HEAD"), F.col("url") == F.col("_url"), "left").drop("_url").join(answer("GET"), F.col("url") == F.col("_url"), "left").drop("_url")
     length = lambda c: F.when(F.try_element_at(F.col(f"{c}.headers"), F.lit("content-length")).rlike(r"^\d+$"), F.try_element_at(F.col(f"{c}.headers"), F.lit("content-length")).cast("bigint"))
     use_get = F.col("head").isNull() | F.col("head.status").isin(405, 501) | length("head").isNull()

@@ -7,12 +7,19 @@ rules whose pattern matches a path the longest decides, and Allow wins ties.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import robots_like
 
 MAX_DELAY_MS = 30_000
+MAX_BYTES = 512 * 1024
+
+
+def readable(text: Column, most: int = MAX_BYTES) -> Column:
+    """A file's first `most` bytes, up to the end of a line: a rule that is cut in two could mean something else."""
+    cut = F.regexp_replace(F.substring(text.cast("binary"), 1, most).cast("string"), r"[^\r\n]*$", "")
+    return F.when(F.octet_length(text) > most, cut).otherwise(text)
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ class Audit:
     facts: DataFrame
     findings: DataFrame
     outcomes: DataFrame
+    scope: DataFrame | None = None
 
     @property
     def summary(self) -> DataFrame:

@@ -37,8 +37,11 @@ def results(a: Audit, shown: int | None = None) -> DataFrame:
     pages = a.page_counts.groupBy("site_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url", "status", *R.SEVERITIES))), lambda p: F.struct(p["url"].alias("url"), p["status"].alias("status"), *[p[s].alias(s) for s in R.SEVERITIES])).alias("pages"))
     counts = rollups.status_counts(a.outcomes)
     out = a.facts.select("site_id", "start_url", "origin")
-    for more in (summary, first, by_site, pages, counts):
+    scope = [] if a.scope is None else [a.scope]
+    for more in (*scope, summary, first, by_site, pages, counts):
         out = out.join(more, "site_id", "left")
+    if not scope:
+        out = out.withColumn("scope", F.lit(None).cast("array<struct<label:string,value:string>>"))
     order = F.array(*map(F.lit, [*R.GROUPS, "Total"]))
     # the rows of a summary in the order of the groups
     return out.withColumn("summary", F.filter(F.transform(order, lambda g: F.get(F.filter("summary", lambda s: s["group"] == g), F.lit(0))), lambda s: s.isNotNull())).withColumn("fix_first", F.coalesce("fix_first", F.array().cast("array<struct<rank:int,check_id:string,severity:string,affected:bigint>>")))
@@ -62,6 +65,11 @@ def _lines(items: Column, line) -> Column:
     return F.array_join(F.transform(items, line), "")
 
 
+def _scope(line) -> Column:
+    """The lines of what a run looked at; nothing where it isn't known."""
+    return F.coalesce(_lines(F.col("scope"), line), F.lit(""))
+
+
 def _failed(c: str = "checks") -> Column:
     return F.filter(c, lambda k: k["status"] == "fail")
 
@@ -72,7 +80,7 @@ def as_text(a: Audit, shown: int = 10) -> DataFrame:
     check = lambda k: say("  ", k["check_id"], " [", k["severity"], "] ", k["title"], "\n", _lines(k["findings"], one), F.when(k["more"] > 0, say("    ... and ", k["more"], " more\n")))
     row = lambda s: say("  ", F.rpad(s["group"], 15, " "), F.lpad(s["error"].cast("string"), 7, " "), F.lpad(s["warning"].cast("string"), 9, " "), F.lpad(s["info"].cast("string"), 6, " "), "\n")
     report = say(
-        "Audit of ", url(F.col("start_url")), "\n\nSummary\n  ", F.rpad(F.lit("group"), 15, " "), "  error  warning  info\n", _lines(F.col("summary"), row),
+        "Audit of ", url(F.col("start_url")), "\n", _scope(lambda s: say("  ", s["label"], ": ", clean(s["value"]), "\n")), "\nSummary\n  ", F.rpad(F.lit("group"), 15, " "), "  error  warning  info\n", _lines(F.col("summary"), row),
         "\nFix first\n", _lines(F.col("fix_first"), lambda f: say("  ", f["rank"], ". ", f["check_id"], " (", f["severity"], ", ", f["affected"], " affected)\n")),
         "\nFindings\n", _lines(_failed(), check), "\nChecks: ", F.col("failed"), " failed, ", F.col("passed"), " passed, ", F.col("not_applicable"), " not applicable.\nNot seen: ", "; ".join(NOT_SEEN), ".\n",
     )
@@ -85,7 +93,7 @@ def as_markdown(a: Audit, shown: int = 10) -> DataFrame:
     one = lambda f: say("- ", F.when(f["url"].isNotNull(), say(link(f["url"]), ": ")), md(f["detail"]), "\n", _lines(F.coalesce(f["evidence"], F.array().cast("array<string>")), lambda e: say("  - ", link(e), "\n")))
     check = lambda k: say("### ", k["check_id"], " ", md(k["title"]), "\n\n", "Severity: ", k["severity"], "\n\n", _lines(k["findings"], one), F.when(k["more"] > 0, say("- ... and ", k["more"], " more\n")), "\n")
     report = say(
-        "# Audit of ", link(F.col("start_url")), "\n\n| Group | Error | Warning | Info |\n| --- | --- | --- | --- |\n", _lines(F.col("summary"), lambda s: say("| ", s["group"], " | ", s["error"], " | ", s["warning"], " | ", s["info"], " |\n")),
+        "# Audit of ", link(F.col("start_url")), "\n\n", _scope(lambda s: say("- ", s["label"], ": ", md(s["value"]), "\n")), "\n| Group | Error | Warning | Info |\n| --- | --- | --- | --- |\n", _lines(F.col("summary"), lambda s: say("| ", s["group"], " | ", s["error"], " | ", s["warning"], " | ", s["info"], " |\n")),
         "\n## Fix first\n\n", _lines(F.col("fix_first"), lambda f: say(f["rank"], ". ", f["check_id"], " (", f["severity"], ", ", f["affected"], " affected)\n")), "\n## Findings\n\n", _lines(_failed(), check),
     )
     return results(a, shown).select("site_id", report.alias("report"))
@@ -101,7 +109,7 @@ def as_html(a: Audit, shown: int = 50) -> DataFrame:
     report = say(
         '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; style-src \'unsafe-inline\'"><title>Audit</title>',
         "<style>body{font:16px/1.5 sans-serif;margin:2rem auto;max-width:60rem;padding:0 1rem}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2rem .6rem}.error h3{color:#a00}.warning h3{color:#850}</style></head><body><h1>Audit of ",
-        u(F.col("start_url")), "</h1><table><tr><th>Group</th><th>Error</th><th>Warning</th><th>Info</th></tr>", _lines(F.col("summary"), lambda s: say("<tr>", cells(s, "group", *R.SEVERITIES), "</tr>")),
+        u(F.col("start_url")), "</h1><dl>", _scope(lambda s: say("<dt>", s["label"], "</dt><dd>", h(s["value"]), "</dd>")), "</dl><table><tr><th>Group</th><th>Error</th><th>Warning</th><th>Info</th></tr>", _lines(F.col("summary"), lambda s: say("<tr>", cells(s, "group", *R.SEVERITIES), "</tr>")),
         "</table><h2>Fix first</h2><ol>", _lines(F.col("fix_first"), lambda f: say("<li>", f["check_id"], " (", f["affected"], " affected)</li>")), "</ol><h2>Findings</h2>", _lines(_failed(), check),
         "<h2>Passed</h2><ul>", _lines(F.filter("checks", lambda k: k["status"] == "pass"), lambda k: say("<li>", k["check_id"], " ", h(k["title"]), "</li>")), "</ul><h2>Pages</h2><table><tr><th>URL</th><th>Status</th><th>Error</th><th>Warning</th><th>Info</th></tr>",
         _lines(F.col("pages"), lambda p: say("<tr><td>", u(p["url"]), "</td>", cells(p, "status", *R.SEVERITIES), "</tr>")), "</table></body></html>\n",

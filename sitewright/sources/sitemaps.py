@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import origin, path, same_site
+from ..operators.crawl import resolving
+from ..operators.rules import NESTED_NOTE, SKIPPED_NOTE
+from .web import looks_like_html
+
 MAX_URLS, MAX_FILES = 5000, 5
 _TAG = re.compile(r"<!\[CDATA\[(.*?)\]\]>|<!--.*?-->|<\?.*?\?>|<!.*?>|<(/?)([^\s/>]+)[^>]*?(/?)>", re.S)
 
@@ -65,27 +70,40 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("site_id", "url", "xml").mapInArrow(_parsing, "site_id string, url string, kind string, locs array<string>")
 
 
-def loaded(named: DataFrame, web: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+def named(lines: DataFrame, sites: DataFrame) -> DataFrame:
+    """(site_id, pos, url): Sitemap lines of robots.txt, resolved against the site's origin, each URL once."""
+    rows = lines.join(sites.select("site_id", F.col("origin").alias("final_url")), "site_id").select("site_id", "pos", F.col("url").alias("_to"), "final_url")
+    return rows.mapInArrow(resolving, rows.schema).where("_to is not null").groupBy("site_id", F.col("_to").alias("url")).agg(F.min("pos").alias("pos"))
+
+
+def loaded(named: DataFrame, web: DataFrame, sites: DataFrame, guesses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, urls): sitemap files that robots.txt names (site_id, pos, url), indexes opened one level down, and what they list.
 
-    At most MAX_FILES files and MAX_URLS URLs of a site count; only URLs of its origin do; .gz files are skipped.
+    `guesses` (site_id, url, allowed) are looked at besides: one that robots.txt disallows is only noted, and one that is a page
+    and no sitemap isn't. At most MAX_FILES files and MAX_URLS URLs of a site count; only URLs of its origin do; .gz files and
+    those of other sites are noted and not read.
     """
-    from ..functions.urls import origin
-
-    answers = web.select(F.col("url").alias("_u"), "status", F.col("html").alias("xml"))
+    kind_of = F.try_element_at("headers", F.lit("content-type")) if "headers" in web.columns else F.lit(None).cast("string")
+    answers = web.select(F.col("url").alias("_u"), "status", F.col("html").alias("xml"), looks_like_html(F.coalesce(kind_of, F.lit("")), F.col("html")).alias("_page"))
+    named = named.select("site_id", "pos", "url").withColumns({"guessed": F.lit(False), "barred": F.lit(False)})
+    if guesses is not None:
+        named = named.unionByName(guesses.select("site_id", F.lit(0).alias("pos"), "url", F.lit(True).alias("guessed"), (~F.col("allowed")).alias("barred")))
+    own = sites.select("site_id", "origin")
 
     def opened(wanted: DataFrame) -> DataFrame:
-        got = wanted.where(~F.col("url").endswith(".gz")).join(answers, F.col("url") == F.col("_u"), "left").drop("_u")
+        unread = F.when(F.col("barred"), SKIPPED_NOTE).when(~same_site(F.col("url"), F.col("origin")), "on another site, not read").when(F.lower(path(F.col("url"))).endswith(".gz"), "gzip, not read")
+        wanted = wanted.join(own, "site_id").withColumn("unread", unread).drop("origin", "barred")
+        got = wanted.join(answers, F.col("unread").isNull() & (F.col("url") == F.col("_u")), "left").drop("_u")
         kinds = parsed(got.where("status = 200")).dropDuplicates(["site_id", "url"])
         return got.drop("xml").join(kinds, ["site_id", "url"], "left")
 
     top = opened(named.withColumn("level", F.lit(0)))
-    inner = top.where("kind = 'index'").select("site_id", (F.col("pos") * 10_000).alias("_base"), F.posexplode("locs").alias("_k", "url")).select("site_id", "url", (F.col("_base") + F.col("_k") + 1).cast("int").alias("pos"), F.lit(1).alias("level"))
+    inner = top.where("kind = 'index'").select("site_id", (F.col("pos") * 10_000).alias("_base"), F.posexplode("locs").alias("_k", "url")).select("site_id", "url", (F.col("_base") + F.col("_k") + 1).cast("int").alias("pos"), F.lit(1).alias("level"), F.lit(False).alias("guessed"), F.lit(False).alias("barred"))
     both = top.unionByName(opened(inner))
+    both = both.where(~(F.col("guessed") & F.col("status").eqNullSafe(200) & F.col("kind").eqNullSafe("invalid") & F.coalesce("_page", F.lit(False))))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy("level", "pos", "url"))).where(F.col("rank") <= MAX_FILES)
-    note = F.when(F.col("status").isNull(), "not fetched").when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string"))).when(F.col("kind") == "invalid", "not a sitemap").when((F.col("kind") == "index") & (F.col("level") == 1), "nested index, not followed")
+    note = F.when(F.col("unread").isNotNull(), F.col("unread")).when(F.col("status").isNull(), "not fetched").when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string"))).when(F.col("kind") == "invalid", "not a sitemap").when((F.col("kind") == "index") & (F.col("level") == 1), NESTED_NOTE)
     files = ranked.select("site_id", (F.col("rank") - 1).alias("pos"), "url", "status", F.coalesce(note.isNull(), F.lit(False)).alias("ok"), note.alias("note"))
-    own = sites.select("site_id", "origin")
     locs = ranked.where("kind = 'urlset'").select("site_id", F.col("rank").alias("_file"), F.posexplode("locs").alias("_k", "url")).join(own, "site_id").where(origin(F.col("url")) == F.col("origin"))
     one = locs.groupBy("site_id", "url").agg(F.min(F.struct("_file", "_k")).alias("at"))
     urls = one.withColumn("pos", F.row_number().over(Window.partitionBy("site_id").orderBy("at")) - 1).where(F.col("pos") < MAX_URLS).select("site_id", "pos", "url")

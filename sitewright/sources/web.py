@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_html_type, mime_type
 from ..operators.pacing import final_attempts
 
-MAX_BODY, MAX_ROBOTS = 5_000_000, 512 * 1024
+MAX_BODY = 5_000_000
 #: Error codes of fetching, by what they mean for a page.
 FAILURES = {
     "timeout": ("ETIMEDOUT", "UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT", "UND_ERR_BODY_TIMEOUT", "TimeoutError", "AbortError"),
