@@ -16,7 +16,8 @@ from ..sources import html as H
 from ..sources import lab, sitemaps, web
 from ..sources.tables import kept
 from . import overlay as O
-from .audit import audit
+from . import runs
+from .audit import Options, audit
 
 S = "CAST(floor(page_id / 10) AS BIGINT)"
 ORIGIN = f"'https://s' || {S} || '.example'"
@@ -165,6 +166,29 @@ def _listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sitemaps.loaded(named, kept(answers.unionByName(index), "sitemaps"), every.select(*_own(f"{ORIGIN} AS origin")))
 
 
+def site_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A start URL per page, over robots.txt files and redirects that page_id decides: where each leads, or why it can't be audited."""
+    at = "'https://s' || page_id || '.example'"
+    every = O.raw(spark, sf_dir).select("page_id", "html")
+    said = lambda url, status, kind, to, body: F.struct(F.expr(url).alias("url"), F.expr(f"CAST({status} AS INT)").alias("status"), F.expr(f"map('content-type', {kind}, 'location', {to})").alias("headers"), F.expr(body).alias("html"))
+    none = "CAST(NULL AS STRING)"
+    to = f"CASE page_id % 7 WHEN 1 THEN 'https://www.s' || page_id || '.example/' WHEN 2 THEN 'https://hub.example/' WHEN 3 THEN '/no/x' WHEN 6 THEN '/a' ELSE {none} END"
+    answers = F.array(
+        said(f"{at} || '/robots.txt'", "CASE page_id % 5 WHEN 2 THEN 503 WHEN 3 THEN 404 ELSE 200 END", "'text/plain'", none, "CASE page_id % 5 WHEN 1 THEN 'User-agent: *\nDisallow: /no' ELSE '' END"),
+        said(f"{at} || '/'", "CASE page_id % 7 WHEN 0 THEN 200 WHEN 4 THEN 404 WHEN 5 THEN 200 ELSE 301 END", "CASE page_id % 7 WHEN 5 THEN 'image/png' ELSE 'text/html' END", to, "html"),
+        said(f"{at} || '/no/x'", "200", "'text/html'", none, "html"), said(f"{at} || '/a'", "302", "'text/html'", "'/'", "''"),
+        said("'https://www.s' || page_id || '.example/robots.txt'", "404", "'text/plain'", none, "''"), said("'https://www.s' || page_id || '.example/'", "200", "'text/html'", none, "html"),
+    )
+    own = every.select("page_id", F.explode(answers).alias("a")).where("page_id % 5 != 4 or not endswith(a.url, '/robots.txt') or startswith(a.url, 'https://www.')").select("a.*")
+    hub = every.groupBy().agg(F.min("html").alias("html")).select(F.explode(F.array(said("'https://hub.example/robots.txt'", "404", "'text/plain'", none, "''"), said("'https://hub.example/'", "200", "'text/html'", none, "html"))).alias("a")).select("a.*")
+    answered = kept(own.unionByName(hub).withColumn("failure", F.lit(None).cast("string")), "web")
+    files = kept(runs.robots_files(answered), "robots")
+    rules = kept(robots.parsed(files.where("text is not null").select("site_id", "text")), "robots")
+    starts = every.select(F.col("page_id").cast("string").alias("site_id"), F.expr(f"{at} || '/'").alias("start_url"))
+    got = runs.opened(starts, answered, files, rules, Options())
+    return got.select(F.col("site_id").cast("bigint").alias("page_id"), "origin", F.size("hops").cast("bigint").alias("n_hops"), "problem")
+
+
 def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sitemap files that were looked at."""
     return _listed(spark, sf_dir)[0].select(F.col("site_id").cast("bigint").alias("site_id"), F.col("pos").cast("bigint").alias("pos"), "url", F.col("status").cast("bigint").alias("status"), "ok", "note")
@@ -220,7 +244,7 @@ def header_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (site_audit, site_exit_codes, page_inlinks, external_links, robots_facts, sitemap_files, sitemap_urls, web_answers, lab_scores, header_values)}
+QUERIES = {f.__name__: f for f in (site_audit, site_exit_codes, page_inlinks, external_links, robots_facts, site_openings, sitemap_files, sitemap_urls, web_answers, lab_scores, header_values)}
 
 # SQL --------------------------------------------------------------------------------------------------------------------
 
@@ -283,6 +307,10 @@ SELECT page_id, coalesce(n, 0) AS n_inlinks, coalesce(first, '') AS first FROM p
     "robots_facts": """SELECT page_id, page_id % 5 IN (0, 4) AS present, page_id % 5 IN (2, 3) AS unreadable,
        CASE WHEN page_id % 3 != 2 THEN CAST(least(30000, (page_id % 40) * 1000 + 500) AS BIGINT) END AS delay_ms, CASE WHEN page_id % 3 != 2 THEN page_id % 40 >= 30 END AS clamped,
        CASE WHEN page_id % 3 = 0 THEN page_id % 4 = 0 AND page_id % 8 != 0 END AS disallow_all, 'https://e.com/' || page_id || '.xml' AS sitemap FROM pages""",
+    "site_openings": """WITH p AS (SELECT page_id, page_id % 5 AS r, page_id % 7 AS a, 'https://s' || page_id || '.example' AS o FROM pages), q AS (SELECT *, r NOT IN (2, 4) AS heard FROM p)
+SELECT page_id, CASE WHEN heard AND a = 1 THEN 'https://www.s' || page_id || '.example' WHEN heard AND a = 2 THEN 'https://hub.example' ELSE o END AS origin, CAST(heard AND a IN (1, 2, 3, 6) AS BIGINT) AS n_hops,
+       CASE WHEN r = 2 THEN 'robots.txt of ' || o || ' can''t be read (status 503).' WHEN r = 4 THEN 'robots.txt of ' || o || ' can''t be read (other).' WHEN a = 3 AND r = 1 THEN 'robots.txt disallows ' || o || '/no/x.'
+            WHEN a = 4 THEN 'The start URL answers with status 404.' WHEN a = 5 THEN 'The start URL is no HTML page (image/png).' WHEN a = 6 THEN 'The start URL can''t be reached (redirect-loop).' END AS problem FROM q""",
     "sitemap_files": f"""WITH s AS (SELECT DISTINCT {S} AS s, count(*) FILTER (page_id % 2 = 1) OVER (PARTITION BY {S}) AS odd FROM pages),
 f AS (
   SELECT s, 0 AS pos, 'm' AS name, s % 3 = 0 AS top, true AS there FROM s

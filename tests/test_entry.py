@@ -29,7 +29,7 @@ def rows(columns, data):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["page_facts", "text_rules", "markup_rules", "transport_rules", "duplicate_titles_pooled", "robots_decisions", "excluded_pages", "fix_first", "summary", "tidy_texts", "origins", "resources", "page_weights", "site_audit", "page_inlinks", "external_links", "robots_facts", "sitemap_files", "sitemap_urls", "web_answers", "lab_scores", "header_values"])
+@pytest.mark.parametrize("name", ["page_facts", "text_rules", "markup_rules", "transport_rules", "duplicate_titles_pooled", "robots_decisions", "excluded_pages", "fix_first", "summary", "tidy_texts", "origins", "resources", "page_weights", "site_audit", "page_inlinks", "external_links", "robots_facts", "site_openings", "sitemap_files", "sitemap_urls", "web_answers", "lab_scores", "header_values"])
 def test_query_matches_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, str(SF))
     want = duck.sql(queries.SQL[name])
