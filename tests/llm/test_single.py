@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import math
+import random
 import re
 import zipfile
 import zlib
@@ -320,6 +321,69 @@ def test_texts_under_one_id_are_chosen_alike_in_any_order(spark):
         assert a.index.tolist() == b.index.tolist() and np.allclose(a.weight, b.weight, atol=1e-6)
 
 
+def test_chain_matches_brute_force(spark):
+    """Each fold left out in turn, its probabilities handed on to the next model, the threshold by trying all cuts; document by document."""
+    r = random.Random(4)
+    common = [f"w{c}{d}" for c in "abcdefgh" for d in "mnop"]
+    texts, marks = {}, {}
+    for k in range(150):
+        bad, toxic = r.random() < 0.4, r.random() < 0.3
+        texts[k] = " ".join(r.choices(common, k=14) + ["junk"] * (bad and r.random() < 0.8) + ["horrid"] * (toxic and r.random() < 0.8) + ["odd"] * (r.random() < 0.2))
+        marks[k] = (int(bad), int(toxic))
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in texts.items()], SCHEMA)
+    chain = toxicity.train(docs, spark.createDataFrame([(k, 1 - b, t) for k, (b, t) in marks.items()], "doc_id long, quality int, toxic int"))
+    fold = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    own = {k: sorted(toxicity.features([t.encode()])[1].tolist()) for k, t in texts.items()}
+    earlier = {k: [] for k in texts}
+    log_odds = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+
+    def fitted(ids, rank):
+        pairs = np.array([(n, f) for n, k in enumerate(ids) for f in own[k]])
+        return toxicity.fit(pairs[:, 0], pairs[:, 1], np.array([[log_odds(p) for p in earlier[k]] for k in ids]).reshape(len(ids), rank), np.array([marks[k][rank] for k in ids], dtype=float))
+
+    def probability(model, features, before):
+        weights = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+        return 1 / (1 + math.exp(-model.constant - sum(weights.get(f, 0) for f in features) - sum(c * log_odds(p) for c, p in zip(model.chain.tolist(), before, strict=True))))
+
+    models = []
+    for rank in range(2):
+        models.append(fitted(sorted(texts), rank))
+        without = [fitted([k for k in sorted(texts) if fold[k] != f], rank) for f in range(toxicity.FOLDS)]
+        found = {k: probability(without[fold[k]], own[k], earlier[k]) for k in texts}
+        earlier = {k: [*earlier[k], found[k]] for k in texts}
+    ranked = sorted(((earlier[k][-1], marks[k][1]) for k in texts), reverse=True)
+    quality = [2 * sum(y for _, y in ranked[: n + 1]) / (n + 1 + sum(y for _, y in ranked)) for n in range(len(ranked))]
+    best = quality.index(max(quality))
+    assert chain.threshold == pytest.approx(min(max((ranked[best][0] + ranked[best + 1][0]) / 2, 0.2), 0.8), abs=1e-6)
+    for x in toxicity.score(docs, chain).collect():
+        low = probability(models[0], own[x.doc_id], [])
+        high = probability(models[1], own[x.doc_id], [low])
+        assert (x.p_low_quality, x.p_toxic) == pytest.approx((low, high), abs=1e-6) and x.toxic == (x.p_toxic >= chain.threshold)
+
+
+def test_fit_is_near_the_best_penalised_loss():
+    """The loss of plain small steps, very many of them, over dense columns; labels noisy enough for weights to stay small."""
+    r = np.random.Generator(np.random.PCG64(3))
+    x = (r.random((80, 12)) < 0.4).astype(float)
+    before = r.normal(size=(80, 1))
+    y = (x[:, 0] + 0.7 * before[:, 0] + r.normal(size=80) * 1.5 > 0.6).astype(float)
+    doc, feature = np.nonzero(x)
+    got = toxicity.fit(doc, feature, before, y)
+    weights = np.zeros(12)
+    weights[got.index] = got.weight
+
+    def loss(w, c, b):
+        z = x @ w + before @ c + b
+        return float(np.mean(np.logaddexp(0, z) - y * z) + toxicity.PENALTY * np.abs(w).sum())
+
+    w, c, b = np.zeros(12), np.zeros(1), 0.0
+    for _ in range(30_000):
+        e = (1 / (1 + np.exp(-(x @ w + before @ c + b))) - y) / 80
+        w, c, b = w - 0.5 * (x.T @ e), c - 0.5 * (before.T @ e), b - 0.5 * e.sum()
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.5 * toxicity.PENALTY, 0)
+    assert loss(weights, got.chain, got.constant) <= loss(w, c, b) * 1.02 + 1e-4
+
+
 def test_chain_without_labels(spark, docs):
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert not any(r.toxic for r in toxicity.score(docs, chain).collect())
