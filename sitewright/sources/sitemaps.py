@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import origin, path, same_site
-from ..operators.crawl import resolving
+from ..operators.crawl import redirected, resolving
 from ..operators.rules import NESTED_NOTE, SKIPPED_NOTE
+from .tables import kept
 from .web import looks_like_html
 
 MAX_URLS, MAX_FILES = 5000, 5
@@ -81,10 +82,10 @@ def loaded(named: DataFrame, web: DataFrame, sites: DataFrame, guesses: DataFram
 
     `guesses` (site_id, url, allowed) are looked at besides: one that robots.txt disallows is only noted, and one that is a page
     and no sitemap isn't. At most MAX_FILES files and MAX_URLS URLs of a site count; only URLs of its origin do; .gz files and
-    those of other sites are noted and not read.
+    those of other sites are noted and not read. Redirects are followed on the site.
     """
-    kind_of = F.try_element_at("headers", F.lit("content-type")) if "headers" in web.columns else F.lit(None).cast("string")
-    answers = web.select(F.col("url").alias("_u"), "status", F.col("html").alias("xml"), looks_like_html(F.coalesce(kind_of, F.lit("")), F.col("html")).alias("_page"))
+    web = web if "failure" in web.columns else web.withColumn("failure", F.lit(None).cast("string"))
+    web = web if "headers" in web.columns else web.withColumn("headers", F.create_map().cast("map<string,string>"))
     named = named.select("site_id", "pos", "url").withColumns({"guessed": F.lit(False), "barred": F.lit(False)})
     if guesses is not None:
         named = named.unionByName(guesses.select("site_id", F.lit(0).alias("pos"), "url", F.lit(True).alias("guessed"), (~F.col("allowed")).alias("barred")))
@@ -92,8 +93,12 @@ def loaded(named: DataFrame, web: DataFrame, sites: DataFrame, guesses: DataFram
 
     def opened(wanted: DataFrame) -> DataFrame:
         unread = F.when(F.col("barred"), SKIPPED_NOTE).when(~same_site(F.col("url"), F.col("origin")), "on another site, not read").when(F.lower(path(F.col("url"))).endswith(".gz"), "gzip, not read")
-        wanted = wanted.join(own, "site_id").withColumn("unread", unread).drop("origin", "barred")
-        got = wanted.join(answers, F.col("unread").isNull() & (F.col("url") == F.col("_u")), "left").drop("_u")
+        wanted = kept(wanted.join(own, "site_id").withColumn("unread", unread).drop("barred"), "sitemaps")
+        asked = redirected(wanted.where("unread is null"), web, lambda rows: rows.withColumn("reason", F.when(~same_site(F.col("_to"), F.col("origin")), "site")))
+        page = looks_like_html(F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit("")), F.col("html"))
+        got = asked.withColumn("unread", F.when(F.col("reason").isNotNull(), "redirects to another site, not read").when(F.col("status").isNull(), F.coalesce(F.nullif("failure", F.lit("other")), F.lit("not fetched"))))
+        got = got.select(*wanted.columns, "status", F.col("html").alias("xml"), page.alias("_page")).unionByName(wanted.where("unread is not null"), allowMissingColumns=True).drop("origin")
+        got = kept(got, "sitemaps")
         kinds = parsed(got.where("status = 200")).dropDuplicates(["site_id", "url"])
         return got.drop("xml").join(kinds, ["site_id", "url"], "left")
 
@@ -102,7 +107,7 @@ def loaded(named: DataFrame, web: DataFrame, sites: DataFrame, guesses: DataFram
     both = top.unionByName(opened(inner))
     both = both.where(~(F.col("guessed") & F.col("status").eqNullSafe(200) & F.col("kind").eqNullSafe("invalid") & F.coalesce("_page", F.lit(False))))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy("level", "pos", "url"))).where(F.col("rank") <= MAX_FILES)
-    note = F.when(F.col("unread").isNotNull(), F.col("unread")).when(F.col("status").isNull(), "not fetched").when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string"))).when(F.col("kind") == "invalid", "not a sitemap").when((F.col("kind") == "index") & (F.col("level") == 1), NESTED_NOTE)
+    note = F.when(F.col("unread").isNotNull(), F.col("unread")).when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string"))).when(F.col("kind") == "invalid", "not a sitemap").when((F.col("kind") == "index") & (F.col("level") == 1), NESTED_NOTE)
     files = ranked.select("site_id", (F.col("rank") - 1).alias("pos"), "url", "status", F.coalesce(note.isNull(), F.lit(False)).alias("ok"), note.alias("note"))
     locs = ranked.where("kind = 'urlset'").select("site_id", F.col("rank").alias("_file"), F.posexplode("locs").alias("_k", "url")).join(own, "site_id").where(origin(F.col("url")) == F.col("origin"))
     one = locs.groupBy("site_id", "url").agg(F.min(F.struct("_file", "_k")).alias("at"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sitewright.operators import robots
 from sitewright.plans import runs
 from sitewright.plans.audit import Options
-from sitewright.sources import reports
+from sitewright.sources import reports, sitemaps
 
 WEB = "url string, method string, status int, headers map<string,string>, failure string, html string, bytes long"
 PAGE = "<html lang=en><head><title>t</title><link rel=stylesheet href=/s.css></head><body><h1>x</h1><img src=/i.png alt=x><img src=/no/j.png alt=x><img src=https://cdn.example/k.png alt=x>"
@@ -29,9 +29,9 @@ STARTS = {
     "far": "https://h.example/", "twice": "https://i.example/", "loop": "https://j.example/", "excluded": "https://k.example/", "into": "https://l.example/", "none": "mailto:x", "dead": "https://m.example/",
 }
 ANSWERS = [
-    text("https://a.example/robots.txt", "User-agent: *\nDisallow: /no\nCrawl-delay: 2\nSitemap: /maps/all.xml\nSitemap: https://other.example/m.xml\nSitemap: /x.xml.gz"),
+    text("https://a.example/robots.txt", "User-agent: *\nDisallow: /no\nCrawl-delay: 2\nSitemap: /maps/all.xml\nSitemap: https://other.example/m.xml\nSitemap: /x.xml.gz\nSitemap: /away.xml\nSitemap: /none.xml"),
     answer("https://a.example/", PAGE + '<a href="/p">p</a><a href="/no/1">n</a><a href="https://out.example/">o</a><a href="http://a.example/no/2">h</a>'), answer("https://a.example/p", PAGE),
-    answer("https://a.example/maps/all.xml", "<urlset><url><loc>https://a.example/p</loc></url><url><loc>https://a.example/q</loc></url></urlset>", kind="application/xml"), answer("https://a.example/q", PAGE),
+    hop("https://a.example/maps/all.xml", "real.xml"), hop("https://a.example/away.xml", "https://other.example/m.xml"), answer("https://a.example/maps/real.xml", "<urlset><url><loc>https://a.example/p</loc></url><url><loc>https://a.example/q</loc></url></urlset>", kind="application/xml"), answer("https://a.example/q", PAGE),
     answer("https://a.example/s.css", "x" * 100, kind="text/css"), answer("https://a.example/i.png", "", kind="image/png", method="HEAD", **{"content-length": "1234"}), answer("https://out.example/", "", 404, method="HEAD"),
     text("http://b.example/robots.txt", "", 404), hop("http://b.example/", "https://b.example/"), text("https://b.example/robots.txt", "", 404), hop("https://b.example/", "https://www.b.example/home"), text("https://www.b.example/robots.txt", ""), answer("https://www.b.example/home", PAGE), answer("https://www.b.example/sitemap.xml", "<html>no"),
     text("https://c.example/robots.txt", "User-agent: *\nDisallow: /no"), answer("https://c.example/no/1", PAGE),
@@ -74,6 +74,19 @@ def test_pages_and_findings(run):
     assert ("plain", "SEO-MAP-094", "https://a.example/q") in found
 
 
+def test_sitemap_files(spark):
+    web = spark.createDataFrame(ANSWERS, WEB)
+    sites = spark.createDataFrame([("plain", "https://a.example"), ("guessed", "https://www.b.example"), ("barred", "https://c.example")], "site_id string, origin string")
+    rules = robots.parsed(spark.createDataFrame([("plain", ANSWERS[0][5])], "site_id string, text string"))
+    guesses = spark.createDataFrame([("guessed", "https://www.b.example/sitemap.xml", True), ("barred", "https://c.example/sitemap.xml", False)], "site_id string, url string, allowed boolean")
+    files, urls = sitemaps.loaded(sitemaps.named(robots.sitemaps(rules), sites), web, sites, guesses)
+    assert [tuple(r) for r in files.orderBy("site_id", "pos").collect()] == [
+        ("barred", 0, "https://c.example/sitemap.xml", None, False, "disallowed by robots.txt"), ("plain", 0, "https://a.example/maps/all.xml", 200, True, None), ("plain", 1, "https://other.example/m.xml", None, False, "on another site, not read"),
+        ("plain", 2, "https://a.example/x.xml.gz", None, False, "gzip, not read"), ("plain", 3, "https://a.example/away.xml", 301, False, "redirects to another site, not read"), ("plain", 4, "https://a.example/none.xml", None, False, "not fetched"),
+    ]
+    assert [r.url for r in urls.orderBy("pos").collect()] == ["https://a.example/p", "https://a.example/q"]
+
+
 def test_scope(run):
     got = {r.site_id: {s["label"]: s["value"] for s in r.scope} for r in run.audit.scope.collect()}
     assert set(got) == {"plain", "moved", "far"}
