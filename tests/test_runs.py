@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sitewright import __main__ as cli
 from sitewright.operators import robots
 from sitewright.plans import runs
 from sitewright.plans.audit import Options
@@ -108,3 +109,13 @@ def test_a_run_of_no_sites(spark):
     none = spark.createDataFrame([], "site_id string, start_url string")
     got = runs.run(none, spark.createDataFrame([], WEB), Options(groups=("health",)))
     assert got.opened.count() == 0 and got.audit.findings.count() == 0
+
+
+def test_the_crawl_command(spark, tmp_path):
+    spark.createDataFrame(ANSWERS, WEB).write.parquet(str(tmp_path / "web"))
+    for name, sites in (("one", ["plain"]), ("two", ["plain", "gone"])):
+        spark.createDataFrame([(s, STARTS[s]) for s in sites], "site_id string, start_url string").write.parquet(str(tmp_path / name))
+    call = lambda name: cli.main(["crawl", "--web", str(tmp_path / "web"), "--starts", str(tmp_path / name), "--out", str(tmp_path / f"out-{name}"), "--only", "health", "--format", "markdown", "--fail-on", "error", "--exclude", "/p"])
+    assert call("one") in (0, 1) and call("two") == 3
+    (made,) = (tmp_path / "out-two" / "site=plain").glob("*.txt")
+    assert "Pages crawled: 2" in made.read_text() and not list((tmp_path / "out-two").glob("site=gone"))
