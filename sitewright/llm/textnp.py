@@ -10,6 +10,8 @@ import pandas as pd
 import pyarrow as pa
 
 CHUNK = 1 << 20
+#: Bytes that are hashed at once: their working space stays in a core's cache.
+HASHED = 1 << 17
 _U = np.uint64
 
 
@@ -60,21 +62,37 @@ class Words:
     offsets: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word, the same wherever the word stands. Long inputs go block by block."""
+        """One 64-bit hash per word, the same wherever the word stands: the sum of a scrambled (byte, place in the word) of each byte.
+
+        A sum of bytes times powers would make words of some regular patterns equal under every base. Long inputs go block by block.
+        """
         out = np.empty(len(self.starts), dtype=_U)
         i = 0
         while i < len(out):
             first = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.ends, first + 4 * CHUNK, "right")))
+            j = max(i + 1, int(np.searchsorted(self.ends, first + HASHED, "right")))
             part = self.buf[first : int(self.ends[j - 1])]
-            power, inverse = _power_tables(len(part))
-            sums = np.zeros(len(part) + 1, dtype=_U)
-            np.cumsum(_BYTE[part] * power, out=sums[1:])
             a, b = self.starts[i:j] - first, self.ends[i:j] - first
-            out[i:j] = (sums[b] - sums[a]) * inverse[a]
+            place = np.arange(len(part)) - np.repeat(a, np.diff(a, append=len(part)))
+            sums = np.zeros(len(part) + 1, dtype=_U)
+            np.cumsum(mixed(((place.view(_U) << _U(8)) | part) * _U(_B)), out=sums[1:])
+            out[i:j] = sums[b] - sums[a]
             i = j
         return mixed(out)
 
+    def ids(self) -> np.ndarray:
+        """A number per word, equal where the words' bytes are equal, and only there: hashes propose, bytes decide."""
+        _, first, inverse = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        size = self.ends - self.starts
+        same = size == size[first[inverse]]
+        before = np.cumsum(np.where(same, size, 0)) - np.where(same, size, 0)
+        own = np.repeat((self.starts - before)[same], size[same]) + np.arange(int(size[same].sum()))
+        other = np.repeat((self.starts[first[inverse]] - before)[same], size[same]) + np.arange(int(size[same].sum()))
+        if same.all() and np.array_equal(self.buf[own], self.buf[other]):
+            return inverse
+        seen: dict[bytes, int] = {}
+        return np.array([seen.setdefault(self.buf[a:b].tobytes(), len(seen)) for a, b in zip(self.starts, self.ends, strict=True)], dtype=np.int64)
+
 
 def words_of(texts: list[bytes | None], table: np.ndarray = BY_SPACE, lower: bool = True) -> Words:
     """Words of texts in UTF-8 (None: no words); `lower` lower-cases A-Z."""
