@@ -279,5 +279,6 @@ def with_planted(documents: DataFrame) -> DataFrame:
     n, g = F.size(w), F.floor(h / 10)
     a = (g % n).cast("int")
     p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
-    planted = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(w, F.when(i < a, i).otherwise(a + (i - a) % p) + 1))
+    cycles = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice(w, F.lit(1), a), F.slice(cycles, F.lit(1), n - a))
     return documents.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))

@@ -76,7 +76,7 @@ def odd_texts():
             for k in range(at + q, min(n, at + q * r.randrange(2, 9))):
                 w[k] = w[k - q]
         out.append(" ".join(w))
-    for parts in ((1, 4), (2, 6, 3), (5, 10, 40), (8, 16), (3, 48)):  # cycles of cycles
+    for parts in ((1, 4), (2, 6, 3), (5, 10, 6), (8, 16), (3, 48)):  # cycles of cycles
         w = ["a", "b", "c"]
         for times in parts:
             w = w * times + [f"z{len(w)}"]
