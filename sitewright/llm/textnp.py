@@ -61,7 +61,7 @@ class Words:
     bounds: np.ndarray
     offsets: np.ndarray
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """One 64-bit hash per word, the same wherever the word stands: the sum of a scrambled (byte, place in the word) of each byte.
 
         A sum of bytes times powers would make words of some regular patterns equal under every base. Long inputs go block by block.
@@ -75,7 +75,7 @@ class Words:
             a, b = self.starts[i:j] - first, self.ends[i:j] - first
             place = np.arange(len(part)) - np.repeat(a, np.diff(a, append=len(part)))
             sums = np.zeros(len(part) + 1, dtype=_U)
-            np.cumsum(mixed(((place.view(_U) << _U(8)) | part) * _U(_B)), out=sums[1:])
+            np.cumsum(mixed(((place.view(_U) << _U(8)) | part) * _U(_B) ^ _U(seed)), out=sums[1:])
             out[i:j] = sums[b] - sums[a]
             i = j
         return mixed(out)
