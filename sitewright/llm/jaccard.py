@@ -11,7 +11,7 @@ about 1e-15 that they share none, below that of the hashes' collisions; and fewe
 Equal sets have one 64-bit digest, and are one node from there on (two of N different sets collide with a chance of N*N / 2**65).
 Of all words, those that more than one set has are kept; in each, the set with most company stands for the group. Sets that
 share words are candidates. Each is held against those that stand for its words: dense sketches, folded to a common length, drop
-most by Hamming distance, and what is left is verified on the texts. Verified links are united to classes; then, only where the
+most by Hamming distance, and what is left is verified on the texts, shingle by shingle as bytes. Verified links are united to classes; then, only where the
 sets that met one set aren't all of one class yet, their pairs of different classes are held against each other likewise, in
 blocks. So each link that is not implied by others is looked at, and tight groups cost a link per member, not per pair.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from .components import components, united
 from .suffixes import NULL_ID, _keyed
 from .textnp import _U, column, grams, mixed, text_chunks, words_of
 
-N = 5
+N, PERCENT = 5, 75
 RATIO = 1.6
 BLOCK = 1500
 #: Words that similar sets of a size share on average, at least: none shared has then a chance of about 1e-15 per pair.
@@ -53,11 +53,11 @@ def starts() -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=None)
-def n_words(band: int) -> tuple[int, int]:
+def n_words(band: int, certain_only: bool = False) -> tuple[int, int]:
     """Words of the sketches of a size band, and the most bits that can differ; the smaller set of a pair is of the band's sizes.
 
     Either so many that a word is shared for certain, or so many that SHARED are on average, whichever is less; for the second
-    the bits that can differ are given as -1: there is nothing to make sure of.
+    the bits that can differ are given as -1: there is nothing to make sure of. `certain_only`: always the first.
     """
     least, most = starts()[band], starts()[band + 1] - 1
     differ = (most + 4 * most // 3) // 7
@@ -69,23 +69,40 @@ def n_words(band: int) -> tuple[int, int]:
         if certain - differ - blank - 2.5 * spread >= 1:
             break
         certain += 1 + certain // 64
+    if certain_only:
+        return certain, differ
     likely = 8
     while likely < certain and likely * math.exp(-differ / likely) * (1 - math.exp(-(least - differ / 2) / likely)) < SHARED:
         likely += 1 + likely // 64
     return (certain, differ) if certain <= likely else (likely, -1)
 
 
-def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, one text after another and sorted, and where each text's begin."""
+def _exact_grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """A number for every run of n consecutive words, equal where all words are, and only there."""
+    out = ids[: max(0, len(ids) - n + 1)].astype(_U)
+    for k in range(1, n):
+        out = np.unique((out << _U(32)) | ids[k : k + len(out)].astype(_U), return_inverse=True)[1].astype(_U)
+    return out
+
+
+def shingle_sets(texts: list[bytes | None], n: int = N, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-word shingles of each text, one text after another and sorted, and where each text's begin.
+
+    Shingles are 64-bit hashes, the same in all texts; `exact` ones are numbers that hold among these texts only, and tell
+    shingles apart by their bytes.
+    """
     found = words_of(texts)
-    hashes = found.hashes()
+    hashes = found.ids() if exact else found.hashes()
     count = np.diff(found.bounds)
-    long_ = count >= N
-    text = np.repeat(np.arange(len(texts)), np.where(long_, count - N + 1, 0))
-    run = np.arange(len(text)) - np.repeat(np.cumsum(np.where(long_, count - N + 1, 0)) - np.where(long_, count - N + 1, 0), np.where(long_, count - N + 1, 0))
-    values = grams(hashes, N)[found.bounds[text] + run] if len(text) else np.zeros(0, dtype=_U)
-    for k in np.flatnonzero((count > 0) & ~long_):
-        own = grams(hashes[found.bounds[k] : found.bounds[k + 1]], int(count[k])) + _U(count[k])
+    long_ = count >= n
+    text = np.repeat(np.arange(len(texts)), np.where(long_, count - n + 1, 0))
+    run = np.arange(len(text)) - np.repeat(np.cumsum(np.where(long_, count - n + 1, 0)) - np.where(long_, count - n + 1, 0), np.where(long_, count - n + 1, 0))
+    values = (_exact_grams(hashes, n) if exact else grams(hashes, n))[found.bounds[text] + run] if len(text) else np.zeros(0, dtype=_U)
+    whole: dict[tuple, int] = {}
+    few = np.flatnonzero((count > 0) & ~long_)
+    for k in few:
+        own = hashes[found.bounds[k] : found.bounds[k + 1]]
+        own = np.array([2**62 + whole.setdefault(tuple(own.tolist()), len(whole))], dtype=_U) if exact else grams(own, int(count[k])) + _U(count[k])
         text, values = np.append(text, k), np.append(values, own)
     order = np.lexsort((values, text))
     text, values = text[order], values[order]
@@ -124,18 +141,25 @@ def set_digest(values: np.ndarray) -> int:
 _SETS = "_id long, _tag long, n long, node long, sketch binary"
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def dense_sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [dense_sketch(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _described(n: int, sketches):
     """Texts -> their sets' sizes, digests and sketches. An empty set is equal to none of another doc_id: its node is of the doc_id."""
-    for batch, texts in text_chunks(batches):
-        values, bounds = shingle_sets(texts)
-        own = [values[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
-        node = np.array([set_digest(x) for x in own], dtype=np.int64)
-        ids = column(batch, "_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        node = np.where(np.diff(bounds) > 0, node, mixed(ids.view(_U) ^ _U(0x5BF0363574A1C29D)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([column(batch, "_id"), column(batch, "_tag"), pa.array(np.diff(bounds)), pa.array(node), pa.array([dense_sketch(x) for x in own], pa.binary())], names=["_id", "_tag", "n", "node", "sketch"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            values, bounds = shingle_sets(texts, n)
+            node = np.array([set_digest(values[bounds[k] : bounds[k + 1]]) for k in range(len(texts))], dtype=np.int64)
+            ids = column(batch, "_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            node = np.where(np.diff(bounds) > 0, node, mixed(ids.view(_U) ^ _U(0x5BF0363574A1C29D)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([column(batch, "_id"), column(batch, "_tag"), pa.array(np.diff(bounds)), pa.array(node), pa.array(sketches(values, bounds), pa.binary())], names=["_id", "_tag", "n", "node", "sketch"])
+
+    return run
 
-def word_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def word_keys(values: np.ndarray, bounds: np.ndarray, certain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) for each word of each set's sketches: its own size band's, and the next lower one's if a set there can match."""
     size = np.diff(bounds)
     limits = np.array(starts())
@@ -151,7 +175,7 @@ def word_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         words = np.zeros(len(size), dtype=np.int64)
         differ = np.zeros(len(size), dtype=np.int64)
         for b in np.unique(band[used]):
-            words[used & (band == b)], differ[used & (band == b)] = n_words(int(b))
+            words[used & (band == b)], differ[used & (band == b)] = n_words(int(b), certain)
         base = np.cumsum(words) - words
         of = np.repeat(np.arange(len(size)), np.where(used, size, 0))
         mine = values[np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in np.flatnonzero(used)])]
@@ -182,8 +206,8 @@ def word_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 KEY, NODE = 6, 8
 
 
-def _keyed_words(n_buckets: int):
-    """Texts -> (bucket, keys and digests). Equal sets have equal digests, so of those in a batch one is enough."""
+def _keyed_words(n_buckets: int, n: int, keys_of):
+    """Texts -> (bucket, keys and digests), by `keys_of` the sets of n-word shingles. Equal sets have equal digests, so of those in a batch one is enough."""
 
     def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         node, key = np.concatenate(nodes), np.concatenate(keys)
@@ -200,14 +224,14 @@ def _keyed_words(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, keys, size, seen = [], [], 0, set()
         for _, texts in text_chunks(batches):
-            values, bounds = shingle_sets(texts)
+            values, bounds = shingle_sets(texts, n)
             digest = np.array([set_digest(values[bounds[k] : bounds[k + 1]]) for k in range(len(texts))], dtype=np.int64)
             fresh = np.zeros(len(texts), dtype=bool)
             for k, d in enumerate(digest.tolist()):
                 fresh[k] = d not in seen
                 seen.add(d)
             count = np.diff(bounds)
-            sets, key = word_keys(values[np.repeat(fresh, count)], np.concatenate(([0], np.cumsum(np.where(fresh, count, 0)))))
+            sets, key = keys_of(values[np.repeat(fresh, count)], np.concatenate(([0], np.cumsum(np.where(fresh, count, 0)))))
             nodes.append(digest[sets])
             keys.append(key)
             size += len(key)
@@ -255,102 +279,145 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(node[s]), pa.array(size[s])], names=["key", "node", "size"])
 
 
-def _may_match(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
-    return 4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)
+def may_match(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes leave it open that sets are so similar."""
+    return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+
 
+def near_by_sketch(n1: np.ndarray, n2: np.ndarray, s1: list[bytes], s2: list[bytes]) -> np.ndarray:
+    """Which pairs of sets, of sizes that may match, the Hamming distance of their sketches doesn't rule out."""
+    keep = may_match(n1, n2, PERCENT)
+    for k in np.flatnonzero(keep):
+        x, y = np.frombuffer(s1[k], np.uint64), np.frombuffer(s2[k], np.uint64)
+        size = min(len(x), len(y))
+        keep[k] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * 7 <= n1[k] + n2[k]
+    return keep
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _near(near):
     """Pairs with both sketches -> pairs whose sizes and sketches don't rule them out."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        n1, n2 = (column(batch, k).to_numpy() for k in ("n1", "n2"))
-        keep = _may_match(n1, n2)
-        s1, s2 = column(batch, "s1").to_pylist(), column(batch, "s2").to_pylist()
-        for k in np.flatnonzero(keep):
-            x, y = np.frombuffer(s1[k], np.uint64), np.frombuffer(s2[k], np.uint64)
-            size = min(len(x), len(y))
-            keep[k] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * 7 <= n1[k] + n2[k]
-        yield batch.select(["a", "b", "shared"]).filter(pa.array(keep))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n1, n2 = (column(batch, k).to_numpy() for k in ("n1", "n2"))
+                keep = near(n1, n2, column(batch, "s1").to_pylist(), column(batch, "s2").to_pylist())
+                yield batch.select(["a", "b", "shared"]).filter(pa.array(keep))
+
+    return run
+
+
+def rows_by_sketch(n: np.ndarray, sketches: list[bytes]):
+    """(x, right) -> those of the sets `right` of a block that sizes and sketches don't rule out beside set x."""
+    size = min(map(len, sketches)) // 8
+    sketch = np.stack([folded(np.frombuffer(s, np.uint64), size) for s in sketches])
+
+    def near(x: int, right: np.ndarray) -> np.ndarray:
+        right = right[may_match(n[right], n[x], PERCENT)]
+        far = np.bitwise_count(sketch[right] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        return right[far * 7 <= n[right] + n[x]]
+
+    return near
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _across(rows_near):
     """Blocks of the sets that met one set, sorted by block -> pairs of different classes that sizes and sketches don't rule out."""
-    held, name = [], None
-    for batch in batches:
-        cols = [column(batch, k).to_pylist() for k in ("rep", "i", "j", "id", "side", "class", "n", "sketch")]
-        for rep, i, j, *row in zip(*cols, strict=True):
-            if (rep, i, j) != name:
-                yield from _block(held)
-                held, name = [], (rep, i, j)
-            held.append(row)
-    yield from _block(held)
 
+    def block(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        id_, side, cls, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        near = rows_near(n, [r[4] for r in rows])
+        within = not (side == 1).any()
+        a, b = [], []
+        for x in np.flatnonzero(side == 0):
+            right = near(x, np.flatnonzero((cls != cls[x]) & ((id_ > id_[x]) if within else (side == 1))))
+            a.append(np.full(len(right), id_[x]))
+            b.append(id_[right])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-def _block(rows: list[list]) -> Iterator[pa.RecordBatch]:
-    if len(rows) < 2:
-        return
-    id_, side, cls, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-    size = min(len(r[4]) for r in rows) // 8
-    sketch = np.stack([folded(np.frombuffer(r[4], np.uint64), size) for r in rows])
-    left = np.flatnonzero(side == 0)
-    within = not (side == 1).any()
-    a, b = [], []
-    for x in left:
-        right = np.flatnonzero((cls != cls[x]) & _may_match(n, n[x]) & ((id_ > id_[x]) if within else (side == 1)))
-        if len(right):
-            far = np.bitwise_count(sketch[right] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            right = right[far * 7 <= n[right] + n[x]]
-            a.extend([int(id_[x])] * len(right))
-            b.extend(id_[right].tolist())
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, salt, side): the set of a, then those to be held against it -> links."""
-    name, sets = None, []
-    for batch, texts in text_chunks(batches):
-        values, bounds = shingle_sets(texts)
-        a, salt, side, b = (column(batch, k).to_pylist() for k in ("a", "salt", "side", "b"))
-        out_a, out_b = [], []
-        for k in range(len(texts)):
-            own = values[bounds[k] : bounds[k + 1]]
-            if (a[k], salt[k]) != name:
-                name, sets = (a[k], salt[k]), []
-            if side[k] == 0:
-                sets.append(own)
-            elif any(_similar(own, x) for x in sets):
-                out_a.append(a[k])
-                out_b.append(b[k])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-
-def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            cols = [column(batch, k).to_pylist() for k in ("rep", "i", "j", "id", "side", "class", "n", "sketch")]
+            for rep, i, j, *row in zip(*cols, strict=True):
+                if (rep, i, j) != name:
+                    yield from block(held)
+                    held, name = [], (rep, i, j)
+                held.append(row)
+        yield from block(held)
+
+    return run
+
+
+def _verified(n: int, percent: int):
+    """Rows sorted by (a, salt, side): the text of a, then those to be held against it -> links.
+
+    Shingles are compared by their bytes here, so that no two hashes that happen to be equal make a link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        for batch, texts in text_chunks(batches):
+            before = len(held)
+            values, bounds = shingle_sets(held + texts, n, exact=True)
+            sets = [values[bounds[k] : bounds[k + 1]] for k in range(before)]
+            a, salt, side, b = (column(batch, k).to_pylist() for k in ("a", "salt", "side", "b"))
+            out_a, out_b = [], []
+            for k in range(len(texts)):
+                own = values[bounds[before + k] : bounds[before + k + 1]]
+                if (a[k], salt[k]) != name:
+                    name, sets, held = (a[k], salt[k]), [], []
+                if side[k] == 0:
+                    sets.append(own)
+                    held.append(texts[k])
+                elif any(_similar(own, x, percent) for x in sets):
+                    out_a.append(a[k])
+                    out_b.append(b[k])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if not len(x) or not len(y):
         return False
     x, y = (x, y) if len(x) < len(y) else (y, x)
     both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return 100 * both >= 75 * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 class Join:
-    """The join of a table of documents with itself, step by step. Equal sets are one node, known by its digest."""
+    """The join of a table of documents with itself, step by step. Equal sets are one node, known by its digest.
+
+    What a set is described by, the keys that similar sets share, and how descriptions rule pairs out can be others' (`minhash`).
+    """
 
-    def __init__(self, documents: DataFrame):
+    n, percent = N, PERCENT
+    sketches = staticmethod(dense_sketches)
+    keys = staticmethod(word_keys)
+    near, rows_near = staticmethod(near_by_sketch), staticmethod(rows_by_sketch)
+
+    def __init__(self, documents: DataFrame, certain: bool = False):
+        """`certain`: as many sketch words at every size as make sure that similar sets share one; more disk for large sets."""
+        if certain:
+            self.keys = partial(word_keys, certain=True)
         self.docs = _keyed(documents.select("doc_id", "text"))
         self.spark = documents.sparkSession
-        self.sets = Written(self.docs.mapInArrow(_described, _SETS), "jaccard-sets").df
+        self.sets = Written(self.docs.mapInArrow(_described(self.n, self.sketches), _SETS), "jaccard-sets").df
         rows = self.sets.groupBy("node").agg(F.min(F.struct("_id", "_tag")).alias("row"), F.max("_id").alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         #: Each distinct set: its smallest and largest _id, and the row whose text stands for it.
         self.nodes = Written(rows.select("node", "n", "sketch", "row._id", "row._tag", "last"), "jaccard-nodes").df
 
+    def n_keys(self) -> int:
+        """About how many keys all sets have, at most."""
+        return self.nodes.agg(F.sum("n")).first()[0] or 0
+
     def shared(self) -> Written:
         """(key, node, size): the sketch words that more than one set has."""
-        total = self.nodes.agg(F.sum("n")).first()[0] or 0
-        parts = max(parallelism(self.spark), total // 1_500_000)
+        parts = max(parallelism(self.spark), self.n_keys() // 1_500_000)
         n_buckets = max(1, min(60_000, 4 * parts))
-        words = self.docs.select("text").mapInArrow(_keyed_words(n_buckets), "bucket long, words binary")
+        words = self.docs.select("text").mapInArrow(_keyed_words(n_buckets, self.n, self.keys), "bucket long, words binary")
         return Written(words.repartition(parts, "bucket").mapInArrow(_shared, _SHARED), "jaccard-words")
 
     def met(self) -> Written:
@@ -370,7 +437,7 @@ class Join:
         """Pairs (a, b, shared) that sizes and sketches leave."""
         a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
         b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_near, "a long, b long, shared long")
+        return pairs.join(a, "a").join(b, "b").mapInArrow(_near(self.near), "a long, b long, shared long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are similar. A set that many are held against is dealt out over salts."""
@@ -382,7 +449,7 @@ class Join:
         needed = self.nodes.join(rows.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("node", "_id", "_tag")
         texts = self.docs.join(needed, ["_id", "_tag"]).dropDuplicates(["node"]).select(F.col("node").alias("b"), "text")
         dealt = rows.join(texts, "b").repartition(parallelism(self.spark), "a", "salt").sortWithinPartitions("a", "salt", "side")
-        out = Written(dealt.mapInArrow(_verified, "a long, b long"), "jaccard-links")
+        out = Written(dealt.mapInArrow(_verified(self.n, self.percent), "a long, b long"), "jaccard-links")
         held.drop()
         return out.df
 
@@ -428,23 +495,23 @@ class Join:
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         dealt = full.select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), own.alias("own"), "id", "class", "n", "sketch")
         dealt = dealt.select("rep", F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "id", F.when(F.col("own") > F.col("x"), 1).otherwise(0).alias("side"), "class", "n", "sketch")
-        return dealt.repartition(parallelism(self.spark), "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_across, "a long, b long")
+        return dealt.repartition(parallelism(self.spark), "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_across(self.rows_near), "a long, b long")
 
 
-def similar(documents: DataFrame) -> DataFrame:
+def similar(documents: DataFrame, certain: bool = False, by: type[Join] = Join) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that it reaches by links, itself included."""
-    join = Join(documents)
+    join = by(documents, certain)
     out = join.sets.join(join.classes(), "node", "left")
     id_ = lambda c: F.when(c != NULL_ID, c)
     return out.select(id_(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), id_(F.coalesce("component", "_id")).alias("component_id"))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, by: type[Join] = Join) -> DataFrame:
     """The documents, with all their columns, without those that a document with a smaller doc_id stands for.
 
     Of rows that share a doc_id all stay, or none.
     """
-    join = Join(documents)
+    join = by(documents)
     gone = free_name(documents, "_gone")
     ids = join.sets.join(join.classes(), "node").where("_id != component").select(F.col("_id").alias(gone)).distinct()
     return documents.join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(gone), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocation, decontaminate, jaccard, language, lm, mixing, periodic, quality, suffixes, toxicity, warc
+from . import chat, collocation, decontaminate, jaccard, language, lm, minhash, mixing, periodic, quality, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
@@ -62,5 +66,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.with_planted(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_chat_formatting, op3_suffix_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_lm_scoring, op8_decontamination, op9_mixing, op10_toxicity, op12_collocations, op13_periodic_runs)}
-SQL = {"op1_jaccard_join": jaccard.SQL, "op2_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL, "op12_collocations": collocation.SQL}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_chat_formatting, op3_suffix_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_lm_scoring, op8_decontamination, op9_mixing, op10_toxicity, op11_minhash_dedup, op12_collocations, op13_periodic_runs)}
+SQL = {"op1_jaccard_join": jaccard.SQL, "op2_chat_formatting": chat.SQL, "op5_warc": warc.SQL, "op6_quality_rules": quality.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL, "op11_minhash_dedup": minhash.SQL, "op12_collocations": collocation.SQL}
