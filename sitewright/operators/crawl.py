@@ -45,7 +45,7 @@ def resolving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index
         to, base = batch.column(at("_to")).to_pylist(), batch.column(at("final_url")).to_pylist()
-        yield batch.set_column(at("_to"), "_to", pa.array([normalised(x, y) for x, y in zip(to, base, strict=True)], pa.string()))
+        yield batch.set_column(at("_to"), "_to", pa.array([None if x is None else normalised(x, y) for x, y in zip(to, base, strict=True)], pa.string()))
 
 
 def redirected(urls: DataFrame, web: DataFrame, verdict: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -67,24 +67,6 @@ def external_links(pages: DataFrame) -> DataFrame:
     return one.select("site_id", (F.row_number().over(Window.partitionBy("site_id").orderBy("place")) - 1).alias("pos"), "url", "used_by", F.col("n").alias("n_pages"))
 
 
-def probed(assets: DataFrame, web: DataFrame) -> DataFrame:
-    """Assets with what probing them gave: a HEAD answer, or a GET answer where HEAD tells too little."""
-    size = F.col("bytes") if "bytes" in web.columns else F.octet_length("body")
-    answer = lambda m: web.where(F.col("method") == m).select(F.col("url").alias("_url"), F.struct("status", "headers", "failure", size.alias("n")).alias(m.lower()))
-    both = assets.join(answer("HEAD"), F.col("url") == F.col("_url"), "left").drop("_url").join(answer("GET"), F.col("url") == F.col("_url"), "left").drop("_url")
-    length = lambda c: F.when(F.try_element_at(F.col(f"{c}.headers"), F.lit("content-length")).rlike(r"^\d+$"), F.try_element_at(F.col(f"{c}.headers"), F.lit("content-length")).cast("bigint"))
-    use_get = F.col("head").isNull() | F.col("head.status").isin(405, 501) | length("head").isNull()
-    status = F.when(use_get & F.col("get").isNotNull(), F.col("get.status")).otherwise(F.col("head.status"))
-    headers = F.when(use_get & F.col("get").isNotNull(), F.col("get.headers")).otherwise(F.col("head.headers"))
-    bytes_ = F.when(status >= 400, F.lit(None)).when(use_get, F.coalesce(length("get"), F.col("get.n").cast("bigint"))).otherwise(length("head"))
-    throttled = F.coalesce(status.isin(429, 503), F.lit(False))
-    header = lambda k: F.try_element_at(headers, F.lit(k))
-    return both.select(
-        "site_id", "pos", "url", "kind", "third_party", F.when(~throttled, status).alias("status"), F.when(~throttled, bytes_).alias("bytes"), header("content-type").alias("content_type"), header("content-encoding").alias("content_encoding"),
-        F.coalesce(F.nullif(F.trim(header("cache-control")), F.lit("")), F.when(header("expires").isNotNull(), "expires")).alias("cache_control"), (status.isNotNull() & ~throttled).alias("measured"), "used_by",
-    )
-
-
 def page_weights(pages: DataFrame, assets: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """(site_id, url, total, not_measured) of each page: its document and the resources that it uses.
 
@@ -159,28 +141,3 @@ def relations(pages: DataFrame, sites: DataFrame, assets: DataFrame, sitemap_url
         also = F.when(F.col("pages") > 1, T.said(" ", others, T.plural(others, " other page lacks it too.", " other pages lack it too.")))
         out.append(finding(facts.where(fires), id, T.said(f"The start page sends no {name} header.", also), url=None))
     return out
-
-
-def favicon_probe(pages: DataFrame, web: DataFrame, sites: DataFrame) -> DataFrame:
-    """(site_id, favicon): a page names an icon, or /favicon.ico is there; null where neither was looked at."""
-    named = pages.groupBy("site_id").agg(F.bool_or("doc.icon_link").alias("named"))
-    there = web.select(F.col("url").alias("_icon"), (F.col("status") == 200).alias("there"))
-    return sites.select("site_id", F.concat("origin", F.lit("/favicon.ico")).alias("_icon")).join(there, "_icon", "left").join(named, "site_id", "left").select("site_id", F.when(F.col("named"), True).otherwise(F.col("there")).alias("favicon"))
-
-
-def probes(web: DataFrame, sites: DataFrame, missing_path: str = "/no-such-page-4f1c") -> DataFrame:
-    """(site_id, http_to_https, sibling_redirects, soft404): what asking for other forms of a site's address gave; null means unknown."""
-    from ..functions.urls import sibling_host
-
-    last = web.groupBy("url").agg(F.first("status").alias("status"), F.first(F.try_element_at("headers", F.lit("location"))).alias("location"))
-    host = hostname(F.col("origin"))
-    asked = sites.select("site_id", "origin", F.concat(F.lit("http://"), host, F.lit("/")).alias("plain"), F.concat(F.regexp_extract("origin", "^(https?://)", 1), sibling_host(host), F.lit("/")).alias("sibling"), F.concat("origin", F.lit(missing_path)).alias("missing"))
-    for name in ("plain", "sibling", "missing"):
-        asked = asked.join(last.select(F.col("url").alias(name), F.col("status").alias(f"{name}_status"), F.col("location").alias(f"{name}_to")), name, "left")
-    redirects = lambda n: F.col(f"{n}_status").isin(301, 302, 303, 307, 308)
-    return asked.select(
-        "site_id",
-        F.when(F.col("origin").startswith("https://") & F.col("plain_status").isNotNull(), redirects("plain") & F.coalesce(F.col("plain_to").startswith("https://"), F.lit(False))).alias("http_to_https"),
-        F.when(F.col("sibling_status").isNotNull(), redirects("sibling") & F.coalesce(hostname(F.col("sibling_to")) == hostname(F.col("origin")), F.lit(False))).alias("sibling_redirects"),
-        F.when(F.col("missing_status").isNotNull(), F.col("missing_status") == 200).alias("soft404"),
-    )

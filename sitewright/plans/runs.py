@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.urls import excluded, hostname, origin, path_with_query, same_site, sibling_host
-from ..operators import crawl, graph, robots
+from ..functions.urls import excluded, hostname, origin, path_with_query, same_site
+from ..operators import crawl, graph, probes, robots
 from ..operators import views as V
 from ..sources import html, sitemaps
 from ..sources.tables import kept
@@ -108,7 +108,8 @@ def _assets(pages: DataFrame, web: DataFrame, sites: DataFrame, rules: DataFrame
     chosen = ranked.where(F.col("_rank") <= o.max_assets)
     columns = ["site_id", "pos", "url", "kind", "third_party", "used_by"]
     left = judged.join(chosen.select("site_id", "pos"), ["site_id", "pos"], "left_anti").select(*columns, F.lit(False).alias("measured"))
-    return graph.probed(chosen.select(*columns), web).unionByName(left, allowMissingColumns=True), judged.where("_own and not allowed").select("site_id", "url")
+    got = probes.measured(chosen.select(*columns), web, sites, rules, o.user_agent, o.exclude)
+    return got.unionByName(left, allowMissingColumns=True), judged.where("_own and not allowed").select("site_id", "url")
 
 
 def _external(pages: DataFrame, web: DataFrame, sites: DataFrame, rules: DataFrame, o: Options) -> DataFrame:
@@ -167,7 +168,7 @@ def run(starts: DataFrame, web: DataFrame, o: Options | None = None) -> Run:
     resources = kept(resources, "assets")
     external = _external(pages, web, sites, heeded, o) if o.external else None
     blocked = blocked.unionByName(barred).unionByName(guesses.where("not allowed").select("site_id", "url"))
-    probes = graph.probes(got, sites).join(graph.favicon_probe(pages, got, sites), "site_id").join(sites.select("site_id", sibling_host(hostname(F.col("origin"))).alias("sibling_host")), "site_id")
+    probed = probes.of_origins(pages, sites.select("site_id", "origin"), web, heeded, o.user_agent, o.exclude)
     maps = robots.sitemaps(own_rules).groupBy("site_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "url"))), lambda x: x["url"]).alias("sitemaps"))
     state = sites.select("site_id", F.col("origin").alias("_o")).join(files.select(F.col("site_id").alias("_o"), "status", F.col("text").isNotNull().alias("present")), "_o", "left").drop("_o")
     for more in (robots.disallow_all(own_rules), robots.crawl_delays(own_rules, o.user_agent), maps):
@@ -178,7 +179,7 @@ def run(starts: DataFrame, web: DataFrame, o: Options | None = None) -> Run:
     gathered = (
         state.select("site_id", "delay_ms", "clamped", F.struct("status", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("disallow_all", F.lit(False)).alias("disallow_all"), F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"), F.col("delay_ms").alias("crawl_delay_ms"), F.lit(o.ignore_robots).alias("ignored")).alias("robots")),
         map_files.groupBy("site_id").agg(F.bool_or("ok").alias("sitemap_found")),
-        probes.select("site_id", F.struct("http_to_https", "sibling_redirects", "sibling_host", "soft404", "favicon").alias("probes")),
+        probed.select("site_id", F.struct("http_to_https", "sibling_redirects", "sibling_host", "soft404", "favicon").alias("probes")),
         blocked.groupBy("site_id").agg(F.array_sort(F.collect_set("url")).alias("blocked_by_robots")),
         counts, unmeasured, left.select("site_id", F.col("n").cast("int").alias("uncrawled")),
     )
