@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
+import unicodedata
 from functools import lru_cache
-from urllib.parse import quote
+from urllib.parse import quote, unquote_to_bytes
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,15 +33,93 @@ def _dotless(path: str) -> str:
     return "/" + "/".join(out)
 
 
+#: Code points that host names keep though case folding would change or drop them, those that it drops, and full stops.
+_KEPT = frozenset("\u00df\u03c2\u200c\u200d")
+_DROPPED = frozenset("\u00ad\u034f\u180b\u180c\u180d\u200b\u2060\u2064\ufeff") | frozenset(map(chr, range(0xFE00, 0xFE10)))
+_STOPS = str.maketrans("\u3002\uff0e\uff61", "...")
+_FORBIDDEN = re.compile(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]")
+
+
+def _ascii_label(label: str) -> str | None:
+    """A label of a host name as sent over the wire: Punycode where it isn't ASCII; null where no name may hold it."""
+    if label.startswith("xn--"):
+        try:
+            plain = label[4:].encode().decode("punycode")
+            if not plain or plain.isascii() or f"xn--{plain.encode('punycode').decode()}" != label:
+                return None
+        except (UnicodeError, ValueError):
+            return None
+        return label if _valid_label(plain) else None
+    if label.isascii():
+        return label
+    return f"xn--{label.encode('punycode').decode()}" if _valid_label(label) else None
+
+
+def _valid_label(label: str) -> bool:
+    return label == unicodedata.normalize("NFKC", label) and not unicodedata.category(label[0]).startswith("M") and all(unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc", "Zs", "Zl", "Zp") for c in label) and "\ufffd" not in label
+
+
+def _ascii_domain(name: str) -> str | None:
+    """The name in lower case, compatibility forms mapped, other scripts in Punycode (the mapping that browsers use)."""
+    if not name.isascii():
+        kept = "".join("\u00df" if c == "\u1e9e" else c if c in _KEPT else "" if c in _DROPPED else unicodedata.normalize("NFKC", c).casefold() for c in name)
+        name = unicodedata.normalize("NFKC", kept)
+    labels = [_ascii_label(x) for x in name.lower().translate(_STOPS).split(".")]
+    return None if None in labels else ".".join(labels)
+
+
+def _number(part: str) -> int | None:
+    """A part of an IPv4 address: decimal, octal after 0, hexadecimal after 0x."""
+    digits, base = (part[2:], 16) if part[:2] in ("0x", "0X") else (part[1:], 8) if len(part) > 1 and part[0] == "0" else (part, 10)
+    if part and digits == "":
+        return 0
+    return int(digits, base) if re.fullmatch({16: "[0-9a-fA-F]+", 8: "[0-7]+", 10: "[0-9]+"}[base], digits) else None
+
+
+def _ipv4(host: str) -> str | None:
+    """The address that a host name is if its last label is a number: one to four numbers, of which the last fills what is left."""
+    parts = host.split(".")
+    parts = parts[:-1] if parts[-1] == "" and len(parts) > 1 else parts
+    numbers = [_number(p) for p in parts]
+    if len(parts) > 4 or None in numbers or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
+        return None
+    value = numbers[-1] + sum(n << (8 * (3 - k)) for k, n in enumerate(numbers[:-1]))
+    return ".".join(str(value >> shift & 255) for shift in (24, 16, 8, 0))
+
+
+def _ends_in_number(host: str) -> bool:
+    labels = host.split(".")
+    last = labels[-2] if labels[-1] == "" and len(labels) > 1 else labels[-1]
+    return re.fullmatch(r"[0-9]+|0[xX][0-9a-fA-F]*", last) is not None
+
+
+def _ipv6(text: str) -> str | None:
+    """An IPv6 address in its shortest form: the first longest run of zeros left out."""
+    try:
+        packed = ipaddress.IPv6Address(text).packed if "%" not in text else None
+    except ValueError:
+        return None
+    if packed is None:
+        return None
+    pieces = [packed[k] << 8 | packed[k + 1] for k in range(0, 16, 2)]
+    best = max(((next((m for m in range(k, 8) if pieces[m]), 8) - k, -k) for k in range(8)), default=(0, 0))
+    words = [format(x, "x") for x in pieces]
+    if best[0] < 2:
+        return ":".join(words)
+    return ":".join(words[: -best[1]]) + "::" + ":".join(words[-best[1] + best[0] :])
+
+
 def _host(raw: str) -> str | None:
+    """A host as the URL standard has it: percent-decoded, mapped and in Punycode, addresses in their usual form; null where it is none."""
     if raw.startswith("["):
-        return raw.lower() if re.fullmatch(r"\[[0-9A-Fa-f:.]+\]", raw) else None
-    try:
-        host = raw if raw.isascii() else raw.encode("idna").decode()
-    except UnicodeError:
+        found = _ipv6(raw[1:-1]) if raw.endswith("]") else None
+        return found and f"[{found}]"
+    if "%" in raw:
+        raw = unquote_to_bytes(raw).decode("utf-8", "replace")
+    host = _ascii_domain(raw)
+    if not host or _FORBIDDEN.search(host):
         return None
-    host = host.lower()
-    return host if host and not re.search(r"[\x00-\x20#%/<>?@\[\\\]^|:\x7f]", host) else None
+    return _ipv4(host) if _ends_in_number(host) else host
 
 
 def _split(url: str) -> tuple[str, str, str, str | None] | None:

@@ -16,7 +16,7 @@ from ..operators import crawl, graph, pacing, robots, rollups
 from ..operators import rules as R
 from ..operators import views as V
 from ..sources.tables import kept
-from . import captures, probing
+from . import captures, parsing, probing
 from . import overlay as O
 from .audit import audit
 
@@ -212,7 +212,7 @@ _TRANSPORT = ("PERF-RESP-001", "PERF-HTML-010", "PERF-COMP-020", "HEALTH-LINK-00
 QUERIES = {
     f.__name__: f
     for f in (page_facts, text_rules, markup_rules, transport_rules, duplicate_titles, duplicate_titles_pooled, inlinks, canonical_rules, resources, orphans, page_weights, outcomes, summary, fix_first, page_counts, shown_findings, robots_decisions, excluded_pages, crawl_depths, request_pacing, tidy_texts, escaped_texts, origins)
-} | captures.QUERIES | probing.QUERIES
+} | captures.QUERIES | parsing.QUERIES | probing.QUERIES
 
 # SQL --------------------------------------------------------------------------------------------------------------------
 
@@ -407,4 +407,4 @@ SELECT doc_id, length(t) AS n, md5(CASE WHEN length(t) > 200 THEN left(t, 197) |
        md5(CASE WHEN length(t) > 300 THEN left(t, 149) || '...' || right(t, 148) ELSE t END) AS clipped_middle FROM t""",
     "escaped_texts": """SELECT doc_id, md5(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped FROM documents""",
     "origins": """SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, count(*) AS n_pages, max(strlen(html)) AS largest, first('www.' || regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS www FROM pages GROUP BY 1""",
-} | captures.SQL | probing.SQL
+} | captures.SQL | parsing.SQL | probing.SQL

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,6 +48,10 @@ class _Stop(Exception):
 
 
 class _Page(HTMLParser):
+    #: Elements whose content is text up to their own end tag; of REPLACEABLE ones, character references count in it.
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea", "xmp")
+    REPLACEABLE = ("title", "textarea")
+
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.page = self.base = url
@@ -58,6 +63,28 @@ class _Page(HTMLParser):
         self.in_word = False
         self.kept: dict[str, int] = {}
 
+    def set_cdata_mode(self, elem: str) -> None:
+        self.cdata_elem = elem.lower()
+        self.interesting = re.compile(rf"</{self.cdata_elem}(?=[\s/>])", re.I)
+
+    def parse_endtag(self, i: int) -> int:
+        """The end of text content may hold blanks and attributes; other end tags are as the base class has them."""
+        if self.cdata_elem is None:
+            return super().parse_endtag(i)
+        end, name = self.rawdata.find(">", i), self.cdata_elem
+        if end < 0:
+            return -1
+        self.clear_cdata_mode()
+        self.handle_endtag(name)
+        return end + 1
+
+    def close(self) -> None:
+        """Text content that no end tag ends goes to the end of the page."""
+        super().close()
+        if self.cdata_elem is not None and self.rawdata:
+            rest, self.rawdata = self.rawdata, ""
+            self.handle_data(rest)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         closes = CLOSES.get(tag)
         while closes and self.open and self.open[-1][0] in closes:
@@ -124,6 +151,8 @@ class _Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.nodes += 1
+        if self.cdata_elem in self.REPLACEABLE:
+            data = unescape(data)
         if self.open and self.open[-1][0] == "script" and self.open[-1][1] is not None:
             row = self.open[-1][1]
             row["data"] = (row["data"] or "") + data
