@@ -6,10 +6,11 @@ shingle, the rarest: documents are joined with windows on it alone. Its place in
 where the window would have to lie in the document, which must have room for it, and every word there is compared.
 
 The benchmark side is broadcast in blocks of at most `block` windows, each block with a pass of its own over the documents,
-so it may be of any size.
+so it may be of any size; blocks follow each other, and one at a time is in memory. Hashes of words propose, their bytes decide.
 
 Defined cases: a null or blank text has no words and no hits; a null or blank item has no window; items with equal texts are
-both named; a null item_id is left out; repeated rows get equal results each; an empty benchmark contaminates nothing.
+both named; a null item_id is left out; repeated rows get equal results each; an empty benchmark contaminates nothing; columns
+other than doc_id and text are not looked at, but for `decontaminated`, which keeps them. A text is held by one task, however long.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_out
-from .textnp import ALPHANUMERIC, as_int64, column, distinct_sorted, grams, text_chunks, words_of
+from .common import free_name, write_out
+from .textnp import ALPHANUMERIC, Words, as_int64, column, distinct_sorted, grams, text_chunks, words_of
 
 WINDOW = 10
 SHINGLE = 3
@@ -30,17 +31,19 @@ BLOCK = 100_000
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, words): the word hashes of each window of each item."""
+    """(item_id, words, spelled): the word hashes of each window of each item, and its words, joined by line ends."""
     for batch, texts in text_chunks(batches):
         found = words_of(texts, ALPHANUMERIC)
         hashes, ids = as_int64(found.hashes()), column(batch, "item_id").to_pylist()
-        items, runs = [], []
+        items, runs, spelled = [], [], []
         for k, item in enumerate(ids):
             own = hashes[found.bounds[k] : found.bounds[k + 1]]
             for i in range(max(1, len(own) - WINDOW + 1) if len(own) else 0):
                 items.append(item)
                 runs.append(own[i : i + WINDOW].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(runs, pa.list_(pa.int64()))], names=["item_id", "words"])
+                words = range(found.bounds[k] + i, found.bounds[k] + i + len(runs[-1]))
+                spelled.append(b"\n".join(found.buf[found.starts[w] : found.ends[w]].tobytes() for w in words))
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(runs, pa.list_(pa.int64())), pa.array(spelled, pa.binary())], names=["item_id", "words", "spelled"])
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -85,7 +88,14 @@ def _lookup(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class _Index:
     """Windows of one block by their rarest shingle."""
 
-    def __init__(self, items: list[str], windows: list[np.ndarray], counts: dict[int, int]):
+    def __init__(self, items: list[str], windows: list[np.ndarray], spelled: list[bytes], counts: dict[int, int]):
+        self.bytes = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        begins = np.cumsum([0, *map(len, spelled)])
+        self.word_at, self.word_size = np.zeros((len(windows), WINDOW), dtype=np.int64), np.zeros((len(windows), WINDOW), dtype=np.int64)
+        for k, raw in enumerate(spelled):
+            size = np.array([len(w) for w in raw.split(b"\n")], dtype=np.int64)
+            self.word_size[k, : len(size)] = size
+            self.word_at[k, : len(size)] = begins[k] + np.cumsum(size + 1) - size - 1
         self.items = np.array(items, dtype=object)
         self.length = np.array([len(w) for w in windows], dtype=np.int64)
         self.words = np.zeros((len(windows), WINDOW), dtype=np.int64)
@@ -103,8 +113,26 @@ class _Index:
             first = np.searchsorted(prefix[rows], keys)
             self.by_size[n] = (keys, rows, first, np.diff(np.append(first, len(rows))))
 
-    def matches(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spelled_alike(self, found: Words, start: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Which of the occurrences have the window's words byte by byte."""
+        out = np.ones(len(start), dtype=bool)
+        for a in range(0, len(start), 50_000):
+            b = min(len(start), a + 50_000)
+            used = np.arange(WINDOW) < self.length[window[a:b], None]
+            word = (start[a:b, None] + np.arange(WINDOW))[used]
+            match = np.repeat(np.arange(a, b), self.length[window[a:b]])
+            size, begin = self.word_size[window[a:b]][used], self.word_at[window[a:b]][used]
+            even = found.ends[word] - found.starts[word] == size
+            out[match[~even]] = False
+            size, begin, word, match = size[even], begin[even], word[even], match[even]
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            unlike = found.buf[np.repeat(found.starts[word], size) + step] != self.bytes[np.repeat(begin, size) + step]
+            out[np.repeat(match, size)[unlike]] = False
+        return out
+
+    def matches(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of every occurrence within a text."""
+        hashes, bounds = found.hashes(), found.bounds
         at_all, window_all = [], []
         doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         signed = as_int64(hashes)
@@ -126,6 +154,8 @@ class _Index:
                 short = self.length[window] <= k
                 same = short | (signed[np.minimum(start + k, len(signed) - 1)] == self.words[window, k])
                 start, window = start[same], window[same]
+            same = self.spelled_alike(found, start, window)
+            start, window = start[same], window[same]
             at_all.append(start)
             window_all.append(window)
         if not at_all:
@@ -142,7 +172,7 @@ def _matched(shared, all_rows: bool):
         index = shared.value
         for batch, texts in text_chunks(batches):
             found = words_of(texts, ALPHANUMERIC)
-            start, window = index.matches(found.hashes(), found.bounds)
+            start, window = index.matches(found)
             doc = np.searchsorted(found.bounds, start, "right") - 1
             order = np.lexsort((start, doc))
             start, window, doc = start[order], window[order], doc[order]
@@ -168,16 +198,19 @@ def _merged(starts: np.ndarray, lengths: np.ndarray) -> list[dict]:
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, block: int):
-    """Broadcasts of the windows of the benchmark, by their rarest shingle, at most about `block` windows each; at least one."""
+    """(number of blocks, broadcast): windows of the benchmark by their rarest shingle, at most about `block` windows each; at least one.
+
+    Where there are more, whoever takes them writes what a block finds and destroys it before the next: one at a time is in memory.
+    """
     sc = docs.sparkSession.sparkContext
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    windows = write_out(items.mapInArrow(_windows, "item_id string, words array<long>").distinct(), "decontaminate-windows")
+    windows = write_out(items.mapInArrow(_windows, "item_id string, words array<long>, spelled binary").distinct(), "decontaminate-windows")
     n_blocks = max(1, -(-windows.count() // block))
     # windows with their items, so that one which very many items have is dealt out too
     parts = windows.withColumn("_block", F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)))
     for k in range(n_blocks):
         # one block at a time comes to the driver and goes to the executors
-        rows = parts.where(F.col("_block") == k).select("item_id", "words").toArrow()
+        rows = parts.where(F.col("_block") == k).select("item_id", "words", "spelled").toArrow()
         own = [w.values.to_numpy() for w in rows["words"]]
         by_size: dict[int, list[np.ndarray]] = {}
         for w in own:
@@ -185,21 +218,22 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, block: int):
         known = sc.broadcast({n: distinct_sorted(np.concatenate(s)) for n, s in by_size.items()})
         counted = docs.select("text").mapInArrow(_counted(known), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")) if own else None
         counts = dict(zip(*(c.to_pylist() for c in counted.toArrow().columns), strict=True)) if own else {}
-        yield sc.broadcast(_Index(rows["item_id"].to_pylist(), own, counts))
+        known.destroy()
+        yield n_blocks, sc.broadcast(_Index(rows["item_id"].to_pylist(), own, rows["spelled"].to_pylist(), counts))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, _key (hash of its text), n_words, spans (covered word runs, last excluded), items (ids as text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), "text")
     found = None
-    n_blocks = 0
-    for index in _indexes(docs, benchmark, block):
-        hits = docs.mapInArrow(_matched(index, n_blocks == 0), _SCHEMA)
+    for n_blocks, index in _indexes(docs, benchmark, block):
+        hits = docs.mapInArrow(_matched(index, found is None), _SCHEMA)
+        if n_blocks == 1:
+            return hits
+        hits = write_out(hits, "decontaminate-hits")
         found = hits if found is None else found.unionByName(hits)
-        n_blocks += 1
-    if n_blocks == 1:
-        return found
-    merged = write_out(found, "decontaminate-hits")
+        index.destroy()
+    merged = found
     more = merged.where(F.size("items") > 0).groupBy("doc_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # a null doc_id is an id like others here too, as it is with one block
     found_by = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d._key") == F.col(f"{other}._key"))
@@ -223,18 +257,25 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents, with all their columns, that hold no window of the benchmark. No row is shuffled."""
-    kept = documents
-    for index in _indexes(documents, benchmark, block):
-        kept = kept.mapInArrow(_clean(index), documents.schema)
-    return kept
+    """The documents, with all their columns, that hold no window of the benchmark. With one block of it, no row is shuffled."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), "text")
+    found = None
+    for n_blocks, index in _indexes(documents, benchmark, block):
+        if n_blocks == 1:
+            return documents.mapInArrow(_clean(index), documents.schema)
+        hits = write_out(docs.mapInArrow(_matched(index, False), _SCHEMA).select("doc_id", "_key").distinct(), "decontaminate-hits")
+        found = hits if found is None else found.unionByName(hits)
+        index.destroy()
+    id_, key = free_name(documents, "_id"), free_name(documents, "_hit")
+    gone = found.select(F.col("doc_id").alias(id_), F.col("_key").alias(key)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def _clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             found = words_of(texts, ALPHANUMERIC)
-            start, _ = shared.value.matches(found.hashes(), found.bounds)
+            start, _ = shared.value.matches(found)
             clean = np.ones(len(texts), dtype=bool)
             clean[np.searchsorted(found.bounds, start, "right") - 1] = False
             yield batch.filter(pa.array(clean))

@@ -480,3 +480,30 @@ def test_entries_are_packed_without_loss():
 
 def test_model_of_nothing(none):
     assert lm.scored(none).count() == 0
+
+
+def test_words_of_regular_patterns_are_no_window(spark):
+    """Two words that every sum of bytes times powers takes for equal: the benchmark has one, a document the other."""
+    text = "a"
+    for _ in range(10):
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, text), (2, other), (3, None), (4, f"x {text} y")], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", text)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.digests(decontaminate.contamination(docs, bench)).collect()}
+    assert got == {1: (1, True), 2: (0, False), 3: (0, False), 4: (1, True)}
+
+
+def test_blocks_one_after_another_keep_the_same_documents(spark):
+    rows = [(r[0], r[1], "mine") for r in documents()] + [(None, "a b c d e f g h i j k", "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hit string")
+    items = [(f"i{k}", t) for k, t in enumerate([documents()[0][1], "a b c d e f g h i j", documents()[45][1], "one"])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (10**6, 7):
+        kept = decontaminate.decontaminated(docs, bench, block)
+        assert kept.columns == docs.columns
+        ids = sorted(str(r.doc_id) for r in kept.collect())
+        whole = ids if block > 7 else whole
+        assert ids == whole
+    hit = {r.doc_id for r in decontaminate.digests(decontaminate.contamination(docs, bench, 7)).where("contaminated").collect()}
+    assert hit and sorted(str(i) for i, *_ in rows if i not in hit) == whole
