@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from .common import Written, free_name, parallelism
 from .components import components, united
 from .suffixes import NULL_ID, _keyed
-from .textnp import _U, column, grams, mixed, text_chunks, words_of
+from .textnp import _U, column, distinct_sorted, grams, mixed, text_chunks, words_of
 
 N, PERCENT = 5, 75
 RATIO = 1.6
-BLOCK = 1500
+BLOCK, SHINGLES = 1500, 3_000_000
 #: Words that similar sets of a size share on average, at least: none shared has then a chance of about 1e-15 per pair.
 SHARED = 35
 
@@ -320,26 +320,59 @@ def rows_by_sketch(n: np.ndarray, sketches: list[bytes]):
     return near
 
 
-def _across(rows_near):
-    """Blocks of the sets that met one set, sorted by block -> pairs of different classes that sizes and sketches don't rule out."""
+def _hashed_sets(n: int):
+    """(node, text) -> (node, set): 32 bits of each shingle, sorted, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            values, bounds = shingle_sets(texts, n)
+            short = (values >> _U(32)).astype(np.uint32)
+            sets = [distinct_sorted(short[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def _across(rows_near, percent: int):
+    """Blocks of the sets that met one set, sorted by block -> for each set and each other class there, the pair that is most similar, if it may be a link.
+
+    What sizes and sketches don't rule out is counted on the sets: of the 32-bit hashes that both have, and as many more as may
+    have fallen together within a set, so the count is never less than the shingles in common.
+    """
 
     def block(rows: list[list]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         id_, side, cls, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
         near = rows_near(n, [r[4] for r in rows])
+        sets = [np.frombuffer(r[5], np.uint32) for r in rows]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
         within = not (side == 1).any()
         a, b = [], []
         for x in np.flatnonzero(side == 0):
             right = near(x, np.flatnonzero((cls != cls[x]) & ((id_ > id_[x]) if within else (side == 1))))
-            a.append(np.full(len(right), id_[x]))
-            b.append(id_[right])
+            if not len(right):
+                continue
+            values = np.concatenate([sets[k] for k in right])
+            held = sets[x][np.minimum(np.searchsorted(sets[x], values), size[x] - 1)] == values
+            both = np.add.reduceat(held.astype(np.int64), np.cumsum(size[right]) - size[right]) + np.minimum(n[x] - size[x], n[right] - size[right])
+            similar = lambda both: 100 * both >= percent * (n[x] + n[right] - both)
+            # hashes of both sets that happen to be equal: where the best pair leaves room for some, it is a link
+            chance = 2 + (n[x] * n[right] >> 30)
+            sure, may = similar(both - chance), similar(both)
+            order = np.lexsort((-both / (n[x] + n[right] - both), ~sure, cls[right]))
+            order = order[may[order]]
+            first = np.diff(cls[right][order], prepend=-1 - abs(cls[right][order][:1])) != 0
+            settled = np.isin(cls[right][order], cls[right][order][first & sure[order]])
+            chosen = right[order[first | ~settled]]
+            a.append(np.full(len(chosen), id_[x]))
+            b.append(id_[chosen])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = [], None
         for batch in batches:
-            cols = [column(batch, k).to_pylist() for k in ("rep", "i", "j", "id", "side", "class", "n", "sketch")]
+            cols = [column(batch, k).to_pylist() for k in ("rep", "i", "j", "id", "side", "class", "n", "sketch", "set")]
             for rep, i, j, *row in zip(*cols, strict=True):
                 if (rep, i, j) != name:
                     yield from block(held)
@@ -439,6 +472,11 @@ class Join:
         b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(_near(self.near), "a long, b long, shared long")
 
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of the given nodes, each once."""
+        needed = self.nodes.join(nodes.distinct(), "node", "left_semi").select("node", "_id", "_tag")
+        return self.docs.join(needed, ["_id", "_tag"]).dropDuplicates(["node"]).select("node", "text")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are similar. A set that many are held against is dealt out over salts."""
         held = Written(pairs.select("a", "b").distinct(), "jaccard-pairs")
@@ -446,8 +484,7 @@ class Join:
         left = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("b"))
         right = held.df.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "b")
         rows = left.unionByName(right)
-        needed = self.nodes.join(rows.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("node", "_id", "_tag")
-        texts = self.docs.join(needed, ["_id", "_tag"]).dropDuplicates(["node"]).select(F.col("node").alias("b"), "text")
+        texts = self.texts(rows.select(F.col("b").alias("node"))).withColumnRenamed("node", "b")
         dealt = rows.join(texts, "b").repartition(parallelism(self.spark), "a", "salt").sortWithinPartitions("a", "salt", "side")
         out = Written(dealt.mapInArrow(_verified(self.n, self.percent), "a long, b long"), "jaccard-links")
         held.drop()
@@ -486,16 +523,19 @@ class Join:
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
     def rest(self, seen: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different classes among the sets that met one set, in blocks of about BLOCK sets by as many."""
+        """Pairs of different classes among the sets that met one set, in blocks of about BLOCK sets, or SHINGLES shingles of them, by as many."""
         members = seen.select("rep", F.col("node").alias("id")).unionByName(seen.select("rep", F.col("rep").alias("id")).distinct())
         named = members.join(labels, F.col("id") == F.col("node"), "left").select("rep", "id", F.coalesce("component", "id").alias("class"))
-        open_ = named.groupBy("rep").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi and size > 2").select("rep", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        sets = self.nodes.select(F.col("node").alias("id"), "n", "sketch")
-        full = named.join(open_, "rep").join(sets, "id")
+        sized = named.join(self.nodes.select(F.col("node").alias("id"), "n", "sketch"), "id")
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+        open_ = sized.groupBy("rep").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi"), blocks.alias("blocks")).where("lo != hi and size > 2").select("rep", "blocks")
+        full = Written(sized.join(open_, "rep"), "jaccard-open")
+        sets = Written(self.texts(full.df.select(F.col("id").alias("node"))).mapInArrow(_hashed_sets(self.n), "node long, set binary"), "jaccard-open-sets")
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        dealt = full.select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), own.alias("own"), "id", "class", "n", "sketch")
-        dealt = dealt.select("rep", F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "id", F.when(F.col("own") > F.col("x"), 1).otherwise(0).alias("side"), "class", "n", "sketch")
-        return dealt.repartition(parallelism(self.spark), "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_across(self.rows_near), "a long, b long")
+        with_sets = full.df.join(sets.df.withColumnRenamed("node", "id"), "id")
+        dealt = with_sets.select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), own.alias("own"), "id", "class", "n", "sketch", "set")
+        dealt = dealt.select("rep", F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "id", F.when(F.col("own") > F.col("x"), 1).otherwise(0).alias("side"), "class", "n", "sketch", "set")
+        return dealt.repartition(parallelism(self.spark), "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_across(self.rows_near, self.percent), "a long, b long")
 
 
 def similar(documents: DataFrame, certain: bool = False, by: type[Join] = Join) -> DataFrame:
