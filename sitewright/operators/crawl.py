@@ -1,7 +1,8 @@
 """A crawl over captured answers: breadth-first, level by level, for many sites at once.
 
 `web` (url, method, status, headers, body, failure, html, ...) stands in for the network. Each level is a join of the frontier with
-it; visited URLs are kept out by an anti-join; results of a level are written before the next one, so lineage stays short.
+it; visited URLs are kept out by an anti-join; results of a level are added to tables that only grow, so lineage stays short and a level
+costs what it finds. Hops are walked over status and headers alone; a body is read where a walk ends.
 Order is that of one worker: links in page order, so caps fall the same way each time.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_html_type
 from ..functions.urls import excluded, normalised, path_with_query, same_origin
-from ..sources.tables import kept
+from ..sources.tables import Growing, kept
 from . import robots
 
 MAX_HOPS = 10
@@ -27,17 +28,21 @@ def _kept(df: DataFrame) -> DataFrame:
     return kept(df, "crawl")
 
 
-def depths(links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(site_id, node, depth) of nodes within `max_depth` links (site_id, source, target) of the start nodes (site_id, node)."""
-    seen = _kept(start.select("site_id", "node", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(links, (links["site_id"] == frontier["site_id"]) & (links["source"] == frontier["node"])).select(links["site_id"], F.col("target").alias("node")).distinct()
-        frontier = _kept(reached.join(seen, ["site_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+def depths(links: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(site_id, node, depth) of nodes within `max_depth` links (site_id, source, target) of the start nodes (site_id, node), or of all that links lead to.
+
+    A level reads the links of its frontier and the nodes seen so far, and adds what is new to them.
+    """
+    seen = Growing(start.sparkSession, "crawl-depths")
+    frontier, depth = _kept(start.select("site_id", "node", F.lit(0).alias("depth")).distinct()), 0
+    while not frontier.isEmpty():
+        seen.add(frontier)
+        depth += 1
+        if max_depth is not None and depth > max_depth:
             break
-        seen = _kept(seen.unionByName(frontier))
-    return seen
+        reached = links.join(frontier.select("site_id", F.col("node").alias("source")), ["site_id", "source"]).select("site_id", F.col("target").alias("node")).distinct()
+        frontier = _kept(reached.join(seen.df, ["site_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+    return seen.df if seen.schema else frontier
 
 
 def resolving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,20 +60,20 @@ def redirected(urls: DataFrame, web: DataFrame, verdict: Callable[[DataFrame], D
     where it has been is a loop. `verdict` adds `reason` to rows (site_id, _to, ...): where it isn't null, the hop isn't requested,
     the row keeps the status of the redirect, and it has failed only if robots.txt is the reason.
     """
-    answers = web.select(F.col("url").alias("_u"), F.col("status").alias("_status"), F.col("headers").alias("_headers"), F.col("failure").alias("_failure"), F.col("html").alias("_html"))
+    answers = web.select(F.col("url").alias("_u"), F.col("status").alias("_status"), F.col("headers").alias("_headers"), F.col("failure").alias("_failure"))
     text, none = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
     at = urls.withColumn("final_url", F.col("url")).withColumn("hops", F.array().cast("array<struct<url:string,status:int,location:string>>"))
     done: list[DataFrame] = []
 
-    def settled(rows: DataFrame, status: Column, failure: Column, headers: Column = none, html: Column = text, reason: Column = text) -> None:
-        done.append(rows.select(*urls.columns, "final_url", "hops", status.cast("int").alias("status"), failure.alias("failure"), reason.alias("reason"), headers.alias("headers"), html.alias("html")))
+    def settled(rows: DataFrame, status: Column, failure: Column, headers: Column = none, reads: Column = F.lit(None).cast("string"), reason: Column = text) -> None:
+        done.append(rows.select(*urls.columns, "final_url", "hops", status.cast("int").alias("status"), failure.alias("failure"), reason.alias("reason"), headers.alias("headers"), reads.alias("_reads")))
 
     for hop in range(MAX_HOPS + 1):
         asked = at.join(answers, F.col("final_url") == F.col("_u"), "left")
         to = F.try_element_at("_headers", F.lit("location"))
         moves = F.coalesce(F.col("_status").isin(*REDIRECTS) & to.isNotNull(), F.lit(False))
         failure = F.when(F.col("_u").isNull(), "other").otherwise(F.col("_failure"))
-        settled(asked.where(~moves), F.when(failure.isNull(), F.col("_status")), failure, F.coalesce("_headers", none), F.col("_html"))
+        settled(asked.where(~moves), F.when(failure.isNull(), F.col("_status")), failure, F.coalesce("_headers", none), F.col("final_url"))
         turned = asked.where(moves).select(*urls.columns, "final_url", "hops", F.col("_status").alias("_from"), to.alias("_to"))
         if hop == MAX_HOPS:
             settled(turned, F.lit(None), F.lit("too-many-redirects"))
@@ -88,7 +93,9 @@ def redirected(urls: DataFrame, web: DataFrame, verdict: Callable[[DataFrame], D
         at = _kept(onward.select(*urls.columns, "final_url", "hops"))
         if at.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done)
+    # hops are walked without bodies; each is read once, for the rows that end there
+    bodies = web.select(F.col("url").alias("_reads"), "html")
+    return reduce(DataFrame.unionByName, done).join(bodies, "_reads", "left").drop("_reads")
 
 
 def _split(got: DataFrame, seen: DataFrame | None) -> DataFrame:
@@ -111,7 +118,8 @@ def crawled(sites: DataFrame, web: DataFrame, rules: DataFrame, sitemap_urls: Da
     """
     own = sites.select("site_id", "start_url", F.col("origin").alias("site_origin"))
     start = own.select("site_id", F.col("start_url").alias("url"), F.lit(0).alias("depth"), F.struct(F.lit(0.0).alias("ord"), F.lit(0).alias("pos")).alias("at"), F.lit(False).alias("from_sitemap"))
-    listed, seen, blocked, pages, left = sitemap_urls.select("site_id", "url").distinct(), None, None, None, None
+    listed, blocked, spent_by, left = sitemap_urls.select("site_id", "url").distinct(), None, None, None
+    seen, pages = Growing(sites.sparkSession, "crawl-seen"), Growing(sites.sparkSession, "crawl-pages")
     frontier, level, base = start, 0, 0.0
 
     def verdict(rows: DataFrame) -> DataFrame:
@@ -127,37 +135,38 @@ def crawled(sites: DataFrame, web: DataFrame, rules: DataFrame, sitemap_urls: Da
         # of a level, twice the limit is more than one site can take: no more is ranked
         rank = F.row_number().over(Window.partitionBy("site_id").orderBy("at", "url"))
         ranked = allowed.withColumn("_rank", rank).where(F.col("_rank") <= 2 * max_pages).withColumn("ord", F.lit(base) + F.col("_rank"))
-        used = ranked if pages is None else ranked.join(pages.where("counted is not null").groupBy("site_id").agg(F.count_if("counted").alias("_pages"), F.count_if(~F.col("counted")).alias("_others")), "site_id", "left")
-        spent = lambda c: F.lit(0) if pages is None else F.coalesce(c, F.lit(0))
+        used = ranked if spent_by is None else ranked.join(spent_by, "site_id", "left")
+        spent = lambda c: F.lit(0) if spent_by is None else F.coalesce(c, F.lit(0))
         taken = used.where((spent("_pages") < max_pages) & (spent("_others") < max_pages))
         got = extract(redirected(taken.drop("_pages", "_others", "at"), web, verdict).withColumn("is_html", is_html_type(F.try_element_at("headers", F.lit("content-type")))))
         got = got.withColumn("counted", ~(F.col("reason").isNull() & F.col("status").isNotNull() & ~F.col("is_html")))
         before = Window.partitionBy("site_id").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-        room = got if pages is None else got.join(used.select("site_id", "_pages", "_others").distinct(), "site_id", "left")
+        room = got if spent_by is None else got.join(used.select("site_id", "_pages", "_others").distinct(), "site_id", "left")
         n_before = lambda c, flag: F.coalesce(F.sum(flag.cast("int")).over(before), F.lit(0)) + spent(c)
         room = room.withColumn("_p", n_before("_pages", F.col("counted"))).withColumn("_o", n_before("_others", ~F.col("counted")))
-        got = _kept(_split(room.where((F.col("_p") < max_pages) & (F.col("_o") < max_pages)).drop("_p", "_o", "_pages", "_others", "_rank"), seen))
+        got = _kept(_split(room.where((F.col("_p") < max_pages) & (F.col("_o") < max_pages)).drop("_p", "_o", "_pages", "_others", "_rank"), seen.df if seen.schema else None))
         rest = allowed.select("site_id", "url").join(got.select("site_id", "url"), ["site_id", "url"], "left_anti").groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
         left = rest if left is None else left.unionByName(rest)
         led = got.where("reason = 'robots'").select("site_id", F.col("final_url").alias("url"))
         blocked = barred.unionByName(led) if blocked is None else blocked.unionByName(barred).unionByName(led)
-        pages = got if pages is None else _kept(pages.unionByName(got))
-        now = decided.select("site_id", "url").unionByName(got.select("site_id", "url")).distinct()
-        seen = now if seen is None else _kept(seen.unionByName(now).distinct())
+        pages.add(got)
+        seen.add(decided.select("site_id", "url").unionByName(got.select("site_id", "url")).distinct())
+        spent_now = got.where("counted is not null").groupBy("site_id").agg(F.count_if("counted").alias("_pages"), F.count_if(~F.col("counted")).alias("_others"))
+        spent_by = _kept(spent_now if spent_by is None else spent_by.unionByName(spent_now).groupBy("site_id").agg(F.sum("_pages").alias("_pages"), F.sum("_others").alias("_others")))
         level += 1
         links = got.where("not from_sitemap").select("site_id", F.col("ord"), F.posexplode("doc.links").alias("pos", "_link")).where("_link.url is not null")
         if level <= max_depth:
             base = level * 1e6
             found = links.groupBy("site_id", F.col("_link.url").alias("url")).agg(F.min(F.struct("ord", "pos")).alias("at"))
-            frontier = _kept(found.join(seen, ["site_id", "url"], "left_anti").select("site_id", "url", F.lit(level).alias("depth"), "at", F.lit(False).alias("from_sitemap")))
+            frontier = _kept(found.join(seen.df, ["site_id", "url"], "left_anti").select("site_id", "url", F.lit(level).alias("depth"), "at", F.lit(False).alias("from_sitemap")))
             if not frontier.isEmpty():
                 continue
         base = 1e12
-        more = sitemap_urls.select("site_id", "url", "pos").join(seen, ["site_id", "url"], "left_anti")
+        more = sitemap_urls.select("site_id", "url", "pos").join(seen.df, ["site_id", "url"], "left_anti")
         frontier = _kept(more.select("site_id", "url", F.lit(None).cast("int").alias("depth"), F.struct(F.lit(0.0).alias("ord"), "pos").alias("at"), F.lit(True).alias("from_sitemap")))
         if frontier.isEmpty():
             break
         level = max_depth + 1
         sitemap_urls = sitemap_urls.limit(0)
-    out = pages.drop("counted", "reason").join(listed.withColumn("in_sitemap", F.lit(True)), ["site_id", "url"], "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False)) | F.col("from_sitemap"))
+    out = pages.df.drop("counted", "reason").join(listed.withColumn("in_sitemap", F.lit(True)), ["site_id", "url"], "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False)) | F.col("from_sitemap"))
     return out, blocked.distinct(), left.groupBy("site_id").agg(F.sum("n").alias("n"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.urls import hostname, origin
+from ..functions.urls import origin
+from ..sources.tables import kept
 from . import rules as R
 
 
@@ -14,6 +15,20 @@ from . import rules as R
 SHOWN = 6
 
 
+def first_seen(rows: DataFrame, place: str) -> DataFrame:
+    """Rows (site_id, place, ...) with pos: their number within the site by place, from 0. Places are distinct within a site.
+
+    Rows are dealt out by ranges of site and place, numbered within each range, and moved on by what the ranges before hold: no
+    site, however large, is numbered by one task.
+    """
+    ranged = rows.repartitionByRange("site_id", place).sortWithinPartitions("site_id", place).withColumn("_range", F.spark_partition_id())
+    held = kept(ranged, "first-seen")
+    before = Window.partitionBy("site_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.groupBy("site_id", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("site_id", "_range").orderBy(place))
+    return held.withColumn("_own", own).join(offsets, ["site_id", "_range"]).withColumn("pos", (F.col("_before") + F.col("_own") - 1).cast("int")).drop("_range", "_own", "_before")
+
+
 def edges(pages: DataFrame) -> DataFrame:
     """(site_id, source, source_ord, pos, target): the links of each page, fragments and order included."""
     return pages.select("site_id", F.col("url").alias("source"), F.col("ord").alias("source_ord"), F.posexplode_outer("doc.links").alias("pos", "link")).where("link.url is not null").select("site_id", "source", "source_ord", "pos", F.col("link.url").alias("target"), F.col("link.internal").alias("internal"))
@@ -56,7 +71,7 @@ def assets(pages: DataFrame) -> DataFrame:
     each = _uses(pages)
     one = each.groupBy("site_id", "url").agg(F.min_by("kind", "place").alias("kind"), F.min("place").alias("place"), F.first("site_origin").alias("site_origin"))
     one = one.join(_first_of(each, ["site_id", "url"], "place", "page", "used_by"), ["site_id", "url"])
-    return one.select("site_id", (F.row_number().over(Window.partitionBy("site_id").orderBy("place")) - 1).alias("pos"), "url", "kind", (~F.coalesce(origin(F.col("url")) == F.col("site_origin"), F.lit(False))).alias("third_party"), "used_by", F.col("n").alias("n_pages"))
+    return first_seen(one, "place").select("site_id", "pos", "url", "kind", (~F.coalesce(origin(F.col("url")) == F.col("site_origin"), F.lit(False))).alias("third_party"), "used_by", F.col("n").alias("n_pages"))
 
 
 def external_links(pages: DataFrame) -> DataFrame:
@@ -64,7 +79,7 @@ def external_links(pages: DataFrame) -> DataFrame:
     out = edges(pages).where("not internal")
     each = out.groupBy("site_id", F.col("target").alias("url"), "source").agg(F.min(F.struct("source_ord", "pos")).alias("place"))
     one = each.groupBy("site_id", "url").agg(F.min("place").alias("place")).join(_first_of(each, ["site_id", "url"], "place", "source", "used_by"), ["site_id", "url"])
-    return one.select("site_id", (F.row_number().over(Window.partitionBy("site_id").orderBy("place")) - 1).alias("pos"), "url", "used_by", F.col("n").alias("n_pages"))
+    return first_seen(one, "place").select("site_id", "pos", "url", "used_by", F.col("n").alias("n_pages"))
 
 
 def page_weights(pages: DataFrame, assets: DataFrame, used: DataFrame | None = None) -> DataFrame:

@@ -95,9 +95,10 @@ def status_counts(outcome: DataFrame) -> DataFrame:
 
 def shown(findings: DataFrame, most: int = 10) -> DataFrame:
     """The first findings of each rule, in order of URL, and how many more there are."""
-    by_rule = Window.partitionBy("site_id", "check_id")
-    ranked = findings.withColumn("rank", F.row_number().over(by_rule.orderBy(F.col("url").isNotNull(), "url", "detail"))).withColumn("more", F.greatest(F.lit(0), F.count(F.lit(1)).over(by_rule) - most))
-    return ranked.where(F.col("rank") <= most)
+    by_rule = Window.partitionBy("site_id", "check_id").orderBy(F.col("url").isNotNull(), "url", "detail")
+    # the count is a sum apart: a count over the window would gather all findings of a rule in one task
+    counts = findings.groupBy("site_id", "check_id").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - most).alias("more"))
+    return findings.withColumn("rank", F.row_number().over(by_rule)).where(F.col("rank") <= most).join(counts, ["site_id", "check_id"])
 
 
 def exit_codes(findings: DataFrame, sites: DataFrame, fail_on: str = "error") -> DataFrame:

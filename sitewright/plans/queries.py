@@ -161,12 +161,13 @@ def excluded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1, J-13: breadth-first depths over two made-up links per page."""
-    pages = O.raw(spark, sf_dir).select("page_id")
-    n = pages.count()
-    links = pages.select(F.lit("s").alias("site_id"), F.col("page_id").alias("source"), F.explode(F.array((F.col("page_id") * 7 + 3) % n, (F.col("page_id") * 5 + 1) % n)).alias("target"))
-    start = pages.where("page_id = 0").select(F.lit("s").alias("site_id"), F.col("page_id").alias("node"))
-    return crawl.depths(links, start, 6).select(F.col("node").alias("page_id"), F.col("depth").cast("bigint").alias("depth"))
+    """G1, J-13: breadth-first depths over the links in the pages' html, until there is no new page. No page is where a link says; the link's text decides which is."""
+    pages = kept(O.extracted(spark, sf_dir).select("page_id", F.explode("doc.links.href").alias("href")), "links")
+    n = O.raw(spark, sf_dir).count()
+    leads = F.conv(F.left(F.md5(F.col("href").cast("binary")), F.lit(8)), 16, 10).cast("bigint") % n
+    links = pages.select(F.lit("s").alias("site_id"), F.col("page_id").alias("source"), leads.alias("target"))
+    start = O.raw(spark, sf_dir).where("page_id = 0").select(F.lit("s").alias("site_id"), F.col("page_id").alias("node"))
+    return crawl.depths(links, start).select(F.col("node").alias("page_id"), F.col("depth").cast("bigint").alias("depth"))
 
 
 def request_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,9 +370,11 @@ m AS (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY n
 SELECT p.page_id, coalesce(m.allow, true) AS allowed FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1""",
     "excluded_pages": """SELECT page_id, regexp_matches(p, '^/en/[^/]*$') OR regexp_matches(p, '^/.*/1[^/]*$') OR regexp_matches(p, '^/fr/.*9$') AS excluded
 FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM pages)""",
-    "crawl_depths": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
-e AS (SELECT page_id AS a, (page_id * 7 + 3) % n AS b FROM pages, n UNION SELECT page_id, (page_id * 5 + 1) % n FROM pages, n),
-r AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 6)
+    # no shortest way is of 60 links; each level holds a page once
+    "crawl_depths": f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+e AS (SELECT DISTINCT page_id AS a, CAST('0x' || left(md5({_decoded("href")}), 8) AS BIGINT) % n AS b FROM l, n),
+r AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 60)
 SELECT node AS page_id, min(depth) AS depth FROM r GROUP BY node""",
     "inlinks": """WITH l AS (
   SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site_id, url AS source, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)

@@ -14,6 +14,7 @@ from ..operators import rules as R
 from ..plans.audit import Audit
 
 SCHEMA_VERSION = 1
+#: What no audit of captured pages sees; a report whose scope says so itself doesn't say it twice.
 NOT_SEEN = ("what scripts draw", "pages behind a login", "how fast the site is for its visitors", "contrast, keyboard use and screen readers")
 
 
@@ -51,7 +52,10 @@ def escape_invisible(json: Column) -> Column:
     """Invisible and direction-changing characters of a JSON text as escapes."""
     for point in (*range(0x7F, 0xA0), 0xAD, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x2028, 0x202F), *range(0x2060, 0x2070), 0xFEFF):
         json = F.replace(json, F.lit(chr(point)), F.lit(f"\\u{point:04x}"))
-    return json
+    # tag characters lie beyond 16 bits: each is a pair of escapes, of which the first is always the same
+    tags = [F.lit(chr(point)) for point in range(0xE0000, 0xE0080)]
+    escaped = F.array(*[F.struct(t.alias("c"), F.lit(f"\\udb40\\udc{point:02x}").alias("e")) for point, t in enumerate(tags)])
+    return F.when(json.rlike("[\U000E0000-\U000E007F]"), F.aggregate(escaped, json, lambda text, x: F.replace(text, x["c"], x["e"]))).otherwise(json)
 
 
 def as_json(a: Audit) -> DataFrame:
@@ -82,7 +86,7 @@ def as_text(a: Audit, shown: int = 10) -> DataFrame:
     report = say(
         "Audit of ", url(F.col("start_url")), "\n", _scope(lambda s: say("  ", s["label"], ": ", clean(s["value"]), "\n")), "\nSummary\n  ", F.rpad(F.lit("group"), 15, " "), "  error  warning  info\n", _lines(F.col("summary"), row),
         "\nFix first\n", _lines(F.col("fix_first"), lambda f: say("  ", f["rank"], ". ", f["check_id"], " (", f["severity"], ", ", f["affected"], " affected)\n")),
-        "\nFindings\n", _lines(_failed(), check), "\nChecks: ", F.col("failed"), " failed, ", F.col("passed"), " passed, ", F.col("not_applicable"), " not applicable.\nNot seen: ", "; ".join(NOT_SEEN), ".\n",
+        "\nFindings\n", _lines(_failed(), check), "\nChecks: ", F.col("failed"), " failed, ", F.col("passed"), " passed, ", F.col("not_applicable"), " not applicable.\n", F.when(F.exists(F.coalesce("scope", F.array().cast("array<struct<label:string,value:string>>")), lambda s: s["label"] == "Not seen"), "").otherwise("Not seen: " + "; ".join(NOT_SEEN) + ".\n"),
     )
     return results(a, shown).select("site_id", report.alias("report"))
 

@@ -26,3 +26,20 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/sitewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table in the shared folder that parts are added to: what is there is read, and never written again."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.schema = spark, None
+        self.path = f"{shared_dir(spark)}/sitewright/{name}-{uuid.uuid4().hex}"
+
+    def add(self, part: DataFrame) -> None:
+        self.schema = self.schema or part.schema
+        part.write.mode("append").parquet(self.path)
+
+    @property
+    def df(self) -> DataFrame:
+        """All parts that there are by now."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
