@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.crawl import resolving
 from ..sources import html as H
+from ..sources import web
 from . import overlay as O
 
 #: What stands at the begin of each page's title, or before it: markup that is text there, ends that are none, and references.
@@ -52,7 +53,31 @@ def host_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.mapInArrow(resolving, asked.schema).select("page_id", "form", F.col("_to").alias("url"))
 
 
-QUERIES = {f.__name__: f for f in (text_content, host_forms)}
+#: (label, bytes, text): what servers send under labels of the web, among them some that mean more than they say, and some that are none.
+ENCODED = [
+    ("gb2312", "C4E3BAC3", "你好"), ("GB2312", "8140", "丂"), ("gb18030", "8139EF30", "㐁"), ("big5", "A741A66E", "你好"), ("ks_c_5601-1987", "BEC8B3E7", "안녕"), ("euc-kr", "8141", "갂"), ("shift_jis", "8740", "①"), ("sjis", "82A0", "あ"),
+    ("euc-jp", "A4A2", "あ"), ("iso-2022-jp", "1B244224221B2842", "あ"), ("iso-8859-9", "80FD", "€ı"), ("latin1", "80E9", "€é"), ("us-ascii", "93", "“"), ("iso-8859-2", "B1", "ą"), ("iso-8859-15", "A4", "€"), ("koi8-r", "F0D2C9D7C5D4", "Привет"), ("ibm866", "8FE0", "Пр"),
+    ("windows-1251", "CFF0", "Пр"), ("tis-620", "A1", "ก"), ("macintosh", "8E", "é"), ("x-user-defined", "41FF", "A\uf7ff"), ("utf-16", "6100E900", "aé"), ("UTF-16BE", "00610416", "aЖ"), ("windows-1253", "AA41", "\ufffdA"), ("hz-gb-2312", "7E7BC3A9", "~{é"),
+    ("utf-7", "2B41", "+A"), ("bogus", "C3A9", "é"), ("utf-8", "C3A9C3", "é\ufffd"),
+]
+
+
+def web_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of each page under the labels of the web, named by a header or, on every other page, by a meta element."""
+    k = "CAST(page_id % 5 + 1 AS INT)"
+    forms = F.array(*[F.struct(F.lit(i).alias("form"), F.lit(label).alias("label"), F.lit(data).alias("data")) for i, (label, data, _) in enumerate(ENCODED)])
+    rows = O.raw(spark, sf_dir).select("page_id", F.explode(forms).alias("x")).select("page_id", "x.*")
+    meta = F.expr("page_id % 2 = 1 AND lower(label) NOT LIKE 'utf-16%'")
+    named = F.when(meta, F.lit("text/html")).otherwise(F.concat(F.lit('text/html; Charset="'), F.col("label"), F.lit('"')))
+    # the mark that divides the head from the text is ASCII in all encodings but those of 16 bits, which have no head
+    head = F.when(meta, F.concat(F.lit("<meta http-equiv=x content='text/html; charset="), F.col("label"), F.lit("'>|"))).otherwise(F.lit(""))
+    captured = rows.select(F.expr("'https://e.com/' || form || '/' || page_id AS url"), F.lit("GET").alias("method"), F.lit(1).alias("n"), F.lit(200).alias("status"), F.create_map(F.lit("content-type"), named).alias("headers"), F.concat(head.cast("binary"), F.unhex(F.expr(f"repeat(data, {k})"))).alias("body"), F.lit(None).cast("string").alias("error"))
+    got = web.answers(captured)
+    text = F.regexp_replace("html", "^<meta [^|]*\\|", "")
+    return got.select(F.regexp_extract("url", r"/(\d+)$", 1).cast("bigint").alias("page_id"), F.regexp_extract("url", r"/(\d+)/\d+$", 1).cast("bigint").alias("form"), text.alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (text_content, host_forms, web_encodings)}
 _TITLE = "CASE page_id % 9 " + " ".join(f"WHEN {k} THEN {_QUOTED(v)}" for k, v in SAID.items()) + " ELSE '' END"
 _DECODED = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 _REST = "rest"
@@ -65,5 +90,6 @@ r AS (SELECT *, CASE WHEN endless THEN regexp_extract(html, '(?s)</title>(.*)$',
 u AS (SELECT *, trim(regexp_replace(begin || own || {_REST}, '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) AS title FROM r)
 SELECT page_id, md5(left(title, 2000)) AS title, CAST(length(left(title, 2000)) AS BIGINT) AS title_chars, CASE WHEN endless THEN CAST(0 AS BIGINT) ELSE CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) END AS n_links,
        CAST(CASE WHEN page_id % 9 = 3 THEN 1 ELSE 0 END AS BIGINT) AS n_fields, CASE WHEN page_id % 9 = 6 THEN 1 ELSE 0 END + CASE WHEN endless THEN CAST(0 AS BIGINT) ELSE CAST(len(regexp_extract_all(html, '<script')) AS BIGINT) END AS n_scripts FROM u""",
+    "web_encodings": "\nUNION ALL ".join(f"SELECT page_id, CAST({i} AS BIGINT) AS form, repeat({_QUOTED(text)}, CAST(page_id % 5 + 1 AS BIGINT)) AS text FROM pages" for i, (_, _, text) in enumerate(ENCODED)),
     "host_forms": f"WITH n AS ({NUMBERS}), m AS (SELECT *, a || '.' || b || '.' || c || '.' || d AS address FROM n)\n" + "\nUNION ALL ".join(f"SELECT page_id, CAST({k} AS BIGINT) AS form, 'http://' || {r} || '/p' AS url FROM m" for k, (_, r) in enumerate(HOSTS)),
 }

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import origin, path, same_site
@@ -102,10 +102,16 @@ def loaded(named: DataFrame, web: DataFrame, sites: DataFrame, guesses: DataFram
         kinds = parsed(got.where("status = 200")).dropDuplicates(["site_id", "url"])
         return got.drop("xml").join(kinds, ["site_id", "url"], "left")
 
-    top = opened(named.withColumn("level", F.lit(0)))
+    def first(rows: DataFrame, room: Column) -> DataFrame:
+        """Of each site's files the first ones by place, as many as there is room for: no more are read."""
+        return rows.withColumn("_rank", F.row_number().over(Window.partitionBy("site_id").orderBy("pos", "url"))).where(F.col("_rank") <= room).drop("_rank")
+
+    # a guess that turns out to be a page leaves room for one more
+    top = opened(first(named, F.lit(MAX_FILES + 1)).withColumn("level", F.lit(0)))
+    top = top.where(~(F.col("guessed") & F.col("status").eqNullSafe(200) & F.col("kind").eqNullSafe("invalid") & F.coalesce("_page", F.lit(False))))
     inner = top.where("kind = 'index'").select("site_id", (F.col("pos") * 10_000).alias("_base"), F.posexplode("locs").alias("_k", "url")).select("site_id", "url", (F.col("_base") + F.col("_k") + 1).cast("int").alias("pos"), F.lit(1).alias("level"), F.lit(False).alias("guessed"), F.lit(False).alias("barred"))
+    inner = first(inner.join(top.groupBy("site_id").agg(F.count(F.lit(1)).alias("_top")), "site_id"), F.lit(MAX_FILES) - F.col("_top")).drop("_top")
     both = top.unionByName(opened(inner))
-    both = both.where(~(F.col("guessed") & F.col("status").eqNullSafe(200) & F.col("kind").eqNullSafe("invalid") & F.coalesce("_page", F.lit(False))))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy("level", "pos", "url"))).where(F.col("rank") <= MAX_FILES)
     note = F.when(F.col("unread").isNotNull(), F.col("unread")).when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string"))).when(F.col("kind") == "invalid", "not a sitemap").when((F.col("kind") == "index") & (F.col("level") == 1), NESTED_NOTE)
     files = ranked.select("site_id", (F.col("rank") - 1).alias("pos"), "url", "status", F.coalesce(note.isNull(), F.lit(False)).alias("ok"), note.alias("note"))

@@ -5,7 +5,6 @@ Everything is a column expression but decoding, which is an Arrow batch function
 
 from __future__ import annotations
 
-import codecs
 import re
 from collections.abc import Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_html_type, mime_type
 from ..operators.pacing import final_attempts
+from . import encodings
 
 MAX_BODY = 5_000_000
 #: Error codes of fetching, by what they mean for a page.
@@ -56,26 +56,22 @@ def looks_like_html(content_type: Column, text: Column) -> Column:
 
 
 def charset(content_type: str | None, body: bytes) -> str:
-    """The character set that a header or a meta element in the first 2048 bytes names, if it is a known one; else UTF-8."""
-    named = re.search(r"charset\s*=\s*[\"']?([^\s\"';]+)", content_type or "", re.I)
-    if not named:
-        for tag in re.findall(rb"<meta[^>]*>", body[:2048], re.I):
-            if inner := re.search(rb"charset\s*=\s*[\"']?([A-Za-z0-9_:.\-]+)", tag, re.I):
-                named = re.match(r"(.*)", inner[1].decode("ascii", "replace"))
+    """The encoding that a header or a meta element in the first 2048 bytes names, if it is one of the web's; else UTF-8."""
+    named = re.search(r";\s*charset\s*=\s*[\"']?([^\s\"';]+)", content_type or "", re.I)
+    label = named[1] if named else None
+    if label is None:
+        for tag in re.findall(rb"<meta[^>]*", body[:2048], re.I):
+            if inner := re.search(rb"charset\s*=[\s\"']*([A-Za-z0-9_:.\-]+)", tag, re.I):
+                label = inner[1].decode("ascii")
                 break
-    label = named[1] if named else "utf-8"
-    try:
-        found = codecs.lookup({"iso-8859-1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "latin1": "cp1252"}.get(label.lower(), label)).name
-    except LookupError:
-        return "utf-8"
-    return found if found not in ("hex", "base64", "rot13", "zlib", "bz2", "quopri", "uu") else "utf-8"
+    return encodings.encoding(label) or "utf-8"
 
 
 def _decoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index
         bodies, kinds = batch.column(at("body")).to_pylist(), batch.column(at("content_type")).to_pylist()
-        text = [None if b is None else b.decode(charset(k, b), "replace").removeprefix("﻿") for b, k in zip(bodies, kinds, strict=True)]
+        text = [None if b is None else encodings.decoded(b, charset(k, b)) for b, k in zip(bodies, kinds, strict=True)]
         keep = [k for k in batch.schema.names if k not in ("body", "content_type")]
         yield pa.RecordBatch.from_arrays([*[batch.column(at(k)) for k in keep], pa.array(text, pa.string())], names=[*keep, "html"])
 
