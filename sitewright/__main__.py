@@ -4,7 +4,7 @@
     python -m sitewright crawl --web PATH --starts PATH --out PATH [--max-pages 50] [--exclude "/drafts/**"] [--fail-on error]
     python -m sitewright checks [--format markdown]
 
-Exit codes: 0 nothing at or above --fail-on, 1 something, 2 wrong usage, 3 a site that could not be audited.
+Exit codes: 0 nothing at or above --fail-on, 1 something, 2 wrong usage, 3 a site that could not be audited, 70 a fault of the program.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from .operators import rules as R
 FORMATS = ("text", "json", "markdown", "html")
 
 
+class _Unsaid(str):
+    """A usual value that nobody asked for."""
+
+
 def groups(value: str) -> tuple[str, ...]:
     """Groups in their own order, from a list with commas."""
     named = {g.strip() for g in value.split(",") if g.strip()}
@@ -53,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     whole.add_argument("--user-agent", default="sitewright")
     for command in (run, whole):
         command.add_argument("--out", required=True)
-        command.add_argument("--format", choices=FORMATS, default="html")
+        command.add_argument("--format", choices=FORMATS, default=_Unsaid("html"), help="by the ending of --out where not given: .json, .md, .txt; else html")
         command.add_argument("--only", type=groups, default=R.GROUPS)
         command.add_argument("--fail-on", choices=("error", "warning", "info", "never"), default="never")
         command.add_argument("--shown", type=within(1, 5000), default=50, help="findings per rule in a report")
@@ -62,6 +66,11 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def format_of(out: str) -> str:
+    """The format that a name's ending asks for."""
+    return {"json": "json", "md": "markdown", "markdown": "markdown", "txt": "text"}.get(out.rstrip("/").rpartition(".")[2].lower(), "html")
+
+
 def reference(form: str) -> str:
     """The rules, as text or as a Markdown table."""
     cell = lambda x: x.replace("|", "\\|")
@@ -96,8 +105,14 @@ def main(argv: list[str] | None = None) -> int:
     from .operators import rollups
     from .plans.audit import Options
     from .plans.runs import run as whole_run
-    from .sources import reports
-
+    from .sources import report_files, reports
+
+    args.format = format_of(args.out) if isinstance(args.format, _Unsaid) else args.format
+    try:
+        report_files.writable(args.out)
+    except ValueError as error:
+        sys.stderr.write(f"{error}\n")
+        return 2
     spark = ship(SparkSession.builder.appName("sitewright").getOrCreate())
     table = lambda path: spark.read.parquet(path) if path else None
     unopened = 0
@@ -107,11 +122,22 @@ def main(argv: list[str] | None = None) -> int:
         unopened, run = done.opened.where("problem is not null").count(), done.audit
     else:
         run = _audit_of(args, table)
-    made = reports.as_json(run) if args.format == "json" else {"text": reports.as_text, "markdown": reports.as_markdown, "html": reports.as_html}[args.format](run, args.shown)
-    reports.write(made, args.out)
+    if args.format == "json":
+        report_files.write_json(run, args.out)
+    else:
+        reports.write({"text": reports.as_text, "markdown": reports.as_markdown, "html": reports.as_html}[args.format](run, args.shown), args.out)
     worst = int(rollups.exit_codes(run.findings, run.facts, args.fail_on).agg(F.max("exit_code")).first()[0] or 0)
     return 3 if unopened else worst
 
 
+def guarded(argv: list[str] | None = None) -> int:
+    """The exit code of `main`; 70, with the fault's kind and text on standard error, where it fails."""
+    try:
+        return main(argv)
+    except Exception as error:  # noqa: BLE001
+        sys.stderr.write(f"internal error: {type(error).__name__}: {error}\n")
+        return 70
+
+
 if __name__ == "__main__":
-    sys.exit(main())
+    sys.exit(guarded())
