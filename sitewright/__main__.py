@@ -105,7 +105,7 @@ def main(argv: list[str] | None = None) -> int:
     from .operators import rollups
     from .plans.audit import Options
     from .plans.runs import run as whole_run
-    from .sources import report_files, reports
+    from .sources import report_files, reports, tables
 
     args.format = format_of(args.out) if isinstance(args.format, _Unsaid) else args.format
     try:
@@ -114,20 +114,22 @@ def main(argv: list[str] | None = None) -> int:
         sys.stderr.write(f"{error}\n")
         return 2
     spark = ship(SparkSession.builder.appName("sitewright").getOrCreate())
-    table = lambda path: spark.read.parquet(path) if path else None
-    unopened = 0
-    if args.command == "crawl":
-        options = Options(args.max_pages, args.max_depth, args.max_assets, args.delay, groups=args.only, exclude=tuple(args.exclude), external=args.check_external, ignore_robots=args.ignore_robots, user_agent=args.user_agent)
-        done = whole_run(table(args.starts), table(args.web), options)
-        unopened, run = done.opened.where("problem is not null").count(), done.audit
-    else:
-        run = _audit_of(args, table)
-    if args.format == "json":
-        report_files.write_json(run, args.out)
-    else:
-        reports.write({"text": reports.as_text, "markdown": reports.as_markdown, "html": reports.as_html}[args.format](run, args.shown), args.out)
-    worst = int(rollups.exit_codes(run.findings, run.facts, args.fail_on).agg(F.max("exit_code")).first()[0] or 0)
-    return 3 if unopened else worst
+    # what a run writes for itself goes when its reports are there
+    with tables.scope(spark):
+        table = lambda path: spark.read.parquet(path) if path else None
+        unopened = 0
+        if args.command == "crawl":
+            options = Options(args.max_pages, args.max_depth, args.max_assets, args.delay, groups=args.only, exclude=tuple(args.exclude), external=args.check_external, ignore_robots=args.ignore_robots, user_agent=args.user_agent)
+            done = whole_run(table(args.starts), table(args.web), options)
+            unopened, run = done.opened.where("problem is not null").count(), done.audit
+        else:
+            run = _audit_of(args, table)
+        if args.format == "json":
+            report_files.write_json(run, args.out)
+        else:
+            reports.write({"text": reports.as_text, "markdown": reports.as_markdown, "html": reports.as_html}[args.format](run, args.shown), args.out)
+        worst = int(rollups.exit_codes(run.findings, run.facts, args.fail_on).agg(F.max("exit_code")).first()[0] or 0)
+        return 3 if unopened else worst
 
 
 def guarded(argv: list[str] | None = None) -> int:

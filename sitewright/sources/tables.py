@@ -4,10 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at its end, when what is made of them has been written elsewhere."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for table in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/sitewright/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once and read again: what is derived from it by many branches is not computed anew by each."""
-    path = f"{shared_dir(df.sparkSession)}/sitewright/{name}-{uuid.uuid4().hex}"
+    """The frame, written once and read again: what is derived from it by many branches is not computed anew by each. It stays until the `scope` around it ends."""
+    path = _new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,7 +57,7 @@ class Growing:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.schema = spark, None
-        self.path = f"{shared_dir(spark)}/sitewright/{name}-{uuid.uuid4().hex}"
+        self.path = _new_path(spark, name)
 
     def add(self, part: DataFrame) -> None:
         self.schema = self.schema or part.schema

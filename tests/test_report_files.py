@@ -7,7 +7,7 @@ import pytest
 
 from sitewright import __main__ as cli
 from sitewright.operators import rules as R
-from sitewright.sources import report_files, reports
+from sitewright.sources import report_files, reports, tables
 
 N = 3000
 
@@ -59,3 +59,16 @@ def test_exit_codes_and_formats(tmp_path, capsys):
     assert [cli.format_of(x) for x in ("a.json", "a.MD", "a.txt/", "a.html", "a")] == ["json", "markdown", "text", "html", "html"]
     assert cli.guarded(["audit", "--pages", str(tmp_path / "none"), "--sites", "s", "--out", str(tmp_path / "out")]) == 70
     assert "internal error: AnalysisException" in capsys.readouterr().err
+
+
+def test_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    with tables.scope(spark):
+        df = tables.kept(spark.range(5), "scoped")
+        growing = tables.Growing(spark, "scoped-parts")
+        for k in range(3):
+            growing.add(spark.range(k, k + 2))
+        (path,) = {Path(f.removeprefix("file://")).parent for f in df.inputFiles()}
+        assert path.exists() and sorted(r.id for r in growing.df.collect()) == [0, 1, 1, 2, 2, 3]
+    assert not path.exists() and not Path(growing.path.removeprefix("file://")).exists()
