@@ -36,7 +36,7 @@ def writable(path: str) -> None:
     """Make the folder and a file in it, so that a run that could not write its reports doesn't begin. A store that only Spark's writers know is left to them."""
     try:
         where, folder = _of(path)
-    except pa.ArrowInvalid:
+    except (pa.ArrowInvalid, OSError):
         return
     try:
         where.create_dir(folder, recursive=True)
