@@ -8,7 +8,8 @@ The template uses control strings; inside texts, each is broken up by a backslas
 `unescape` gives back the text and no text can forge a turn, a mask or a placeholder.
 
 Defined cases: a null text is empty and a null role is the empty role; rows of one conversation are ordered by turn, then role,
-then text, nulls first; equal rows are turns of their own; an empty table gives no conversations; columns other than conv_id,
+then text, nulls first; equal rows are turns of their own; rows with a null conv_id are one conversation, with a null conv_id; texts
+may be of any length that a row can hold; an empty table gives no conversations; columns other than conv_id,
 turn, role and text (or parts) are not looked at.
 """
 

@@ -8,7 +8,8 @@ Only built-in functions run here. Repeated windows are found by the 64-bit hashe
 their document.
 
 Defined cases: a null or blank text has no words and fails `few_words`; equal rows give equal rows; an empty table gives an
-empty ledger; columns other than doc_id and text are passed on by `ledger` only when asked for.
+empty ledger; columns other than doc_id and text are passed on by `ledger` only when asked for. A text is looked at whole
+by one task, however long it is.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ A word's features are itself and its first five bytes, so that inflected and uns
 Defined cases: a null or blank text has no features, probability 0 in each category and isn't toxic; labels that are null, or whose
 document isn't there, teach nothing; of a doc_id labelled more than once the largest labels count; with no labels at all nothing
 is toxic; repeated rows get equal results each; an empty table gives no rows; only doc_id and text are looked at.
+A text is looked at whole by one task, however long it is.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ name that no other attempt of a task uses; a lost attempt leaves files that noth
 
 Defined cases: a null html is an empty payload, a null url an empty target; rows that repeat a page_id are records of their own,
 of which with equal payloads one is the response; a null page_id sorts before all others, and what it is the response of refers
-to no number; an empty table gives no archive.
+to no number; an empty table gives no archive; columns other than page_id, url and html are
+not looked at. A page is packed and read by one task, however long it is.
 """
 
 from __future__ import annotations
