@@ -53,3 +53,14 @@ def test_entry_without_training_data_operators(tmp_path, pipeline):
             (package / p.name).symlink_to(p)
     done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": "/tmp"})
     assert done.stdout.split() == ["True", "False"], done.stderr
+
+
+@pytest.mark.parametrize("name", ["markup_rules", "transport_rules", "page_facts"])
+def test_pages_of_any_depth_match_sql(spark, tmp_path, name):
+    """Elements that stay open nest each paragraph deeper; what comes after 256 of them is read, and the page isn't taken to be cut."""
+    pages = [(k, f"https://e.com/en/{k}", f'<html lang="en"><head><title>Page {k}</title></head><body><a href="/a">one</a><article><h1>Top</h1>{"<p><b>word<br>" * n}</article><footer>end</footer></body></html>') for k, n in ((1, 2), (126, 127), (127, 128), (252, 129), (840, 5000))]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, str(tmp_path)), c.sql(queries.SQL[name])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
