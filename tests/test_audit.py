@@ -304,3 +304,13 @@ def test_streaming_feed(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert "SEO-TITLE-001" in {r.check_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_facts_of_many_items(spark):
+    """Controls, labels and properties beyond 5,000 are all there, and each is known by its own label."""
+    n = 6000
+    html = "".join(f'<input id="i{k}" name="n{k}"><meta property="og:p{k % 5500}" content="{k}">' for k in range(n)) + "".join(f'<label for="i{k}">x</label>' for k in range(1, n)) + "<div role=button> \n</div>" * n + "<button>go</button>"
+    row = H.documents(H.parsed(spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, final_url string, html string"), "page_id")).withColumn("properties", F.map_keys("doc.open_graph")).first()
+    assert [c.describe for c in row.doc.form_controls if not c.labelled] == ["input[name=n0]"] and len(row.doc.form_controls) == n
+    assert row.doc.open_graph == {f"og:p{k}": str(k) for k in range(5500)} and row.properties == [f"og:p{k}" for k in range(5500)]
+    assert [b.has_name for b in row.doc.buttons] == [False] * n + [True] and not row.truncated

@@ -64,3 +64,22 @@ def test_pages_of_any_depth_match_sql(spark, tmp_path, name):
     c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got, want = queries.QUERIES[name](spark, str(tmp_path)), c.sql(queries.SQL[name])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["markup_rules", "transport_rules", "page_facts", "text_content"])
+def test_pages_of_many_items_and_long_texts_match_sql(spark, tmp_path, name):
+    """Over 5,000 items of a kind, of which the last one alone lacks its name; texts of over 2,000 characters, and of over 20,000 blanks before their first word."""
+    long, late = "word &amp; " * 3000 + "end", " " * 25_000 + "late"
+
+    def page(n, title):
+        links = "".join(f'<a href="/{i}">to {i}</a>' for i in range(n))
+        heads = "".join(f"<h2>part {i}</h2>" for i in range(n))
+        scripts = f'<script src="/{n}.js"></script>' * n
+        return f'<html lang="en"><head><title>{title}</title></head><body><h1>{title}</h1>{links}<a href="/l">{title}</a><a href="/none"></a>{heads}<h4>deep</h4>{scripts}<article>text</article><footer>end</footer></body></html>'
+
+    pages = [(k, f"https://e.com/en/{k}", page(n, title)) for k, n, title in ((1, 2, "short"), (5, 5001, "many"), (6, 6000, long), (7, 5, late), (27, 5200, "many"))]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, str(tmp_path)), c.sql(queries.SQL[name])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
