@@ -90,13 +90,13 @@ def test_duplicate_titles_leave_out_variants(spark, tmp_path):
     canonical = '<link rel="canonical" href="{}">'
     heads = {
         1: "", 2: canonical.format("https://e.com/1"), 3: canonical.format("/1"), 4: canonical.format("https://e.com/4"), 5: canonical.format("https://f.com/1"), 6: canonical.format("https://e.com/9"), 7: '<meta name="robots" content="noindex">', 8: canonical.format("https://e.com/7"),
-        9: "", 10: canonical.format("https://e.com/1") + "</head><body>", 11: "</head><body>" + canonical.format("https://e.com/1"),
+        9: "", 10: canonical.format("https://e.com/1") + "</head><body>", 11: "</head><body>" + canonical.format("https://e.com/1"), "12#top": "", 13: canonical.format("https://e.com/12#top"),
     }
-    pages = [(k, f"https://{'f' if k == 10 else 'e'}.com/{k}", f'<html><head><title>{"Other" if k == 9 else "Same"}</title>{head}</head><body><h1>h</h1></body></html>') for k, head in heads.items()]
+    pages = [(int(str(k).removesuffix("#top")), f"https://{'f' if k == 10 else 'e'}.com/{k}", f'<html><head><title>{"Other" if k == 9 else "Same"}</title>{head}</head><body><h1>h</h1></body></html>') for k, head in heads.items()]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     c = duckdb.connect()
     c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for name, left in (("duplicate_titles", [1, 4, 5, 6, 8, 11]), ("duplicate_titles_pooled", [1, 2, 3, 4, 5, 6, 7, 8, 10, 11])):
+    for name, left in (("duplicate_titles", [1, 4, 5, 6, 8, 11, 12]), ("duplicate_titles_pooled", [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13])):
         got, want = queries.QUERIES[name](spark, str(tmp_path)), c.sql(queries.SQL[name])
         found = [tuple(r) for r in got.collect()]
         assert sorted(r[1] for r in found) == left and {r[4] for r in found} == {len(left) - 1}
